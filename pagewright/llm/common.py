@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,30 +36,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_texts(
-    docs: DataFrame, fn: Callable[[list, list], pa.RecordBatch], schema: str, columns: tuple[str, ...] = ("doc_id", "text"), chunk: int = CHUNK_CHARS
-) -> DataFrame:
-    """docs' columns, in chunks of whole rows of about `chunk` characters, through fn(lists of values ...) -> {column: array}.
+def text_chunks(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK_CHARS) -> Iterator[list[pa.Array]]:
+    """The columns of batches, the last one a text, in chunks of whole rows of about `chunk` characters; null texts become "".
 
-    The last of `columns` is the text; null texts arrive as "". No row is split, so one very long text makes one larger chunk."""
-    names = [f.split()[0] for f in schema.split(",")] if "<" not in schema else None
+    No row is split, so one very long text makes one larger chunk."""
+    for batch in batches:
+        text = batch.column(batch.num_columns - 1).fill_null("")
+        sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            held += int(n)
+            if held >= chunk or i + 1 == len(sizes):
+                yield [batch.column(c).slice(start, i + 1 - start) for c in range(batch.num_columns - 1)] + [text.slice(start, i + 1 - start)]
+                start, held = i + 1, 0
+
+
+def map_texts(docs: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str, columns: tuple[str, ...] = ("doc_id", "text"), chunk: int = CHUNK_CHARS) -> DataFrame:
+    """fn(array of each of `columns`, the last a text) -> RecordBatch, over chunks of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            text = batch.column(batch.num_columns - 1).fill_null("")
-            sizes = pa.compute.binary_length(text).to_numpy(zero_copy_only=False)
-            start, held = 0, 0
-            for i, n in enumerate(sizes):
-                held += int(n)
-                if held >= chunk or i + 1 == len(sizes):
-                    rows = slice(start, i + 1)
-                    part = [batch.column(c).slice(start, i + 1 - start) for c in range(batch.num_columns - 1)]
-                    out = fn(*part, text.slice(rows.start, rows.stop - rows.start))
-                    if out is not None:
-                        yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict({n: out[n] for n in (names or out)})
-                    start, held = i + 1, 0
+        for part in text_chunks(batches, chunk):
+            yield fn(*part)
 
     return docs.select(*columns).mapInArrow(run, schema)
 
