@@ -1,8 +1,59 @@
-"""The corpus pipeline: language, near copies, benchmark leaks, personal data, pieces."""
+"""The corpus pipeline over `documents`: language, near copies, benchmark leaks, personal data, pieces.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns of docs.
+run() writes each stage's rows as Parquet in the shared folder and reads them again, so a lost executor costs a stage at most."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.llm.common import documents, written
+from pagewright.llm.decontaminate import clean
+from pagewright.llm.language import fit, identify
+from pagewright.llm.minhash import near_classes
+from pagewright.llm.pieces import pieces_of
+from pagewright.llm.pii import redact
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids(doc_id)."""
+    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the models of docs' own labelled rows don't reject."""
+    return _without(docs, identify(docs, fit(docs)).where("rejected"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each component of near copies: five-word shingles, similarity 0.8."""
+    return _without(docs, near_classes(docs, 5, (80, 100)).where("not kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of `benchmark`."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return redact(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_hash, decoded_sha256, round_trip of all documents."""
+    return pieces_of(docs)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("decontaminate", decontaminate), ("personal_data", personal_data), ("pieces", pieces)]
+#: SQL can express neither the language models nor the latent search.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
