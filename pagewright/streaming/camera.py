@@ -47,4 +47,4 @@ def cached_corners(frames: DataFrame, threshold: float = 0.97) -> DataFrame:
 
 def on_latest(frames: DataFrame, action: Callable[[DataFrame, int], None], **trigger):
     """A query that gives each micro-batch's last frame of every camera to action(frames, epoch); older ones are dropped."""
-    return frames.writeStream.foreachBatch(lambda batch, epoch: action(latest(batch), epoch)).trigger(**(trigger or {"availableNow": True}))
+    return frames.writeStream.foreachBatch(lambda batch, epoch: action(latest(batch), epoch)).trigger(**(trigger or {"availableNow": True})).start()
