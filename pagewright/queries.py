@@ -17,11 +17,12 @@ ORACLES: dict[str, str] = {}
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def query(sql: str | None = None):
+def query(sql: str, ints: str = ""):
+    """Registers a query with its SQL; ints: its columns of type int, which SQL counts and numbers as longer ones."""
+
     def register(fn):
         QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
+        ORACLES[fn.__name__] = f"select * replace ({', '.join(f'cast({c} as int) as {c}' for c in ints.split())}) from ({sql}) z" if ints else sql
         return fn
 
     return register
@@ -83,17 +84,17 @@ select frame_id, row_number() over (partition by frame_id order by col, band, ci
 # Reading order
 
 
-@query(f"with {_prefix(T('boxes'), 40, '0.40')} select frame_id, word_id, col from c1")
+@query(f"with {_prefix(T('boxes'), 40, '0.40')} select frame_id, word_id, col from c1", "word_id col")
 def columns_w1(spark, d):
     return layout.with_columns(table(spark, d, "boxes"), 40).select("frame_id", "word_id", "col")
 
 
-@query(f"with {_prefix(T('tall'), 35, '0.28')} select frame_id, word_id, col, band, rn from p")
+@query(f"with {_prefix(T('tall'), 35, '0.28')} select frame_id, word_id, col, band, rn from p", "word_id col band rn")
 def bands_w2(spark, d):
     return layout.banded(table(spark, d, "tall"), *layout.LINES).select("frame_id", "word_id", "col", "band", "rn")
 
 
-@query(_line_sql(T("tall")) + " select frame_id, word_id, line_id from l")
+@query(_line_sql(T("tall")) + " select frame_id, word_id, line_id from l", "word_id line_id")
 def line_splits_w4(spark, d):
     return layout.with_lines(table(spark, d, "tall").withColumn("text", F.lit("x"))).select("frame_id", "word_id", "line_id")
 
@@ -101,18 +102,17 @@ def line_splits_w4(spark, d):
 @query(
     _line_sql(T("words"))
     + f""" select l.frame_id, l.line_id, string_agg(w.text, ' ' order by l.rn) as text, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2, count(*) as words_count
-from l join {T('words')} w using (frame_id, word_id) group by 1, 2"""
-)
+from l join {T('words')} w using (frame_id, word_id) group by 1, 2""", "line_id words_count")
 def line_groups_m3(spark, d):
     return layout.lines(table(spark, d, "words"))
 
 
-@query(f"select frame_id, word_id, ntile(7) over (partition by frame_id order by word_id) as chunk from {T('boxes')} b")
+@query(f"select frame_id, word_id, ntile(7) over (partition by frame_id order by word_id) as chunk from {T('boxes')} b", "word_id chunk")
 def chunks_w6(spark, d):
     return layout.chunks(table(spark, d, "boxes"), 7, "word_id").select("frame_id", "word_id", "chunk")
 
 
-@query(f"select frame_id, word_id, row_number() over (partition by frame_id order by y1, x1, word_id) as new_id from {T('tall')} b where (x2 - x1) * (y2 - y1) >= 32 and x2 - x1 > 1 and y2 - y1 > 1")
+@query(f"select frame_id, word_id, row_number() over (partition by frame_id order by y1, x1, word_id) as new_id from {T('tall')} b where (x2 - x1) * (y2 - y1) >= 32 and x2 - x1 > 1 and y2 - y1 > 1", "word_id new_id")
 def unmerged_w7(spark, d):
     return layout.unmerged(boxes.large_enough(table(spark, d, "tall"))).select("frame_id", "word_id", "new_id")
 
@@ -149,12 +149,12 @@ u as (select frame_id, unnest(kept) as b, generate_subscripts(kept, 1) - 1 as nm
 select frame_id, nms_ord, b.pos as word_id, b.x1 as x1, b.y1 as y1, b.x2 as x2, b.y2 as y2, b.score as score from u"""
 
 
-@query(_nms_sql("0.5"))
+@query(_nms_sql("0.5"), "nms_ord word_id")
 def nms_m1(spark, d):
     return boxes.suppressed(_dense(spark, d))
 
 
-@query(_nms_sql("0.3"))
+@query(_nms_sql("0.3"), "nms_ord word_id")
 def nms_tight_m1b(spark, d):
     return boxes.suppressed(_dense(spark, d), 0.3)
 
@@ -166,34 +166,33 @@ k as (select frame_id, o, {_leaders_sql('0.35')} as kept from g),
 l as (select frame_id, unnest(kept) as a from k),
 m as (select n.frame_id, n.pos, min(l.a.pos) as lead from n join l on l.frame_id = n.frame_id and (l.a.pos = n.pos or (l.a.pos < n.pos and {_iou_sql('l.a', 'n')} > 0.35::double)) group by 1, 2),
 s as (select m.frame_id, m.lead, trunc(avg(x1))::int as x1, trunc(avg(y1))::int as y1, trunc(avg(x2))::int as x2, trunc(avg(y2))::int as y2, count(*) as votes from m join n using (frame_id, pos) group by 1, 2)
-select frame_id, row_number() over (partition by frame_id order by lead) as word_id, x1, y1, x2, y2, votes from s"""
-)
+select frame_id, row_number() over (partition by frame_id order by lead) as word_id, x1, y1, x2, y2, votes from s""", "word_id votes")
 def ensemble_m4(spark, d):
     return boxes.consensus(_dense(spark, d))
 
 
-@query(_merge_sql(T("boxes")))
+@query(_merge_sql(T("boxes")), "word_id merged")
 def merge_m2(spark, d):
     return boxes.merged(table(spark, d, "boxes"))
 
 
-@query(_merge_sql(T("tall")))
+@query(_merge_sql(T("tall")), "word_id merged")
 def merge_bullets_m2b(spark, d):
     return boxes.merged(table(spark, d, "tall"))
 
 
-@query(f"select frame_id, word_id from {T('tall')} b where (x2 - x1) * (y2 - y1) >= 32 and x2 - x1 > 1 and y2 - y1 > 1")
+@query(f"select frame_id, word_id from {T('tall')} b where (x2 - x1) * (y2 - y1) >= 32 and x2 - x1 > 1 and y2 - y1 > 1", "word_id")
 def min_area_f3(spark, d):
     return boxes.large_enough(table(spark, d, "tall")).select("frame_id", "word_id")
 
 
-@query(f"select frame_id, word_id from (select frame_id, word_id, conf * conf * conf as score, x1, y1, x2 - 40 as x2, y2 from {T('boxes')} b) where score >= 0.82::double and x1 < x2 and y1 < y2")
+@query(f"select frame_id, word_id from (select frame_id, word_id, conf * conf * conf as score, x1, y1, x2 - 40 as x2, y2 from {T('boxes')} b) where score >= 0.82::double and x1 < x2 and y1 < y2", "word_id")
 def detector_filter_f1(spark, d):
     b = table(spark, d, "boxes").withColumn("score", F.col("conf") * F.col("conf") * F.col("conf")).withColumn("x2", F.col("x2") - 40)
     return boxes.detected(b, 0.82).select("frame_id", "word_id")
 
 
-@query(f"select a.frame_id, a.word_id as a, b.word_id as b, round({_iou_sql('a', 'b')}, 9) as iou from {_DENSE.format(b=T('boxes'))} a join {_DENSE.format(b=T('boxes'))} b on a.frame_id = b.frame_id and a.word_id < b.word_id where {_iou_sql('a', 'b')} > 0.5::double")
+@query(f"select a.frame_id, a.word_id as a, b.word_id as b, round({_iou_sql('a', 'b')}, 9) as iou from {_DENSE.format(b=T('boxes'))} a join {_DENSE.format(b=T('boxes'))} b on a.frame_id = b.frame_id and a.word_id < b.word_id where {_iou_sql('a', 'b')} > 0.5::double", "a b")
 def overlaps_j5(spark, d):
     """Pairs within a frame; a frame holds a bounded number of boxes."""
     one, two = _dense(spark, d), _dense(spark, d)
@@ -218,7 +217,7 @@ def detector_union_u1(spark, d):
 _F = T("frames")
 
 
-@query(f"select frame_id, word_id, (y1 + y2) / 2.0::double as cy, greatest(1, y2 - y1) as h from {T('boxes')} b")
+@query(f"select frame_id, word_id, (y1 + y2) / 2.0::double as cy, greatest(1, y2 - y1) as h from {T('boxes')} b", "word_id")
 def box_metrics_p1(spark, d):
     return layout.measured(table(spark, d, "boxes")).select("frame_id", "word_id", "cy", "h")
 
@@ -293,8 +292,7 @@ _CROP = f"""(select *, greatest(0, x1 - px) as cx1, greatest(0, y1 - py) as cy1,
 
 @query(
     f"""select frame_id, word_id, cx1, cy1, cx2, cy2, case when cy2 - cy1 > 64 then greatest(1, trunc((cx2 - cx1) * (64.0::double / (cy2 - cy1)))::int) else cx2 - cx1 end as out_w, least(64, cy2 - cy1) as out_h
-from {_CROP} c where cx1 < cx2 and cy1 < cy2"""
-)
+from {_CROP} c where cx1 < cx2 and cy1 < cy2""", "word_id")
 def crop_pad_p11(spark, d):
     b = table(spark, d, "tall").withColumn("width", F.lit(1700)).withColumn("height", F.lit(500))
     return words.crops(b).select("frame_id", "word_id", "cx1", "cy1", "cx2", "cy2", "out_w", "out_h")
@@ -302,8 +300,7 @@ def crop_pad_p11(spark, d):
 
 @query(
     f"""select frame_id, word_id, case when s < 32 then greatest(1, round_even((x2 - x1) * (32.0::double / greatest(1, s)), 0)::int) else x2 - x1 end as w, case when s < 32 then greatest(1, round_even((y2 - y1) * (32.0::double / greatest(1, s)), 0)::int) else y2 - y1 end as h
-from (select *, least(x2 - x1, y2 - y1) as s from {T('boxes')} b)"""
-)
+from (select *, least(x2 - x1, y2 - y1) as s from {T('boxes')} b)""", "word_id")
 def upscale_p13(spark, d):
     w, h = geometry.enlarged(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), 32, 32)
     return table(spark, d, "boxes").select("frame_id", "word_id", w.alias("w"), h.alias("h"))
@@ -340,25 +337,24 @@ def clean_text_s10(spark, d):
 _WEAK = "(coalesce(conf, 1.0::double) < 0.97::double or (text <> '' and length(text) > greatest(1, x2 - x1) / 4.0::double))"
 
 
-@query(f"select frame_id, word_id, text from {T('words')} w where {_WEAK}")
+@query(f"select frame_id, word_id, text from {T('words')} w where {_WEAK}", "word_id")
 def weak_words_f8(spark, d):
     return words.weak_words(table(spark, d, "words")).select("frame_id", "word_id", "text")
 
 
-@query(f"select frame_id, word_id, text from {T('words')} w where text <> '' and length(text) > greatest(1, x2 - x1) / 4.0::double")
+@query(f"select frame_id, word_id, text from {T('words')} w where text <> '' and length(text) > greatest(1, x2 - x1) / 4.0::double", "word_id")
 def suspect_f9(spark, d):
     return table(spark, d, "words").where(text.suspect("text")).select("frame_id", "word_id", "text")
 
 
-@query(f"select c.frame_id, c.word_id, c.x1 from {T('boxes')} c where exists (select 1 from {T('words')} w where w.frame_id = c.frame_id and w.word_id = c.word_id and {_WEAK})")
+@query(f"select c.frame_id, c.word_id, c.x1 from {T('boxes')} c where exists (select 1 from {T('words')} w where w.frame_id = c.frame_id and w.word_id = c.word_id and {_WEAK})", "word_id")
 def weak_crops_j1(spark, d):
     return words.weak_crops(table(spark, d, "boxes"), table(spark, d, "words")).select("frame_id", "word_id", "x1")
 
 
 @query(
     f"""with s as (select frame_id, word_id, second_text from {T('words')} w where {_WEAK})
-select w.frame_id, w.word_id, coalesce(nullif(s.second_text, ''), w.text) as text, w.conf from {T('words')} w left join s using (frame_id, word_id)"""
-)
+select w.frame_id, w.word_id, coalesce(nullif(s.second_text, ''), w.text) as text, w.conf from {T('words')} w left join s using (frame_id, word_id)""", "word_id")
 def fallback_j2(spark, d):
     w = table(spark, d, "words")
     second = words.weak_words(w).select("frame_id", "word_id", F.col("second_text").alias("text"))
@@ -367,8 +363,7 @@ def fallback_j2(spark, d):
 
 @query(
     f"""with a as (select frame_id, word_id, text from {T('words')} w where part_id % 4 <> 0)
-select b.frame_id, b.word_id, coalesce(a.text, '') as text, case when a.text is null then 0.0::double else 0.5::double end as conf from {T('boxes')} b left join a using (frame_id, word_id)"""
-)
+select b.frame_id, b.word_id, coalesce(a.text, '') as text, case when a.text is null then 0.0::double else 0.5::double end as conf from {T('boxes')} b left join a using (frame_id, word_id)""", "word_id")
 def scatter_j7(spark, d):
     named = {"frame_id": "batch_id", "word_id": "pos"}
     back = {v: k for k, v in named.items()}
@@ -537,6 +532,6 @@ def text_sink_k1(spark, d):
 
 
 @query(_line_sql(T("words")) + f""", s as (select l.frame_id, l.line_id, string_agg(w.text, ' ' order by l.rn) as text, count(*) as n from l join {T('words')} w using (frame_id, word_id) group by 1, 2)
-select frame_id, line_id, 'Line ' || line_id || ' (' || n || ' words): ' || text as report from s""")
+select frame_id, line_id, 'Line ' || line_id || ' (' || n || ' words): ' || text as report from s""", "line_id")
 def console_k2(spark, d):
     return layout.lines(table(spark, d, "words")).select("frame_id", "line_id", text.line_report("line_id", "words_count", "text").alias("report"))
