@@ -43,11 +43,9 @@ def _signature_batch(k: int):
                         key = mix(key + minimum)
                         low[:, j] = (minimum * MIX_2) >> U(64 - BITS)
                     bands[:, b] = key
-        packed = np.packbits(((low[:, :, None] >> np.arange(BITS, dtype=np.uint8)) & 1).reshape(len(full), -1), axis=1)
-        where = np.full(len(sets), -1)
-        where[full] = np.arange(len(full))
-        words = packed.view(">i8").astype(np.int64) if len(full) else np.zeros((0, HASHES * BITS // 64), np.int64)
-        spread = lambda table: lists(table[where[full]].ravel(), np.concatenate([[0], np.cumsum(np.where(sizes > 0, table.shape[1], 0))]), pa.int64())
+        packed = np.packbits(((low[:, :, None] >> np.arange(BITS, dtype=np.uint8)) & 1).reshape(len(full), HASHES * BITS), axis=1)
+        words = packed.reshape(-1).view(">i8").astype(np.int64).reshape(len(full), HASHES * BITS // 64)
+        spread = lambda table: lists(table.ravel(), np.concatenate([[0], np.cumsum(np.where(sizes > 0, table.shape[1], 0))]), pa.int64())
         return pa.RecordBatch.from_pydict(
             {"doc_id": ids, "n_shingles": pa.array(sizes), "set_key": pa.array(keys, pa.binary()), "bands": spread(bands.view(np.int64)), "packed": spread(words)}
         )
@@ -111,10 +109,7 @@ def near_classes(docs: DataFrame, k: int = 3, threshold: tuple[int, int] = (85,
         "shingle-sets",
     )
     links = written(_verified(pairs, sets, threshold), "links")
-    label = components(links)
-    more = _across(shared, label, sets, threshold)
-    if more is not None:
-        label = components(links.unionByName(more))
+    label = components(_across(shared, links, sets, threshold))
     label = label.withColumnsRenamed({"node": "rep", "component": "_component"})
     named = classes.join(label, "rep", "left").select(F.col("set_key").alias("_key"), F.coalesce("_component", "rep").alias("_class"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, F.col("set_key") == F.col("_key"), "left")
@@ -133,27 +128,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return both.withColumn("_common", common).where((F.col("_common") * of >= (F.size("sa") + F.size("sb") - F.col("_common")) * need) & (F.col("_common") > 0)).select("a", "b")
 
 
-def _across(shared: DataFrame, label: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame | None:
-    """Every link between different components among the classes of buckets that still hold several components; None if there are none.
+def _relabelled(label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes(doc_id, ...) with component: their own id where no link was found."""
+    return nodes.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _across(shared: DataFrame, links: DataFrame, sets: DataFrame, threshold: tuple[int, int], rounds: int = 3) -> DataFrame:
+    """links and those between different components among the classes of buckets that still hold several components.
 
     Not all pairs of a bucket: the shingles of these classes are ordered by their count, and two sets that reach the threshold share one
-    of their first size - ceil(threshold * size) + 1. A set with more edits than that has only shingles of its own there, and meets nobody."""
+    of their first size - ceil(threshold * size) + 1. A set with more edits than that has only shingles of its own there, and meets nobody.
+    The classes under a shingle are first compared with the one that has fewest shingles of its own, near the middle of its copies,
+    and merged; what is left in different components is then joined, if the shingles that each has for itself leave room for the threshold."""
     need, of = threshold
-    named = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    label = components(links)
+    named = _relabelled(label, shared)
     several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    mixed = written(named.join(several, "bucket").select("doc_id", "component").distinct(), "mixed")
+    mixed = written(named.join(several, "bucket").select("doc_id").distinct(), "mixed")
     if not mixed.limit(1).count():
-        return None
-    token = sets.join(mixed, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+        return links
+    token = sets.join(mixed, "doc_id").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     often = token.groupBy("token").agg(F.count("*").alias("often"))
-    least = lambda n: F.floor((F.col(n).cast("long") * need + of - 1) / of)
-    ranked = token.join(often, "token").groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
+    least = F.floor((F.col("n").cast("long") * need + of - 1) / of)
+    ranked = token.join(often, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
     # a shingle counted once has no partner; what is left of the prefix is indexed
-    prefix = written(ranked.select("doc_id", "component", "n", F.explode(F.slice("order", F.lit(1), (F.col("n") - least("n") + 1).cast("int"))).alias("p")).where("p.often > 1").select("doc_id", "component", "n", "p.token"), "prefixes")
-    one = prefix.withColumnsRenamed({"doc_id": "a", "component": "ca", "n": "na"})
-    two = prefix.withColumnsRenamed({"doc_id": "b", "component": "cb", "n": "nb"})
-    near = (one["token"] == two["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * of >= F.greatest("na", "nb") * need)
-    return written(_verified(one.join(two, near).select("a", "b").distinct(), sets, threshold), "links-across")
+    own = F.size(F.filter("order", lambda t: t["often"] == 1)).alias("own")
+    first = F.slice("order", F.lit(1), (F.col("n") - least + 1).cast("int"))
+    prefix = written(ranked.select("doc_id", "n", own, F.explode(first).alias("p")).where("p.often > 1").select("doc_id", "n", "own", "p.token"), "prefixes")
+
+    def open_prefixes(label: DataFrame) -> DataFrame:
+        named = _relabelled(label, prefix)
+        several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("own", "doc_id", "component")).alias("mid")).where("lo < hi").select("token", "mid")
+        return named.join(several, "token")
+
+    for _ in range(rounds):
+        star = open_prefixes(label).where(F.col("component") != F.col("mid.component")).select(F.col("mid.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        more = written(_verified(star, sets, threshold), "links-across")
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        label = components(links)
+    left = written(open_prefixes(label).drop("mid"), "open-prefixes")
+    one = left.withColumnsRenamed({"doc_id": "a", "component": "ca", "n": "na", "own": "oa"})
+    two = left.withColumnsRenamed({"doc_id": "b", "component": "cb", "n": "nb", "own": "ob"})
+    room = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob")).cast("long") * (need + of) >= (F.col("na") + F.col("nb")).cast("long") * need
+    near = (one["token"] == two["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & room
+    return links.unionByName(written(_verified(one.join(two, near).select("a", "b").distinct(), sets, threshold), "links-across"))
 
 
 def op4_minhash_near_duplicates(spark, sf_dir: str) -> DataFrame:
