@@ -1,14 +1,15 @@
 """The corpus pipeline over `documents`: language, near copies, benchmark leaks, personal data, pieces.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns of docs.
-run() writes each stage's rows as Parquet in the shared folder and reads them again, so a lost executor costs a stage at most."""
+run() writes each stage's rows as Parquet in the shared folder and reads them again, so a lost executor costs a stage at most. A stage
+begins by removing what the operators of earlier stages have written: their rows are stored by then."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import documents, written
+from pagewright.llm.common import documents, drop_written, written
 from pagewright.llm.decontaminate import clean
 from pagewright.llm.language import fit, identify
 from pagewright.llm.minhash import near_classes
@@ -24,26 +25,31 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the models of docs' own labelled rows don't reject."""
+    drop_written(spark)
     return _without(docs, identify(docs, fit(docs)).where("rejected"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each component of near copies: five-word shingles, similarity 0.8."""
+    drop_written(spark)
     return _without(docs, near_classes(docs, 5, (80, 100)).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of `benchmark`."""
+    drop_written(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind."""
+    drop_written(spark)
     return redact(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_hash, decoded_sha256, round_trip of all documents."""
+    drop_written(spark)
     return pieces_of(docs)
 
 
@@ -55,5 +61,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,14 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor."""
+_tables: list[str] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor. drop_written() removes it, unless keep."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Removes the tables that operators have written so far. Only for when nothing that reads them is still to be evaluated."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
