@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,8 @@ from .common import documents, parts, text_chunks, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of a task that are spelled from one dictionary, in bytes; words of a bucket, about; letters of a lattice.
-BLOCK_BYTES = 24 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 10 << 20
+BUCKET_BYTES = 24 << 20
 LONGEST_WORD = 64
 SPACE = "▁"
 #: A word of the lattice: letters, one digit, or a run of other visible characters, with the space before it. White space and a literal
@@ -68,6 +68,8 @@ def load(path: str = MODEL) -> Table:
 
 def words_of(token: str) -> list[str]:
     """The words of a token between spaces, its own space first; they join to SPACE + token. A literal U+2581 is the word LITERAL."""
+    if token.isalpha() and len(token) <= LONGEST_WORD:
+        return [SPACE + token]
     head, *rest = token.split(SPACE)
     out = WORD.findall(SPACE + head)
     for part in rest:
@@ -80,10 +82,6 @@ def _in_bytes(word: str) -> bool:
     return word[-1].isspace() or word == LITERAL
 
 
-def _bucket(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
     """Chunks with the number of their block. The same scan makes the same blocks."""
     block, size = TaskContext.get().partitionId() << 32, 0
@@ -94,14 +92,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
             block, size = block + 1, 0
 
 
-def _by_bucket(tokens: set[str], buckets: int) -> list[list[str]]:
-    """The different words of tokens that go through the lattice, by bucket, sorted."""
+def _by_bucket(cut: Iterable[list[str]], buckets: int) -> list[list[str]]:
+    """The different words of tokens, cut into words, that go through the lattice: by bucket, sorted."""
     words: set[str] = set()
-    for t in tokens:
-        words.update(words_of(t))
+    for c in cut:
+        words.update(c)
     out: list[list[str]] = [[] for _ in range(buckets)]
-    for w in sorted(w for w in words if not _in_bytes(w)):
-        out[_bucket(w, buckets)].append(w)
+    for w in sorted(words):
+        if not _in_bytes(w):
+            out[zlib.crc32(w.encode()) % buckets].append(w)
     return out
 
 
@@ -116,7 +115,7 @@ def _unpress(data: bytes) -> bytes:
 def _words_batch(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def record(block: int, tokens: set[str]) -> pa.RecordBatch:
-            rows = [(b, _press("\n".join(w).encode())) for b, w in enumerate(_by_bucket(tokens, buckets)) if w]
+            rows = [(b, _press("\n".join(w).encode())) for b, w in enumerate(_by_bucket(map(words_of, tokens), buckets)) if w]
             return pa.RecordBatch.from_pydict({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "words": pa.array([w for _, w in rows], pa.binary())})
 
         now, tokens = None, set()
@@ -154,33 +153,33 @@ def lattice_paths(words: DataFrame, table: Table, shuffle_parts: int) -> DataFra
     pieces = spark.createDataFrame(table.rows, "piece string, id int, score double")
     worst = min(s for _, _, s in table.rows) - UNKNOWN_PENALTY
     n = F.length("word")
-    cuts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - s)), lambda k: F.struct(s.alias("start"), (s + k).alias("end"), F.substring(F.col("word"), s + 1, k).alias("piece"))),
-        )
-    )
     edges = (
         words.repartition(shuffle_parts, "word")
-        .select("word", F.explode(cuts).alias("cut"))
-        .select("word", "cut.*")
+        .select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+        .select("word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, n))).alias("end"))
+        .withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
         .join(F.broadcast(pieces), "piece", "left")  # the piece table's size is the model's
         .where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
         .select("word", F.struct("end", "start", F.coalesce("score", F.lit(worst)).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id")).alias("edge"))
         .groupBy("word")
         .agg(F.collect_list("edge").alias("edges"))
     )
-    kind = "array<struct<score:double,path:array<int>>>"
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("path"))).cast(kind)
-
-    def step(best, end):
-        came = F.transform(
-            F.filter("edges", lambda e: e["end"] == end),
-            lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), F.concat(F.get(best, e["start"])["path"], F.array(e["id"])).alias("path")),
+    kind = "struct<score:double,path:array<int>>"
+    none = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("path")).cast(kind)
+    start = F.struct(F.lit(0).alias("at"), none.alias("best"), F.array().cast(f"array<{kind}>").alias("before"))
+
+    def step(a, e):
+        """Edges come by end: a new end moves the best path of the last one to those before, by place."""
+        came = F.when(e["start"] == a["at"], a["best"]).otherwise(F.get(a["before"], e["start"]))
+        path = F.struct((came["score"] + e["score"]).alias("score"), F.concat(came["path"], F.array(e["id"])).alias("path"))
+        new = e["end"] != a["at"]
+        return F.struct(
+            e["end"].alias("at"),
+            F.when(new, path).otherwise(F.greatest(a["best"], path)).alias("best"),
+            F.when(new, F.concat(a["before"], F.array(a["best"]))).otherwise(a["before"]).alias("before"),
         )
-        return F.concat(best, F.array(F.array_max(came))).cast(kind)
 
-    return edges.select("word", F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.element_at(best, -1)["path"]).alias("ids"))
+    return edges.select("word", F.aggregate(F.array_sort("edges"), start, step, lambda a: a["best"]["path"]).alias("ids"))
 
 
 def _answers(byte_ids: list[int]):
@@ -209,7 +208,7 @@ def _texts_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "docs": one(ids), "sizes": one(sizes), "texts": pa.array([_press(whole)], pa.binary())})
 
 
-def _spell(buckets: int, byte_ids: list[int], space: int):
+def _spell(buckets: int, byte_ids: list[int], space: int, also: list[bytes] | None):
     lone_space = np.array([space], np.int32).tobytes()
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -226,7 +225,8 @@ def _spell(buckets: int, byte_ids: list[int], space: int):
             if t:
                 tokens.update(t.split(" "))
         known: dict[str, bytes] = {}
-        mine = _by_bucket(tokens, buckets)
+        cut = {t: words_of(t) for t in tokens}
+        mine = _by_bucket(cut.values(), buckets)
         for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()):
             data, n = _unpress(packed), len(mine[b])
             ends = np.cumsum(np.frombuffer(data[: 2 * n], np.uint16).astype(np.int64)) * 4 + 2 * n
@@ -235,17 +235,30 @@ def _spell(buckets: int, byte_ids: list[int], space: int):
                 known[w] = data[begin:end]
                 begin = end
         raw_bytes = lambda w: (lone_space if w[0] == SPACE and len(w) > 1 else b"") + np.array([byte_ids[b] for b in w[-1].encode()], np.int32).tobytes()
-        spelled = {t: b"".join(raw_bytes(w) if _in_bytes(w) else known[w] for w in words_of(t)) for t in tokens}
+        spelled = {t: known[c[0]] if len(c) == 1 and c[0] in known else b"".join(raw_bytes(w) if _in_bytes(w) else known[w] for w in c) for t, c in cut.items()}
+        del tokens, cut, mine
         rows = [b"".join(map(spelled.__getitem__, t.split(" "))) if t else b"" for t in texts]
+        del spelled, known
         offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])
         flat = pa.array(np.frombuffer(b"".join(rows), np.int32), pa.int32())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)})
+        del rows
+        out = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)}
+        return pa.table(out | ({"decoded": _texts_of(out["ids"], also)} if also else {}))
 
     return run
 
 
-def encode(docs: DataFrame, table: Table, size_bytes: int | None = None) -> DataFrame:
-    """doc_id, text, ids of every row of docs(doc_id, text), docs being a stored table (it is read twice in the same partitions).
+def _texts_of(ids: pa.ListArray, spelled: list[bytes]) -> pa.Array:
+    """The text of each row of ids; null for null."""
+    offsets, values, out = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), []
+    for a, b, there in zip(offsets[:-1], offsets[1:], ids.is_valid().to_pylist()):
+        whole = b"".join(map(spelled.__getitem__, values[a:b].tolist())).removeprefix(b" ")
+        out.append(whole.decode("utf-8", "replace") if there else None)
+    return pa.array(out, pa.string())
+
+
+def encode(docs: DataFrame, table: Table, decoded: bool = False) -> DataFrame:
+    """doc_id, text, ids, and with `decoded` the text of ids as in decode(), in the same task, of every row of docs(doc_id, text), docs being a stored table (it is read twice in the same partitions).
 
     1. Each block of texts asks for its different words, by bucket of word.
     2. A bucket's different words go through the lattice once (lattice_paths).
@@ -254,15 +267,15 @@ def encode(docs: DataFrame, table: Table, size_bytes: int | None = None) -> Data
     Null and empty texts: no ids, text "". Repeated rows: encoded each. Words of over LONGEST_WORD letters are cut there. Decoding gives the
     text back exactly, whatever its characters. Empty table: no rows."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if size_bytes is None:
-        size_bytes = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = parts(size_bytes, 8 * BUCKET_BYTES)
+    size_bytes = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = parts(size_bytes, BUCKET_BYTES)
     asked = written(mine.mapInArrow(_words_batch(buckets), "block long, bucket int, words binary"), "words")
     words = asked.groupBy("bucket").applyInArrow(_distinct, "word string")
     paths = lattice_paths(words, table, parts(size_bytes, 1 << 24, 8)).withColumn("bucket", F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(buckets)).cast("int"))
     answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(_answers(table.bytes), "block long, bucket int, ids binary")
     chunks = mine.mapInArrow(_texts_batch, "block long, docs array<long>, sizes array<int>, texts binary")
-    return chunks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_spell(buckets, table.bytes, table.space), "doc_id long, text string, ids array<int>")
+    spell = _spell(buckets, table.bytes, table.space, table.spelled if decoded else None)
+    return chunks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spell, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, table: Table, name: str = "decoded") -> DataFrame:
@@ -271,14 +284,7 @@ def decode(encoded: DataFrame, table: Table, name: str = "decoded") -> DataFrame
 
     @F.arrow_udf("string")
     def spell(ids: pa.Array) -> pa.Array:
-        out = []
-        for row in ids:
-            if not row.is_valid:
-                out.append(None)
-                continue
-            whole = b"".join(map(spelled.__getitem__, row.values.to_numpy().tolist()))
-            out.append(whole[1:].decode("utf-8", "replace") if whole[:1] == b" " else whole.decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        return _texts_of(ids, spelled)
 
     return encoded.withColumn(name, spell("ids"))
 
@@ -286,7 +292,7 @@ def decode(encoded: DataFrame, table: Table, name: str = "decoded") -> DataFrame
 def pieces_of(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids_hash, decoded_sha256, round_trip: the digest of encode and decode."""
     table = load(model)
-    both = decode(encode(docs, table), table)
+    both = encode(docs, table, decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
