@@ -139,7 +139,8 @@ def _across(shared: DataFrame, links: DataFrame, sets: DataFrame, threshold: tup
     Not all pairs of a bucket: the shingles of these classes are ordered by their count, and two sets that reach the threshold share one
     of their first size - ceil(threshold * size) + 1. A set with more edits than that has only shingles of its own there, and meets nobody.
     The classes under a shingle are first compared with the one that has fewest shingles of its own, near the middle of its copies,
-    and merged; what is left in different components is then joined, if the shingles that each has for itself leave room for the threshold."""
+    and merged; what is left in different components is then joined, if the shingles that each has for itself, and those before
+    the common one, leave room for the threshold."""
     need, of = threshold
     label = components(links)
     named = _relabelled(label, shared)
@@ -154,7 +155,7 @@ def _across(shared: DataFrame, links: DataFrame, sets: DataFrame, threshold: tup
     # a shingle counted once has no partner; what is left of the prefix is indexed
     own = F.size(F.filter("order", lambda t: t["often"] == 1)).alias("own")
     first = F.slice("order", F.lit(1), (F.col("n") - least + 1).cast("int"))
-    prefix = written(ranked.select("doc_id", "n", own, F.explode(first).alias("p")).where("p.often > 1").select("doc_id", "n", "own", "p.token"), "prefixes")
+    prefix = written(ranked.select("doc_id", "n", own, F.posexplode(first).alias("at", "p")).where("p.often > 1").select("doc_id", "n", "own", "at", "p.token"), "prefixes")
 
     def open_prefixes(label: DataFrame) -> DataFrame:
         named = _relabelled(label, prefix)
@@ -169,9 +170,11 @@ def _across(shared: DataFrame, links: DataFrame, sets: DataFrame, threshold: tup
         links = links.unionByName(more)
         label = components(links)
     left = written(open_prefixes(label).drop("mid"), "open-prefixes")
-    one = left.withColumnsRenamed({"doc_id": "a", "component": "ca", "n": "na", "own": "oa"})
-    two = left.withColumnsRenamed({"doc_id": "b", "component": "cb", "n": "nb", "own": "ob"})
-    room = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob")).cast("long") * (need + of) >= (F.col("na") + F.col("nb")).cast("long") * need
+    one = left.withColumnsRenamed({"doc_id": "a", "component": "ca", "n": "na", "own": "oa", "at": "ia"})
+    two = left.withColumnsRenamed({"doc_id": "b", "component": "cb", "n": "nb", "own": "ob", "at": "ib"})
+    # at their first common shingle, no more are left to share than stand from there on
+    most = F.least(F.col("na") - F.greatest("oa", "ia"), F.col("nb") - F.greatest("ob", "ib")).cast("long")
+    room = most * (need + of) >= (F.col("na") + F.col("nb")).cast("long") * need
     near = (one["token"] == two["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & room
     return links.unionByName(written(_verified(one.join(two, near).select("a", "b").distinct(), sets, threshold), "links-across"))
 
