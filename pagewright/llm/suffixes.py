@@ -216,22 +216,19 @@ def _unpack(packed: bytes) -> bytes:
 
 
 def collection_order(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All suffixes of the strings data[begins[i]:ends[i]] in order, as places in data.
-
-    Column by column from the right: each round reads the transform (the byte before each suffix) in order, and every string's next
-    suffix takes its place behind those with smaller first bytes and, among equal ones, in the order it was read: a stable deal by byte.
-    The rounds are as many as the longest string has bytes; a piece has at most 176."""
-    heads = np.zeros(len(data) + 1, bool)
-    heads[begins] = True
-    before = np.full(len(data) + 1, END, np.uint8)
-    before[1:] = data
-    before[begins] = END
-    at = ends
-    for _ in range(int((ends - begins).max(initial=0))):
-        column = before[at]
-        going = column != END
-        at_going = at[going]
-        at = np.concatenate([ends, at_going[np.argsort(column[going], kind="stable")] - 1])
+    """The suffixes of WINDOW bytes and more of the strings data[begins[i]:ends[i]] in order, as places in data.
+
+    Column by column from the right: each round reads the transform (the byte before each suffix) in order, and every suffix, one byte
+    longer, takes its place behind those with smaller first bytes and, among equal ones, in the order it was read: a stable deal by
+    byte. A string inserts an empty suffix in each round whose suffixes will reach WINDOW bytes and end inside it, so that shorter ones
+    cost nothing. There are as many rounds as the longest string has bytes; a piece has at most 176."""
+    sizes = ends - begins
+    before = np.concatenate([[np.uint8(END)], data])
+    at = ends[:0]
+    for left in range(int(sizes.max(initial=0)), 0, -1):
+        if left >= WINDOW:
+            at = np.concatenate([ends[sizes >= left], at])
+        at = at[np.argsort(before[at], kind="stable")] - 1
     return at
 
 
@@ -240,23 +237,16 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, contents: list[bytes])
     data = np.frombuffer(b"".join(contents), np.uint8)
     ends = np.cumsum([len(c) for c in contents])
     begins = np.concatenate([[0], ends[:-1]])
-    # separate the strings: place e of string i is also place 0 of string i + 1, so strings are spaced by one byte
-    spaced = np.full(len(data) + len(contents), END, np.uint8)
-    shift = np.arange(len(contents))
-    spaced[np.arange(len(data)) + np.repeat(shift, ends - begins)] = data
-    begins, ends = begins + shift, ends + shift
-    at = collection_order(spaced, begins, ends)
-    of = np.searchsorted(begins, at, "right") - 1
-    whole = at + WINDOW <= ends[of]
-    at, of = at[whole], of[whole]
+    at = collection_order(data, begins, ends)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.searchsorted(begins, at, "right") - 1
     # common prefixes of neighbours, as far as WINDOW
     equal = np.ones(len(at) - 1, bool)
     for i in range(0, WINDOW, 4):
         live = np.flatnonzero(equal)
         for j in range(i, i + 4):
-            equal[live] &= spaced[at[live] + j] == spaced[at[live + 1] + j]
+            equal[live] &= data[at[live] + j] == data[at[live + 1] + j]
     group = np.concatenate([[0], np.cumsum(~equal)])
     d, s = doc[of], start[of] + at - begins[of]
     order = np.lexsort((s, d, group))
