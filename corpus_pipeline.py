@@ -19,8 +19,8 @@ from pagewright.llm.pii import redact
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids(doc_id)."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = ids.select(F.col("doc_id").alias("_pagewright_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_pagewright_gone")), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,12 +21,14 @@ PATTERNS = {
 #: A kind needs this in the text.
 NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": "[+][0-9]"}
 #: Identifier-like tokens: what patterns may find, if they have MIN_DIGITS digits and no base span covers any of them.
-TOKEN = r"(?<![A-Za-z0-9_-])[A-Za-z0-9][A-Za-z0-9_-]{5,}+"
+TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,}+"
 MIN_DIGITS = 4
 #: A pattern (the word before an instance) counts with so many distinct seeds, and is trusted from this score.
 MIN_SEEDS = 3
 TRUSTED = 0.8
 ROUNDS = 4
+#: Begins the names of columns that are added to documents for a while.
+OWN = "_pagewright_"
 
 
 def _places(text: Column, pattern: str, needs: str) -> Column:
@@ -138,18 +140,18 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each found span of text replaced by [KIND] (overlapping ones: the earlier start first); n_chars, where it is there, counted anew.
 
     All other columns stay as they are. Null text stays null."""
-    mine = spans_of(docs).where("size(base) + size(extra) > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.array_sort(F.concat("base", "extra")).alias("_spans")).dropDuplicates(["_doc", "_key"])
+    mine = spans_of(docs).where("size(base) + size(extra) > 0").select(F.col("doc_id").alias(f"{OWN}doc"), F.col("text_key").alias(f"{OWN}key"), F.array_sort(F.concat("base", "extra")).alias(f"{OWN}spans")).dropDuplicates([f"{OWN}doc", f"{OWN}key"])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def put(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), piece.alias("out")))
 
-    text = F.aggregate("_spans", start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    joined = docs.withColumn("_k", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(mine, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text")))
+    text = F.aggregate(f"{OWN}spans", start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    joined = docs.withColumn(f"{OWN}text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(mine, F.col("doc_id").eqNullSafe(F.col(f"{OWN}doc")) & (F.col(f"{OWN}text") == F.col(f"{OWN}key")), "left")
+    out = joined.withColumn("text", F.when(F.col(f"{OWN}spans").isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(f"{OWN}spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
