@@ -59,14 +59,14 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """letters: code point to symbol; for each language the sorted hashes of its n-grams of each order with log2 of their probability and of
-    their weight as a context; what an unseen symbol costs."""
+    """letters: code point to symbol; for each language the sorted hashes of its n-grams of each order with log2 of their probability,
+    those of its contexts with log2 of the weight of the order below, and what an unseen symbol costs."""
 
     languages: list[str]
     letters: np.ndarray
     hashes: list[list[np.ndarray]]
     logs: list[list[np.ndarray]]
-    weights: list[list[np.ndarray]]
+    weights: list[list[tuple[np.ndarray, np.ndarray]]]
     floor: list[float]
     limit: float = float("inf")
 
@@ -82,8 +82,9 @@ class Model:
                 todo = todo[~seen]
                 if n > 1 and len(todo):
                     context = (codes[todo] >> U(8)) & U((1 << 8 * (n - 1)) - 1)
-                    known, i = find(self.hashes[j][n - 2], key(context, n - 1))
-                    total[todo[known]] -= self.weights[j][n - 2][i[known]]
+                    contexts, weights = self.weights[j][n - 2]
+                    known, i = find(contexts, key(context, n - 1))
+                    total[todo[known]] -= weights[i[known]]
             out[todo, j] = total[todo] + self.floor[j]
         return out
 
@@ -150,7 +151,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     for i, r in enumerate(x for x in rows if x["letter"]):
         letters[r["letter"]] = i + 2
     counts = map_texts(learn, _count_batch(letters), "lang string, code long, n long", ("lang", "text")).groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    fits = [kneser_ney(g["code"].to_numpy().view(np.uint64), g["n"].to_numpy()) for g in (counts[counts["lang"] == name] for name in languages)]
+    fits = [kneser_ney(g["code"].to_numpy().view(np.uint64), g["n"].to_numpy(), int(letters.max()) + 1) for g in (counts[counts["lang"] == name] for name in languages)]
     model = Model(languages, letters, *[[f[i] for f in fits] for i in range(4)])
     worst = map_texts(check, _score_batch(model, "string"), SCORES.replace("doc_id long", "doc_id string"), ("lang", "text")).where(F.col("symbols") >= LEAST_SYMBOLS).agg(F.max("entropy")).first()[0]
     sample.unpersist()
@@ -158,17 +159,16 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return model
 
 
-def kneser_ney(codes: np.ndarray, n: np.ndarray) -> tuple[list, list, list, float]:
+def kneser_ney(codes: np.ndarray, n: np.ndarray, vocabulary: int) -> tuple[list, list, list, float]:
     """Sorted hashes, log2 probabilities and log2 context weights of each order, and the cost of a symbol never seen.
 
     The highest order has counts, the lower ones count the different symbols before them; each is discounted by ones / (ones + 2 twos)
-    and interpolated with the order below, the lowest with an even choice among all symbols."""
+    and interpolated with the order below, the lowest with an even choice among the vocabulary of all languages."""
     grams: list[tuple[np.ndarray, np.ndarray]] = [(codes, n.astype(float))]
     for k in range(ORDER - 1, 0, -1):
         longer = grams[-1][0]
         grams.append(tuple(map(np.asarray, np.unique(longer & U((1 << 8 * k) - 1), return_counts=True))))
     grams.reverse()  # by order
-    vocabulary = len(np.unique(codes & U(255))) + 1
     below = None
     hashes, logs, totals = [], [], []
     for k, (code, count) in enumerate(grams, 1):
@@ -189,12 +189,11 @@ def kneser_ney(codes: np.ndarray, n: np.ndarray) -> tuple[list, list, list, floa
         logs.append(np.log2(p[order]))
         totals.append((context, np.log2(weight)))
     weights = []
-    for k in range(1, ORDER):  # the weight of each k-gram as a context of the order above
+    for k in range(1, ORDER):  # of each context of k symbols, in the order of their hashes
         context, weight = totals[k]
-        out = np.zeros(len(hashes[k - 1]))
-        seen, i = find(hashes[k - 1], key(context, k))
-        out[i[seen]] = weight[seen]
-        weights.append(out)
+        h = key(context, k)
+        order = np.argsort(h)
+        weights.append((h[order], weight[order]))
     root = totals[0][1][0] if len(totals[0][1]) else 0.0
     return hashes, logs, weights, float(np.log2(vocabulary) - root)
 
