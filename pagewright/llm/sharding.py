@@ -1,8 +1,8 @@
-"""Balanced label propagation (native): linked documents move to their neighbours' shard under row quotas."""
+"""Balanced label propagation (native): groups of linked documents move to their members' shard under row quotas."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import numbered, parts, written
@@ -13,15 +13,19 @@ BUCKET_ROWS = 20_000
 SALTS = 16
 
 
-def balanced_shards(docs: DataFrame, n_shards: int = 8, rounds: int = 5) -> DataFrame:
+def balanced_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row of docs(doc_id, text).
 
-    Documents with equal texts are linked. All rows start dealt round robin. In each round a group's label is the shard that holds
-    most of its members (ties: by hash), members elsewhere ask to move there, and a shard admits them while its linked rows stay
-    within its quota. At last the rows without links fill what the quotas leave. Counts differ by at most one: the law `rows`.
+    Documents with equal texts are linked. All rows start dealt round robin. In each round a group that has no place yet asks for the
+    shard that holds most of its members (ties: by hash) among those whose quota still has room for all of it; a shard admits whole
+    groups, the largest first, and a refused group asks for its next shard. A shard that refuses a group has no room for it later, so
+    it ends after n_shards rounds at most. Groups larger than a quota are placed before the others, and the groups that fit nowhere
+    whole at the end (fewer than n_shards: each is larger than any room left) after them, over as few shards as hold them. At last
+    the rows without links fill what the quotas leave. Counts differ by at most one: the law `rows`.
 
     Null text: size 1, crc of no bytes, no links; an empty text is a text. Repeated rows count each. Null doc_id: an ordinary row.
     Empty table: no rows. Other columns are ignored."""
+    spark = docs.sparkSession
     base = written(
         docs.select(
             "doc_id",
@@ -34,58 +38,101 @@ def balanced_shards(docs: DataFrame, n_shards: int = 8, rounds: int = 5) -> Data
     n = base.count()
     buckets = parts(n, BUCKET_ROWS)
     quota = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
-    linked = base.groupBy("grp").agg(F.count("*").alias("members")).where("grp is not null and members > 1").select("grp", F.lit(True).alias("linked"))
     start = numbered(base, [], ["doc_id", "text_crc32"], "row", buckets, "doc_id")
-    state = (
-        _with_group(start, linked)
-        .withColumn("linked", F.coalesce("linked", F.lit(False)))
-        .withColumn("shard", (F.col("row") % n_shards).cast("int"))
-        .drop("row")
-    )
-    state = written(state, "shard-state")
-    for _ in range(rounds):
-        held = {r["shard"]: r["n"] for r in state.where("linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a shard
-        votes = state.where("linked").groupBy("grp", "shard").agg(F.count("*").alias("n"))
-        label = votes.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.xxhash64("grp", "shard"))).alias("label"))
-        asked = _with_group(state.where("linked"), label)
-        stay = asked.where("shard = label").drop("label")
-        move = numbered(asked.where("shard <> label"), ["label"], ["doc_id", "text_crc32"], "turn", parts(n, BUCKET_ROWS), "doc_id")
-        free = _by_shard("label", [q - held.get(s, 0) for s, q in enumerate(quota)])
-        moved = move.withColumn("admitted", F.col("turn") < free)
-        next_linked = stay.withColumn("admitted", F.lit(False)).unionByName(
-            moved.withColumn("shard", F.when(F.col("admitted"), F.col("label")).otherwise(F.col("shard"))).drop("label", "turn")
-        )
-        after = written(next_linked.unionByName(state.where("not linked").withColumn("admitted", F.lit(False))), "shard-state")
-        state = after.drop("admitted")
-        if not after.where("admitted").limit(1).count():
+    start = written(start.withColumn("shard", (F.col("row") % n_shards).cast("int")).drop("row"), "shard-start")
+    votes = F.array(*[F.count_if(F.col("shard") == s) for s in range(n_shards)])
+    groups = written(start.where("grp is not null").groupBy("grp").agg(F.count("*").alias("members"), votes.alias("votes")).where("members > 1"), "shard-groups")
+    room = list(quota)
+    split = _spread(groups.where(F.col("members") > min(quota)).collect(), room)  # fewer than n_shards groups
+    asking, settled = groups.where(F.col("members") <= min(quota)), []
+    while True:
+        asks = asking.withColumn("label", _label(room))
+        # a row for each shard and size of a group
+        classes = asks.where("label is not null").groupBy("label", "members").agg(F.count("*").alias("n")).collect()
+        if not classes:
             break
-    held = {r["shard"]: r["n"] for r in state.where("linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    single = numbered(state.where("not linked"), [], ["doc_id", "text_crc32"], "row", buckets, "doc_id")
+        taken = _admit(classes, room)
+        some = sum(r.n for r in classes if 0 < taken[r.label, r.members] < r.n)
+        sizes = spark.createDataFrame([(r.label, r.members, taken[r.label, r.members], r.n) for r in classes], "label int, members long, taken long, n long")
+        known = asks.join(F.broadcast(sizes), ["label", "members"], "left")
+        part = numbered(known.where("taken > 0 and taken < n"), ["label", "members"], ["grp"], "turn", parts(some, BUCKET_ROWS), "grp")
+        whole = known.where("taken is null or taken = 0 or taken = n").withColumn("admitted", F.coalesce(F.col("taken") > 0, F.lit(False)))
+        after = whole.unionByName(part.withColumn("admitted", F.col("turn") < F.col("taken")).drop("turn")) if some else whole
+        after = written(after.select("grp", "members", "votes", "label", "admitted"), "shard-asks")
+        settled.append(after.where("admitted").select("grp", "label"))
+        asking = after.where("not admitted").drop("label", "admitted")
+    split += _spread(asking.collect(), room)  # fewer than n_shards groups
+    places = spark.createDataFrame(split, "grp binary, ends array<struct<end:long,shard:int>>").withColumn("label", F.lit(None).cast("int"))
+    for labels in settled:
+        places = places.unionByName(labels, allowMissingColumns=True)
+    state = written(_with_group(start.drop("shard"), places), "shard-state")
+    whole = state.where("label is not null").withColumn("shard", F.col("label"))
+    cut = numbered(state.where("ends is not null"), ["grp"], ["doc_id", "text_crc32"], "turn", buckets, "doc_id")
+    cut = cut.withColumn("shard", F.filter("ends", lambda e: F.col("turn") < e["end"])[0]["shard"])
+    single = numbered(state.where("label is null and ends is null"), [], ["doc_id", "text_crc32"], "row", buckets, "doc_id")
     ends, at = [], 0
-    for s, q in enumerate(quota):
-        at += q - held.get(s, 0)
+    for s in range(n_shards):
+        at += room[s]
         ends.append(at)
     shard = F.lit(n_shards - 1)
     for s in reversed(range(n_shards - 1)):
         shard = F.when(F.col("row") < ends[s], F.lit(s)).otherwise(shard)
-    placed = written(state.where("linked").unionByName(single.withColumn("shard", shard.cast("int")).drop("row")), "shard-placed")
+    columns = ["doc_id", "size", "text_crc32", "shard", "grp"]
+    linked = whole.select(*columns, F.lit(True).alias("linked")).unionByName(cut.select(*columns, F.lit(True).alias("linked")))
+    placed = written(linked.unionByName(single.withColumn("shard", shard.cast("int")).select(*columns, F.lit(False).alias("linked"))), "shard-placed")
     out = numbered(placed, ["shard"], ["doc_id", "text_crc32"], "slot", parts(n, BUCKET_ROWS * n_shards), "doc_id")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot", "grp", "linked")
 
 
+def _label(room: list[int]) -> Column:
+    """The shard with most of a group's votes among those with room for its members; null if none has."""
+    shards = F.array(*[F.struct(F.col("votes")[s].alias("n"), F.xxhash64("grp", F.lit(s)).alias("tie"), F.lit(s).alias("shard"), F.lit(r).cast("long").alias("room")) for s, r in enumerate(room)])
+    return F.array_max(F.filter(shards, lambda x: x["room"] >= F.col("members")))["shard"].cast("int")
+
+
+def _admit(classes: list[Row], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many groups of each (label, members) their shard admits, the largest first; takes them from room."""
+    taken = {}
+    for r in sorted(classes, key=lambda r: -r.members):
+        taken[r.label, r.members] = min(r.n, room[r.label] // r.members)
+        room[r.label] -= taken[r.label, r.members] * r.members
+    return taken
+
+
+def _spread(groups: list[Row], room: list[int]) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """(grp, [(end, shard), ...]): where the rows of each group go, in order, by row numbers. Takes them from room.
+
+    First each group fills the shards with most room while it has rows for all of one; then what is left of it, the largest first, goes
+    to the fullest shard that holds it, or where none does, to those with most room."""
+    left = {bytes(g.grp): g.members for g in sorted(groups, key=lambda g: (-g.members, bytes(g.grp)))}
+    votes = {bytes(g.grp): g.votes for g in groups}
+    ends: dict[bytes, list[tuple[int, int]]] = {g: [] for g in left}
+
+    def put(g: bytes, s: int, k: int) -> None:
+        ends[g].append(((ends[g][-1][0] if ends[g] else 0) + k, s))
+        left[g] -= k
+        room[s] -= k
+
+    def most(g: bytes) -> int:
+        return max(range(len(room)), key=lambda s: (room[s], votes[g][s]))
+
+    for g in left:
+        while left[g] and left[g] >= room[s := most(g)]:
+            put(g, s, room[s])
+    for g in sorted(left, key=lambda g: -left[g]):
+        while left[g]:
+            holds = [s for s in range(len(room)) if room[s] >= left[g]]
+            s = min(holds, key=lambda s: (room[s], -votes[g][s])) if holds else most(g)
+            put(g, s, min(left[g], room[s]))
+    return list(ends.items())
+
+
 def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """rows left-joined to groups by grp, each group in SALTS copies."""
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["grp", "_salt"], "left").drop("_salt")
 
 
-def _by_shard(column: str, values: list[int]):
-    out = F.lit(0)
-    for s, v in enumerate(values):
-        out = F.when(F.col(column) == s, F.lit(v)).otherwise(out)
-    return out
-
-
 def op8_balanced_sharding(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 

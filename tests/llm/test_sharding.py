@@ -29,3 +29,36 @@ def test_groups_stay_together_and_a_large_one_is_split(spark):
     for r in rows:
         where.setdefault(texts[r.doc_id], set()).add(r.shard)
     assert sum(len(where[f"g{i}"]) > 1 for i in range(20)) <= 2
+
+
+def spread(rows, texts):
+    """The shards of each text that occurs more than once."""
+    where = {}
+    for r in rows:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    return {t: where[t] for t, k in Counter(texts).items() if k > 1}
+
+
+def test_a_group_over_a_quota_takes_as_few_shards_as_hold_it(spark):
+    """A third of all rows in one group: two full shards and a part; no small group is refused for good."""
+    texts = ["hot"] * 200 + [f"g{i % 60}" for i in range(240)] + [f"single {i}" for i in range(160)]
+    rows = balanced_shards(table(spark, texts), 8).collect()
+    check(rows, texts, 8)
+    where = spread(rows, texts)
+    assert len(where["hot"]) == 3
+    assert all(len(where[f"g{i}"]) == 1 for i in range(60))
+
+
+def test_linked_rows_only(spark):
+    """Without single rows to fill up, only groups larger than any room left are split: fewer than there are shards."""
+    texts = [f"g{i}" for i in range(67) for _ in range(2 + i % 9)] + ["large"] * 70 + ["larger"] * 75
+    rows = balanced_shards(table(spark, texts), 8).collect()
+    check(rows, texts, 8)
+    where = spread(rows, texts)
+    assert len(where["large"]) <= 2 and len(where["larger"]) <= 2
+    assert sum(len(where[f"g{i}"]) > 1 for i in range(67)) < 8
+
+
+def test_fewer_rows_than_shards(spark):
+    texts = ["a", "a", "b", "b", "b"]
+    check(balanced_shards(table(spark, texts), 8).collect(), texts, 8)
