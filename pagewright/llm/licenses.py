@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, map_texts
-from .words import ALNUM, LOWER, raw, word_spans
+from .words import ALNUM, LOWER, U, raw, word_hashes, word_spans
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -52,6 +53,12 @@ def token_order(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> list[
     return sorted((w.decode() for w in words), key=lambda w: (n.get(w, 0), w))
 
 
+def _covers(line: dict, window: dict) -> bool:
+    """Whether a line that meets the window's template has words of the window, and as many of the template's."""
+    apart = line["first_word"] + line["words"] <= window["first_word"] or window["first_word"] + window["words"] <= line["first_word"]
+    return line["template"] == window["template"] and not apart and line["shared"] >= window["shared"]
+
+
 SCAN = (
     "doc_id long, n_words long, places array<struct<label:string,word:long>>, "
     "blocks array<struct<template:string,first_word:long,words:long,shared:long,containment:double>>"
@@ -69,6 +76,44 @@ def _scan_batch(order: list[str], templates: dict[str, str], least: float):
         for i, w in enumerate(tokens[: len(tokens) - need + 1]):
             index.setdefault(w, []).append((name, i))
     firsts = frozenset(index)
+    joined = b"\n".join(coded := [w.encode() for w in order])
+    ends = np.cumsum([len(w) + 1 for w in coded]) - 1
+    hashes = word_hashes(np.frombuffer(joined, np.uint8), ends - [len(w) for w in coded], ends) if order else np.zeros(0, U)
+    by_hash = np.argsort(hashes)
+    hashes = hashes[by_hash]
+
+    def known(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the templates' words stand among all words, and their ranks."""
+        mine = word_hashes(data, starts, ends)
+        at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+        there = np.flatnonzero(hashes[at] == mine)
+        return there, by_hash[at[there]]
+
+    def windows(there: np.ndarray, ranks: np.ndarray, bounds: np.ndarray, lines: np.ndarray) -> Iterator[tuple[int, str, int, int]]:
+        """(text, template, first word, end) of the runs of as many words as a template has that cross a line end and meet it."""
+        text_of = np.searchsorted(bounds, there, "right") - 1
+        for name, text in templates.items():
+            tokens, need = sides[name]
+            length = len(text.split())
+            side = np.zeros(len(order), bool)
+            side[[rank[t] for t in tokens]] = True
+            mine = side[ranks]
+            at, word, doc = there[mine], ranks[mine], text_of[mine]
+            if not np.isin(word, [rank[t] for t in tokens[: len(tokens) - need + 1]]).any():  # no prefix word
+                continue
+            # an occurrence counts in the windows that start after the same word's last one, and reach it
+            by_word = np.lexsort((at, word))
+            before = np.full(len(at), -1)
+            same = word[by_word[1:]] == word[by_word[:-1]]
+            before[by_word[1:][same]] = at[by_word[:-1][same]]
+            low = np.maximum(np.maximum(before + 1, at - length + 1), bounds[doc])
+            turn = np.bincount(low, minlength=bounds[-1] + 1) - np.bincount(at + 1, minlength=bounds[-1] + 1)
+            first = np.flatnonzero(np.cumsum(turn) >= need)
+            doc = np.searchsorted(bounds, first, "right") - 1
+            end = np.minimum(first + length, bounds[doc + 1])
+            for i, a, b in zip(doc, first, end):
+                if lines[a] != lines[b - 1]:
+                    yield int(i), name, int(a), int(b)
 
     def meet(words: list[bytes]) -> list[tuple[str, int, float]]:
         mine = frozenset(words)
@@ -91,8 +136,13 @@ def _scan_batch(order: list[str], templates: dict[str, str], least: float):
     def run(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         data, offsets = raw(texts)
         data = LOWER[data]
-        starts, _, bounds = word_spans(data, offsets, ALNUM)
+        starts, ends, bounds = word_spans(data, offsets, ALNUM)
         whole = data.tobytes()
+        lines = np.cumsum(data == 10)[starts] if len(data) else starts
+        crossing: dict[int, list[tuple[str, int, int]]] = {}
+        if len(starts) and order:
+            for i, *window in windows(*known(data, starts, ends), bounds, lines):
+                crossing.setdefault(i, []).append(tuple(window))
         places: list[list] = [[] for _ in range(len(texts))]
         blocks: list[list] = [[] for _ in range(len(texts))]
         for i in range(len(texts)):
@@ -106,6 +156,20 @@ def _scan_batch(order: list[str], templates: dict[str, str], least: float):
                     first = int(np.searchsorted(starts, at) - bounds[i])
                     blocks[i] += [{"template": n, "first_word": first, "words": len(words), "shared": s, "containment": c} for n, s, c in met]
                 at += len(line) + 1
+            best: list[dict] = []
+            for name, a, b in crossing.get(i, ()):  # by template, then place
+                tokens = sides[name][0]
+                mine = {whole[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())}
+                shared = sum(t in mine for t in tokens)
+                if shared < sides[name][1]:
+                    continue
+                block = {"template": name, "first_word": a - int(bounds[i]), "words": b - a, "shared": shared, "containment": shared / len(tokens)}
+                if best and best[-1]["template"] == name and block["first_word"] < best[-1]["first_word"] + best[-1]["words"]:
+                    best[-1] = max(best[-1], block, key=lambda x: x["shared"])
+                else:
+                    best.append(block)
+            held = list(blocks[i])
+            blocks[i] += [w for w in best if not any(_covers(x, w) for x in held)]
         kinds = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
         found = pa.list_(pa.struct([("template", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("shared", pa.int64()), ("containment", pa.float64())]))
         return pa.RecordBatch.from_pydict({"doc_id": ids, "n_words": pa.array(np.diff(bounds)), "places": pa.array(places, kinds), "blocks": pa.array(blocks, found)})
@@ -114,7 +178,11 @@ def _scan_batch(order: list[str], templates: dict[str, str], least: float):
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, n_words, places (of PHRASES, by word), blocks (lines that meet a template) of every row of docs(doc_id, text).
+    """doc_id, n_words, places (of PHRASES, by word), blocks that meet a template, of every row of docs(doc_id, text).
+
+    Blocks are the lines, and for notices that are wrapped over lines, the runs of as many words as the template has (at any word, across
+    empty lines too, fewer at the text's end). Of the runs that cross a line end and overlap, the best one is given, unless a line that
+    it touches has as many of the template's words.
 
     Two sets meet if the block has `containment` of the template's words; then it has one of the template's first size - need + 1 words in
     the global order, so only blocks with such a word are compared. Null, empty and wordless texts: no words, places or blocks."""

@@ -1,4 +1,6 @@
+import random
 import re
+import textwrap
 
 from pagewright.llm import licenses
 from tests.llm.conftest import table
@@ -28,3 +30,53 @@ def test_places_and_blocks(spark):
 
 def test_edges(edge, edge_texts, nothing):
     assert licenses.scan(edge).count() == len(edge_texts) and licenses.scan(nothing).count() == 0
+
+
+def test_wrapped_notices(spark):
+    """Every template, wrapped at every width, as a comment, between empty lines and after other words, is found whole."""
+    wrapped, names = [], []
+    for name, t in licenses.TEMPLATES.items():
+        for width in (8, 20, 40):
+            for lead in ("", " * ", "\n# "):
+                wrapped.append("Other words here\n" + "\n".join(lead + line for line in textwrap.wrap(t.title(), width, break_long_words=False)) + "\nand more")
+                names.append(name)
+    got = {r.doc_id: r.blocks for r in licenses.scan(table(spark, wrapped)).collect()}
+    for i, name in enumerate(names):
+        assert max((b.containment for b in got[i] if b.template == name), default=0) == 1, (name, wrapped[i])
+
+
+def test_wrapped_form_of_the_grant(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+    texts = [grant, bsd, mpl, "all rights\n\nreserved", "all other rights\nare reserved"]
+    got = {r.doc_id: [(b.template, b.first_word) for b in r.blocks] for r in licenses.scan(table(spark, texts)).collect()}
+    assert got == {0: [("mit-grant", 0)], 1: [("bsd-redistribution", 0)], 2: [("mpl-2.0", 0)], 3: [("all-rights", 0)], 4: []}
+
+
+def test_windows_against_plain_loops(spark):
+    """Which templates are met, by lines or by windows at every word, and how well."""
+    rng = random.Random(5)
+    pool = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()} | {"x", "y"})
+    texts = []
+    for _ in range(150):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(1, 3)):
+            words += [w for w in rng.choice(sorted(licenses.TEMPLATES.values())).split() if rng.random() < 0.9]
+        texts.append("".join(w + rng.choice((" ", " ", " ", "\n", "\n\n")) for w in words))
+    got = {r.doc_id: r.blocks for r in licenses.scan(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w, want = split(t), {}
+        for name, s in licenses.TEMPLATES.items():
+            size, tokens = len(s.split()), set(s.split())
+            sets = [set(split(line)) for line in t.split("\n")] + [set(w[k : k + size]) for k in range(len(w))]
+            best = max((len(x & tokens) / len(tokens) for x in sets), default=0)
+            if best >= licenses.CONTAINMENT:
+                want[name] = best
+        have = {}
+        for b in got[i]:
+            have[b.template] = max(have.get(b.template, 0), b.containment)
+            if b.words <= len(licenses.TEMPLATES[b.template].split()):
+                tokens = set(licenses.TEMPLATES[b.template].split())
+                assert b.shared == len(tokens & set(w[b.first_word : b.first_word + b.words]))
+        assert have == want, t
