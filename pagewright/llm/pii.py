@@ -23,7 +23,7 @@ NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": "[+][0-9]"}
 #: Identifier-like tokens: what patterns may find, if they have MIN_DIGITS digits and no base span covers any of them.
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,}+"
 MIN_DIGITS = 4
-#: A pattern (the word before an instance) counts with so many distinct seeds, and is trusted from this score.
+#: A pattern (the word before an instance) counts with so many distinct seeds or trusted instances, and is trusted from this score.
 MIN_SEEDS = 3
 TRUSTED = 0.8
 ROUNDS = 4
@@ -95,9 +95,10 @@ def _left_word(before: Column) -> Column:
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base: array<struct<start, rank, end, kind>>, extra: the same for what the method adds, per row of docs(doc_id, text).
 
-    Pattern-instance graph: a pattern is the word before an instance. Seeds (base spans) score 1. In each round a pattern scores
-    the sum of its instances' scores over all places of its word in the corpus, an instance 1 - product of (1 - score) of its
-    patterns. Tokens after patterns of TRUSTED score are added as kind `id`.
+    Pattern-instance graph: a pattern is the word before MIN_SEEDS distinct instances that are seeds or found with TRUSTED score. Seeds
+    (base spans) score 1. In each round a pattern scores the sum of its instances' scores over all places of its word in the corpus,
+    an instance 1 - product of (1 - score) of its patterns, until ROUNDS rounds in a row bring no new pattern. Tokens after patterns of
+    TRUSTED score are added as kind `id`.
 
     Null or empty text: no spans. Repeated rows get the same spans each. Offsets are code points, end exclusive."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -113,17 +114,20 @@ def spans_of(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "text_key", "t.*")
     seeds = found.select(F.explode("base").alias("b")).select(F.col("b.left").alias("pattern"), F.col("b.value").alias("instance")).where("pattern is not null").groupBy("pattern", "instance").agg(F.count("*").alias("n")).withColumn("seed", F.lit(True))
     others = free.select(F.col("left").alias("pattern"), F.col("value").alias("instance")).where("pattern is not null").groupBy("pattern", "instance").agg(F.count("*").alias("n")).withColumn("seed", F.lit(False))
-    able = seeds.groupBy("pattern").agg(F.count("*").alias("s")).where(F.col("s") >= MIN_SEEDS).select("pattern")
-    edges = written(seeds.unionByName(others).join(able, "pattern"), "pii-edges")
+    edges = written(seeds.unionByName(others), "pii-edges")
     # every place of a pattern's word in the corpus, whatever follows
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("all"))
     total = written(words.join(edges.select("pattern").distinct(), "pattern"), "pii-totals")
-    score = edges.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
-    for _ in range(ROUNDS):
-        pattern = edges.join(score, "instance").groupBy("pattern").agg(F.sum(F.col("score") * F.col("n")).alias("hits")).join(total, "pattern").select("pattern", F.least(F.lit(1.0), F.col("hits") / F.greatest("all", F.lit(1))).alias("p"))
-        pattern = written(pattern, "pii-patterns")
-        score = edges.join(pattern, "pattern").groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("s"), (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("q")).select("instance", F.greatest("s", "q").alias("score"))
-        score = written(score, "pii-instances")
+    seeded = edges.where("seed").select("instance", F.lit(1.0).alias("score")).distinct()
+    score, known, still = seeded, -1, 0
+    while still < ROUNDS:
+        sure = F.count_if(F.col("score") >= TRUSTED)
+        able = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(score, "instance").groupBy("pattern").agg(sure.alias("s"), F.sum(F.col("score") * F.col("n")).alias("hits")).where(F.col("s") >= MIN_SEEDS)
+        pattern = written(able.join(total, "pattern").select("pattern", F.least(F.lit(1.0), F.col("hits") / F.greatest("all", F.lit(1))).alias("p")), "pii-patterns")
+        count = pattern.count()
+        known, still = count, still + 1 if count == known or known < 0 else 1
+        met = edges.join(pattern, "pattern").select("pattern", "instance", "p").distinct().groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("score"))
+        score = written(met.unionByName(seeded).groupBy("instance").agg(F.max("score").alias("score")), "pii-instances")
     new = (
         free.join(pattern.where(F.col("p") >= TRUSTED).withColumnRenamed("pattern", "left"), "left")
         .groupBy("doc_id", "text_key")

@@ -48,3 +48,13 @@ def test_redaction(spark):
     texts = ["to a@b.c, 1.2.3.4!", None, "clean", "to a@b.c, 1.2.3.4!"]
     got = {r.doc_id: (r.text, r.n_chars, r.kept) for r in pii.redact(table(spark, texts)).collect()}
     assert got == {0: ("to [EMAIL], [IP]!", 17, "x"), 1: (None, None, "x"), 2: ("clean", 5, "x"), 3: ("to [EMAIL], [IP]!", 17, "x")}
+
+
+def test_found_identifiers_induce_patterns(spark):
+    """Identifiers found after one word make another word a pattern, which finds the rest; one such identifier is not enough."""
+    texts = [f"contact: u{i}@mail.example.com" for i in range(40)] + [f"contact: QX-4471-8{i} today" for i in range(5)]
+    texts += [f"see ticket QX-4471-8{i}" for i in range(5)] + ["see ticket ZW-9935-12", "near depot QX-4471-80", "near depot ZW-7777-12"]
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.extra] for r in pii.spans_of(table(spark, texts)).collect()}
+    assert got[44] == [(9, 19, "id")]
+    assert got[45] == [(11, 21, "id")] and got[50] == [(11, 21, "id")]
+    assert got[51] == got[52] == []
