@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,35 +18,63 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1 << 20
 
 
+#: Removes a query's shuffle files once its result is stored; without it they stay until the driver collects its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a new temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a new temporary
+    folder; on a cluster that would be another folder on each machine, so it is an error there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-_tables: list[str] = []
+class Tables:
+    """The tables that written() makes inside `with Tables() as t:` in this thread; t.drop(spark) removes them, and no others.
+
+    Only for when nothing that reads them is still to be evaluated. Outside any such block tables stay: a frame that an operator
+    returns may read them at any later time."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Tables:
+        self._token = _scope.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scope.reset(self._token)
+
+    def drop(self, spark: SparkSession) -> None:
+        while self.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_scope: ContextVar[Tables | None] = ContextVar("tables", default=None)
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor. drop_written() removes it, unless keep."""
+    """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor. It belongs to the Tables block that
+    it is called in, if any, unless keep."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not keep:
-        _tables.append(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    if not keep and (scope := _scope.get()) is not None:
+        scope.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Removes the tables that operators have written so far. Only for when nothing that reads them is still to be evaluated."""
-    while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -73,6 +104,17 @@ def map_texts(docs: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str, c
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def text_flag(fn: Callable[[pa.Array], np.ndarray], text: str = "text") -> Column:
+    """A boolean of each row's own text: fn(texts without nulls) -> flags, over chunks. Decides by row, whatever its ids, and shuffles nothing."""
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        chunks = text_chunks([pa.RecordBatch.from_arrays([texts], ["text"])])
+        return pa.array(np.concatenate([np.zeros(0, bool), *(fn(c) for (c,) in chunks)]), pa.bool_())
+
+    return run(F.col(text))
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     """How many parts of about `each` rows hold `rows`."""
     return max(least, -(-rows // each))
@@ -92,14 +134,15 @@ def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: st
     return ranked.join(starts, [*keys, "_bucket"]).withColumn(name, (F.col("_from") + F.col("_rank")).cast("long")).drop("_bucket", "_rank", "_from")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) of every node of edges(a, b); component is the smallest node reachable.
 
     Alternating stars: each round every node's larger, then its smaller neighbours are linked to the smallest one, until nothing
-    changes. Hubs are no problem: only a minimum is taken per node."""
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
-    )
+    changes. Hubs are no problem: only a minimum is taken per node. The longest path halves in a round, so `rounds` is never reached;
+    if it were, labels would be unfinished, and this raises."""
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = written(links, "links")
+    seen = _fingerprint(now)
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -112,10 +155,18 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        after = written(small, "links")
-        if not after.exceptAll(now).limit(1).count() and not now.exceptAll(after).limit(1).count():
+        now = written(small, "links")
+        last, seen = seen, _fingerprint(now)
+        if last == seen:
             break
-        now = after
-    stars = after.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    else:
+        raise RuntimeError(f"components are not finished after {rounds} rounds")
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(roots)
+
+
+def _fingerprint(links: DataFrame) -> tuple:
+    """How many links, and two sums of their hashes: equal for equal sets."""
+    hashes = [F.sum(F.shiftright(F.xxhash64("u", "v", F.lit(i)), 24)) for i in (0, 1)]
+    return tuple(links.agg(F.count("*"), *hashes).first())

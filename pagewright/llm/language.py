@@ -7,23 +7,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import documents, map_texts, text_flag
 from .words import MIX_1, U, raw
 
-#: Characters of an n-gram. A code holds a character in 8 bits.
-ORDER = 4
+#: Characters of an n-gram. A code holds each of them in WIDTH bits: a letter of the basic plane, 0 for what is no letter.
+ORDER, WIDTH = 4, 16
 #: The models are fitted on about this many labelled rows of each language (whole texts), chosen by hash; a fifth of them calibrates.
 FIT_ROWS = 600
-#: Known letters; rarer ones count as one unknown letter.
-ALPHABET = 200
-#: A document is rejected if its cross-entropy is over the largest of the calibration rows by this factor.
-MARGIN = 1.25
+#: A document is rejected if its cross-entropy is over this quantile of the calibration rows by MARGIN.
+QUANTILE, MARGIN = 0.99, 1.5
 #: Below this many symbols a cross-entropy says too little to reject.
 LEAST_SYMBOLS = 20
-SPACE_ID, UNKNOWN_ID = 0, 1
+OTHER = 0xFFFF  # any letter outside the basic plane
 
 _letters: list[np.ndarray] = []
 
@@ -43,14 +41,14 @@ def letter_table() -> np.ndarray:
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as lower-case letters, every run of other characters as one 0, and ORDER - 1 zeros before each text; where texts start.
 
-    Letters outside the basic plane count as U+FFFF: unknown letters."""
+    Letters outside the basic plane count as one letter, OTHER."""
     strings = texts.to_pylist()
     data = np.frombuffer(("\0" * 2).join(strings).encode("utf-32-le", "surrogatepass"), np.uint32) if strings else np.zeros(0, np.uint32)
     n = np.array([len(s) for s in strings], np.int64)
     begin = np.concatenate([[0], np.cumsum(n + 2)])[:-1]
     low = letter_table()[np.minimum(data, 0xFFFF)]
     for i in np.flatnonzero(data > 0xFFFF):
-        low[i] = 0xFFFF if chr(data[i]).isalpha() else 0
+        low[i] = OTHER if chr(data[i]).isalpha() else 0
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 0) | (low[:-1] != 0)
     at = np.concatenate([[0], np.cumsum(keep)])
@@ -59,11 +57,10 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """letters: code point to symbol; for each language the sorted hashes of its n-grams of each order with log2 of their probability,
-    those of its contexts with log2 of the weight of the order below, and what an unseen symbol costs."""
+    """For each language the sorted hashes of its n-grams of each order with log2 of their probability, those of its contexts with log2 of
+    the weight of the order below, and what an unseen symbol costs; limit: the calibrated cross-entropy of rejection."""
 
     languages: list[str]
-    letters: np.ndarray
     hashes: list[list[np.ndarray]]
     logs: list[list[np.ndarray]]
     weights: list[list[tuple[np.ndarray, np.ndarray]]]
@@ -81,7 +78,7 @@ class Model:
                 out[todo[seen], j] = total[todo[seen]] - self.logs[j][n - 1][i[seen]]
                 todo = todo[~seen]
                 if n > 1 and len(todo):
-                    context = (codes[todo] >> U(8)) & U((1 << 8 * (n - 1)) - 1)
+                    context = (codes[todo] >> U(WIDTH)) & low_symbols(n - 1)
                     contexts, weights = self.weights[j][n - 2]
                     known, i = find(contexts, key(context, n - 1))
                     total[todo[known]] -= weights[i[known]]
@@ -89,10 +86,15 @@ class Model:
         return out
 
 
+def low_symbols(n: int) -> np.uint64:
+    """A mask for the last n symbols of a code."""
+    return U((1 << WIDTH * n) - 1)
+
+
 def key(codes: np.ndarray, n: int) -> np.ndarray:
     """A hash of the last n symbols: a product with an odd number, so different n-grams never meet."""
     with np.errstate(over="ignore"):
-        return ((codes & U((1 << 8 * n) - 1)) + (U(n) << U(56))) * MIX_1
+        return (codes & low_symbols(n)) * MIX_1
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,37 +109,27 @@ def codes_of(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for back in range(ORDER):
         prior = np.zeros(len(ids), np.uint64)
         prior[back:] = ids[: len(ids) - back] if back else ids
-        code |= np.where(age >= back, prior, U(0)) << U(8 * back)
+        code |= np.where(age >= back, prior, U(0)) << U(WIDTH * back)
     return code
 
 
-def _count_batch(letters: np.ndarray):
-    def run(lang: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        low, starts = symbols(texts)
-        code = codes_of(letters[low], starts)
-        names = np.asarray(lang.to_pylist(), object)
-        of = np.repeat(names, np.diff(starts))
-        counts = pd.DataFrame({"lang": of, "code": code.view(np.int64)}).groupby(["lang", "code"]).size().reset_index(name="n")
-        return pa.RecordBatch.from_pydict({"lang": pa.array(counts["lang"]), "code": pa.array(counts["code"]), "n": pa.array(counts["n"])})
-
-    return run
-
-
-def _letters_batch(lang: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    n = np.bincount(symbols(texts)[0], minlength=1 << 16)
-    there = np.flatnonzero(n)
-    return pa.RecordBatch.from_pydict({"letter": pa.array(there), "n": pa.array(n[there])})
+def _count_batch(lang: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    low, starts = symbols(texts)
+    code = codes_of(low, starts)
+    of = np.repeat(np.asarray(lang.to_pylist(), object), np.diff(starts))
+    counts = pd.DataFrame({"lang": of, "code": code.view(np.int64)}).groupby(["lang", "code"]).size().reset_index(name="n")
+    return pa.RecordBatch.from_pydict({"lang": pa.array(counts["lang"]), "code": pa.array(counts["code"]), "n": pa.array(counts["n"])})
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model of each value of lang in labelled(doc_id, text, lang).
 
     About fit_rows rows a language are read, those with the smallest hashes of doc_id; what comes to the driver is their n-gram counts.
-    Rows without lang or text teach nothing. No rows: a model without languages."""
+    Rows without lang or text teach nothing. Repeated rows count each. No rows: a model without languages."""
     known = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
-        return Model([], np.zeros(1 << 16, np.uint8), [], [], [], [])
+        return Model([], [], [], [], [])
     languages = sorted(sizes)
     share = F.lit(0.0)
     for name in languages:
@@ -145,17 +137,14 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(draw < share).withColumn("role", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5))).drop("doc_id").persist()
     learn, check = sample.where("role > 0"), sample.where("role = 0")
-    rows = map_texts(learn, _letters_batch, "letter long, n long", ("lang", "text")).groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(ALPHABET).collect()
-    letters = np.full(1 << 16, UNKNOWN_ID, np.uint8)
-    letters[0] = SPACE_ID
-    for i, r in enumerate(x for x in rows if x["letter"]):
-        letters[r["letter"]] = i + 2
-    counts = map_texts(learn, _count_batch(letters), "lang string, code long, n long", ("lang", "text")).groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    fits = [kneser_ney(g["code"].to_numpy().view(np.uint64), g["n"].to_numpy(), int(letters.max()) + 1) for g in (counts[counts["lang"] == name] for name in languages)]
-    model = Model(languages, letters, *[[f[i] for f in fits] for i in range(4)])
-    worst = map_texts(check, _score_batch(model, "string"), SCORES.replace("doc_id long", "doc_id string"), ("lang", "text")).where(F.col("symbols") >= LEAST_SYMBOLS).agg(F.max("entropy")).first()[0]
+    counts = map_texts(learn, _count_batch, "lang string, code long, n long", ("lang", "text")).groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    letters = len(np.unique(counts["code"].to_numpy().view(np.uint64) & low_symbols(1)))
+    fits = [kneser_ney(g["code"].to_numpy().view(np.uint64), g["n"].to_numpy(), letters + 1) for g in (counts[counts["lang"] == name] for name in languages)]
+    model = Model(languages, *[[f[i] for f in fits] for i in range(4)])
+    scored = map_texts(check, _score_batch(model, "string"), SCORES.replace("doc_id long", "doc_id string"), ("lang", "text")).where(F.col("symbols") >= LEAST_SYMBOLS)
+    high = scored.agg(F.percentile("entropy", QUANTILE)).first()[0]
     sample.unpersist()
-    model.limit = float("inf") if worst is None else worst * MARGIN
+    model.limit = float("inf") if high is None else high * MARGIN
     return model
 
 
@@ -167,7 +156,7 @@ def kneser_ney(codes: np.ndarray, n: np.ndarray, vocabulary: int) -> tuple[list,
     grams: list[tuple[np.ndarray, np.ndarray]] = [(codes, n.astype(float))]
     for k in range(ORDER - 1, 0, -1):
         longer = grams[-1][0]
-        grams.append(tuple(map(np.asarray, np.unique(longer & U((1 << 8 * k) - 1), return_counts=True))))
+        grams.append(tuple(map(np.asarray, np.unique(longer & low_symbols(k), return_counts=True))))
     grams.reverse()  # by order
     below = None
     hashes, logs, totals = [], [], []
@@ -176,11 +165,11 @@ def kneser_ney(codes: np.ndarray, n: np.ndarray, vocabulary: int) -> tuple[list,
         count = np.asarray(count, float)[first]
         ones, twos = (count == 1).sum(), (count == 2).sum()
         discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-        context, where = np.unique(code >> U(8), return_inverse=True)
+        context, where = np.unique(code >> U(WIDTH), return_inverse=True)
         total = np.bincount(where, count)
         kinds = np.bincount(where)
         weight = discount * kinds / total
-        lower = np.full(len(code), 1 / vocabulary) if k == 1 else below[1][find(below[0], code & U((1 << 8 * (k - 1)) - 1))[1]]
+        lower = np.full(len(code), 1 / vocabulary) if k == 1 else below[1][find(below[0], code & low_symbols(k - 1))[1]]
         p = np.maximum(count - discount, 0) / total[where] + weight[where] * lower
         below = (code, p)
         h = key(code, k)
@@ -204,7 +193,7 @@ SCORES = "doc_id long, lang_pred string, score double, entropy double, symbols l
 def _score_batch(model: Model, kind: str = "long"):
     def run(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         low, starts = symbols(texts)
-        code = codes_of(model.letters[low], starts)
+        code = codes_of(low, starts)
         where, seen = pd.factorize(code)
         cost = model.cost(seen.astype(np.uint64))
         letters = np.concatenate([[0], np.cumsum(low != 0)])
@@ -231,10 +220,26 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected of every row of docs(doc_id, text).
 
     `und`, score 0, rejected: null text, or none of its characters is a letter. Otherwise the language of the least cross-entropy a
-    symbol (ties: first by name) with its share of all languages' likelihoods; rejected if the entropy is over the calibrated limit."""
+    symbol (ties: first by name) with its share of all languages' likelihoods; rejected if the entropy is over the calibrated limit.
+    Repeated rows: each its result. Other columns are ignored. Empty table: no rows. A model without languages: all `und`."""
     scored = map_texts(docs.select(F.col("doc_id").cast("long"), "text"), _score_batch(model), SCORES)
-    strange = (F.col("entropy") > model.limit) & (F.col("symbols") >= LEAST_SYMBOLS)
-    return scored.select("doc_id", "lang_pred", "score", "entropy", (strange | (F.col("lang_pred") == "und")).alias("rejected"))
+    return scored.select("doc_id", "lang_pred", "score", "entropy", ((F.col("lang_pred") == "und") | _strange(model)).alias("rejected"))
+
+
+def _strange(model: Model) -> Column:
+    return (F.col("entropy") > model.limit) & (F.col("symbols") >= LEAST_SYMBOLS)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that identify() doesn't reject, each judged by its own text, whatever its other columns."""
+    score = _score_batch(model, "string")
+
+    def flags(texts: pa.Array) -> np.ndarray:
+        out = score(texts, texts)
+        entropy, symbol = (out.column(c).to_numpy() for c in ("entropy", "symbols"))
+        return (np.array(out.column("lang_pred").to_pylist()) != "und") & ~((entropy > model.limit) & (symbol >= LEAST_SYMBOLS))
+
+    return docs.where(text_flag(flags))
 
 
 def held_out(doc_id="doc_id"):

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from pagewright.llm import common, words
 
@@ -49,3 +50,15 @@ def test_chunks_keep_rows_whole_and_slices_apart():
     assert got == [([1, 2], ["", "b" * 9]), ([3], ["c"])]
     data, offsets = words.raw(texts.fill_null(""))
     assert data.tobytes() == b"b" * 9 + b"c" and offsets.tolist() == [0, 0, 9, 10]
+
+
+def test_tables_of_a_block_are_dropped_and_no_others(spark):
+    outside = common.written(spark.range(3), "outside")
+    with common.Tables() as tables:
+        inside = common.written(spark.range(4), "inside")
+        kept = common.written(spark.range(5), "kept", keep=True)
+    assert len(tables.paths) == 1 and inside.count() == 4
+    tables.drop(spark)
+    assert outside.count() == 3 and kept.count() == 5 and not tables.paths
+    with pytest.raises(Exception, match="NOT_EXIST|not exist"):
+        inside.agg({"id": "sum"}).collect()

@@ -58,3 +58,21 @@ def test_edges(edge, edge_texts, nothing):
 def test_repeated_rows(spark, edge, edge_texts):
     got = minhash.near_classes(edge.unionByName(edge)).collect()
     assert len(got) == 2 * len(edge_texts) and {(r.doc_id, r.component_id) for r in got} == {(i, c) for i, (_, c, _) in brute(edge_texts, 3, 85, 100).items()}
+
+
+def test_one_doc_id_with_several_texts(spark):
+    """Each text is compared, and a link of either text names the smallest doc_id."""
+    rng = random.Random(11)
+    a, b = prose(rng, "aa", 80), prose(rng, "bb", 80)
+    edit = lambda t: " ".join("zz" if i == 40 else w for i, w in enumerate(t.split(" ")))
+    rows = spark.createDataFrame([(1, a), (1, b), (3, edit(b)), (4, edit(a)), (None, edit(edit(a))), (None, "other words stand here now")], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept, r["first"]) for r in minhash.near_classes(rows).collect()]
+    assert sorted(g for g in got if g[0] == 1)[0][:3] == (1, 1, True)
+    assert {g[:3] for g in got if g[0] in (3, 4)} == {(3, 1, False), (4, 1, False)}
+    assert {g[1:] for g in got if g[0] is None} == {(1, False, False), (None, True, True)}
+
+
+def test_first_is_one_row_key_of_a_component(spark):
+    texts = copies(5, 20)
+    got = minhash.near_classes(table(spark, texts)).collect()
+    assert all(r["first"] == r.kept for r in got)
