@@ -1,4 +1,4 @@
-"""Language-model scores by stupid backoff: count tables partitioned by n-gram hash, joined to the corpus's n-grams, summed per document."""
+"""Language-model scores by stupid backoff: count tables partitioned by n-gram hash, joined to the corpus's exploded n-grams, summed per document."""
 
 from __future__ import annotations
 
@@ -17,24 +17,30 @@ from .words import ALNUM, BASE, LOWER, MIX_1, U, mix, raw, word_hashes, word_spa
 
 #: Fixed value of the method: what a step back to the shorter n-gram costs.
 BACKOFF = 0.4
-#: A pair of words counted less often is unseen.
-MIN_COUNT = 2
-#: Texts of a task that ask for counts together, in bytes; bytes of text for each bucket of the count tables.
-BLOCK_BYTES = 24 << 20
-BUCKET_BYTES = 24 << 20
+#: Words of the longest n-grams.
+ORDER = 3
+#: Texts whose n-grams are exploded together, in bytes; bytes of text for each partition of the count tables.
+BLOCK_BYTES = 12 << 20
+PART_BYTES = 8 << 20
+BATCH_ROWS = 50_000
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words and of the pairs that end at them (0 where a text begins), and each text's first word (one entry more)."""
+def _grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the n-grams of 1 to ORDER words that end at each word (0 where a text has not as many words before), and each text's first word (one
+    entry more)."""
     data, offsets = raw(texts)
     data = LOWER[data]
     starts, ends, bounds = word_spans(data, offsets, ALNUM)
     words = word_hashes(data, starts, ends)
-    pairs = np.zeros_like(words)
+    at = np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))
+    out = [words]
     with np.errstate(over="ignore"):
-        pairs[1:] = mix(words[:-1] * BASE + words[1:] * MIX_1 + U(1))
-    pairs[bounds[:-1][np.diff(bounds) > 0]] = 0
-    return words, pairs, bounds
+        for n in range(1, ORDER):
+            longer = np.zeros_like(words)
+            longer[1:] = mix(out[-1][:-1] * BASE + words[1:] * MIX_1 + U(n))
+            longer[at < n] = 0
+            out.append(longer)
+    return out, bounds
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
@@ -47,117 +53,102 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
             block, size = block + 1, 0
 
 
-def _press(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _distinct(held: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a block in order, and how often each occurs there."""
+    return np.unique(np.concatenate([g[g != 0] for grams in held for g in grams]), return_counts=True)
 
 
-def _unpress(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different n-gram of a block."""
 
+    def rows(block: int, held: list) -> Iterator[pa.RecordBatch]:
+        grams, n = _distinct(held)
+        for i in range(0, len(grams), BATCH_ROWS):
+            part = slice(i, i + BATCH_ROWS)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(grams[part]), block)), "gram": pa.array(grams[part].view(np.int64)), "n": pa.array(n[part].astype(np.int64))})
 
-def _keys(held: list[tuple[np.ndarray, np.ndarray]], counts: bool = False):
-    """The different n-grams of a block in order, with counts if asked."""
-    every = np.concatenate([g for words, pairs in held for g in (words, pairs[pairs != 0])]) if held else np.zeros(0, U)
-    return np.unique(every, return_counts=counts)
-
-
-def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket, a range of hashes, begins in sorted keys."""
-    return np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(buckets)], U)).tolist() + [len(keys)]
-
-
-def _ask(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def record(block: int, held: list) -> Iterator[pa.RecordBatch]:
-            keys, n = _keys(held, True)
-            edges = _bucket_edges(keys, buckets)
-            for b in range(buckets):
-                lo, hi = edges[b], edges[b + 1]
-                if hi > lo:
-                    steps = np.diff(keys[lo:hi], prepend=U(0))
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([b], pa.int32()), "keys": pa.array([_press(steps.tobytes())], pa.binary()), "counts": pa.array([_press(n[lo:hi].astype(np.uint32).tobytes())], pa.binary())})
-
-        now, held = None, []
-        for block, _, texts in _blocks(batches):
-            if block != now and held:
-                yield from record(now, held)
-                held = []
-            now = block
-            held.append(_grams(texts)[:2])
-        if held:
-            yield from record(now, held)
-
-    return run
-
-
-def _count(asked: pa.Table) -> pa.Table:
-    """A bucket of the count table, joined back to the blocks that asked: their counts summed by n-gram, and the sums in each block's order."""
-    keys = [np.cumsum(_unpress(k, U), dtype=U) for k in asked.column("keys").to_pylist()]
-    counts = [_unpress(c, np.uint32) for c in asked.column("counts").to_pylist()]
-    table, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.minimum(np.bincount(where, np.concatenate(counts)), 2**63 - 1).astype(np.int64)
-    edges = np.cumsum([0, *map(len, keys)])
-    out = [_press(total[where[a:b]].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
-    return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "counts": pa.array(out, pa.binary())})
+    now, held = None, []
+    for block, _, texts in _blocks(batches):
+        if block != now and held:
+            yield from rows(now, held)
+            held = []
+        now = block
+        held.append(_grams(texts)[0])
+    if held:
+        yield from rows(now, held)
 
 
 def _texts_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=1)
     for block, ids, texts in _blocks(batches):
         data, offsets = raw(texts)
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "docs": one(ids), "offsets": one(pa.array(offsets, pa.int64())), "texts": pa.array([_press(data.tobytes())], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "docs": one(ids), "offsets": one(pa.array(offsets, pa.int64())), "texts": pa.array([press.compress(data.tobytes())], pa.binary())})
+
+
+def _elsewhere(grams: np.ndarray, keys: np.ndarray, total: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each n-gram occurs in other documents than its own; 0 for no n-gram."""
+    at = np.where(grams != 0, np.searchsorted(keys, grams), len(keys))
+    _, where, own = np.unique(doc * U(len(keys) + 1) + at.astype(U), return_inverse=True, return_counts=True)
+    return np.append(total, 0)[at] - np.where(grams != 0, own[where], 0)
 
 
 def _score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-    """Per document of a block: words, steps back, the sum of log counts, the sum of log contexts."""
-    held, every, bounds = [], [], []
+    """Per document of a block: words, steps back, words that met no n-gram of two, the sum of log counts over log contexts."""
+    unpress = zstandard.ZstdDecompressor()
+    every, held = [], []
     for docs, offsets, packed in zip(*(chunks.column(c).to_pylist() for c in ("docs", "offsets", "texts"))):
-        data = _unpress(packed, np.uint8)
-        ends = np.array(offsets, np.int64)
-        texts = pa.Array.from_buffers(pa.large_string(), len(docs), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
-        words, pairs, b = _grams(texts)
-        held.append((words, pairs))
+        ends, data = np.array(offsets, np.int64), unpress.decompress(packed)
+        held.append(_grams(pa.Array.from_buffers(pa.large_string(), len(docs), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])))
         every += docs
-        bounds.append(b)
-    keys = _keys(held)
-    answers = answers.sort_by("bucket")
-    total = np.concatenate([_unpress(c, np.int64) for c in answers.column("counts").to_pylist()]) if answers.num_rows else np.zeros(0, np.int64)
-    out = {k: [] for k in ("n_words", "n_backoff", "log_sum")}
-    for (words, pairs), b in zip(held, bounds):
-        word_n = total[np.searchsorted(keys, words)].astype(float)
-        pair_n = np.where(pairs != 0, total[np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))] if len(keys) else 0, 0)
-        seen = pair_n >= MIN_COUNT
-        before = np.concatenate([[1.0], word_n[:-1]])
-        term = np.where(seen, np.log(np.maximum(pair_n, 1)) - np.log(np.maximum(before, 1)), np.log(np.maximum(word_n, 1)))
-        sums = np.concatenate([[0.0], np.cumsum(term)])
-        first = np.diff(b) > 0
-        backs = np.concatenate([[0], np.cumsum((pairs != 0) & ~seen)])
-        out["n_words"].append(np.diff(b))
-        out["n_backoff"].append((backs[b[1:]] - backs[b[:-1]]))
-        out["log_sum"].append(np.where(first, sums[b[1:]] - sums[b[:-1]], 0.0))
+    keys, total = _distinct([grams for grams, _ in held])
+    if answers.num_rows:
+        total[np.searchsorted(keys, answers.column("gram").to_numpy().view(U))] = answers.column("total").to_numpy()
+    out = {k: [] for k in ("n_words", "n_backoff", "n_alone", "log_sum")}
+    log = lambda n: np.log(np.maximum(n, 1))
+    for grams, bounds in held:
+        words = np.diff(bounds)
+        doc = np.repeat(np.arange(len(words), dtype=U), words)
+        counts = [_elsewhere(g, keys, total, doc) for g in grams] if len(doc) else [np.zeros(0, np.int64)] * ORDER
+        backs, term, open_ = np.zeros(len(doc), np.int64), np.zeros(len(doc)), np.ones(len(doc), bool)
+        for n in range(ORDER - 1, -1, -1):
+            there = grams[n] != 0
+            alone = open_ if n == 0 else None
+            met = open_ & there & (counts[n] > 0)
+            context = np.concatenate([[0], log(counts[n - 1])[:-1]]) if n and len(doc) else 0.0
+            term = np.where(met, log(counts[n]) - context, term)
+            backs += open_ & there & ~met
+            open_ = open_ & ~met
+        sums = lambda x: np.add.reduceat(np.concatenate([x, [0]]), bounds[:-1]) * (words > 0)
+        for k, v in (("n_words", words), ("n_backoff", sums(backs)), ("n_alone", sums(alone.astype(np.int64))), ("log_sum", sums(term))):
+            out[k].append(v)
     return pa.table({"doc_id": pa.array(every, pa.int64()), **{k: pa.array(np.concatenate(v) if v else []).cast(pa.float64() if k == "log_sum" else pa.int64()) for k, v in out.items()}})
 
 
 def backoff_scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score, perplexity of every row of docs(doc_id, text), docs being a stored table (read twice in the same
-    partitions). log_score sums the natural log of S(word | word before): count(pair) / count(word before) if the pair has MIN_COUNT,
-    else BACKOFF * count(word) / count of all words; the first word has no pair and pays no BACKOFF.
+    partitions). Counts c are those of all of docs but for the row's own text, so a text is not judged by itself.
+
+    log_score sums the natural log of S(w | u v): c(u v w) / c(u v) if c(u v w) > 0, else BACKOFF times S(w | v), c(v w) / c(v) likewise, then
+    c(w) / N, and a word that no other text has BACKOFF / N; N: words of all other texts, 1 at least. A text's first words have
+    shorter n-grams and pay nothing for that. n_backoff counts the steps.
 
-    Counts are those of all of docs, in tables partitioned by hash: each block of texts asks for its different n-grams, with its own
-    counts of them, and each bucket of the tables answers with the sums.
+    1. Each block of texts is exploded into its different n-grams of 1 to ORDER words: rows of block, gram (a 64-bit hash) and count.
+    2. Those rows, partitioned by gram, sum up to the count table and are joined to it. A common n-gram has one row a block, so no key is hot.
+    3. N-grams that other blocks have too return to their blocks, which score their texts; the rest are known there.
 
-    Null, empty and wordless texts: 0 words, log_score 0, perplexity null. Repeated rows count and are scored each. Empty table: no rows."""
+    Null, empty and wordless texts: 0 words, log_score 0, perplexity null. Repeated rows count and are scored each, and know each other.
+    Other columns are ignored. Empty table: no rows."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = parts(size, BUCKET_BYTES)
-    asked = mine.mapInArrow(_ask(buckets), "block long, bucket int, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_count, "block long, bucket int, counts binary")
+    exploded = mine.mapInArrow(_exploded, "block long, gram long, n long").repartition(parts(size, PART_BYTES, 8), "gram")
+    table = exploded.groupBy("gram").agg(F.sum("n").alias("total"))
+    answers = exploded.join(table, "gram").where("total > n").select("block", "gram", "total")
     chunks = mine.mapInArrow(_texts_batch, "block long, docs array<long>, offsets array<long>, texts binary")
-    summed = written(chunks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, n_words long, n_backoff long, log_sum double"), "scores")
+    summed = chunks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, n_words long, n_backoff long, n_alone long, log_sum double")
+    summed = written(summed, "scores")
     words = summed.agg(F.sum("n_words")).first()[0] or 0
-    # steps back, and first words, are taken against all words
-    alone = F.col("n_backoff") + (F.col("n_words") > 0).cast("int")
-    score = F.col("log_sum") + F.col("n_backoff") * F.lit(math.log(BACKOFF)) - alone * F.lit(math.log(max(words, 1)))
+    score = F.col("log_sum") + F.col("n_backoff") * F.lit(math.log(BACKOFF)) - F.col("n_alone") * F.log(F.greatest(F.lit(1.0), F.lit(words) - F.col("n_words")))
     return summed.select("doc_id", "n_words", "n_backoff", score.alias("log_score"), F.when(F.col("n_words") > 0, F.exp(-score / F.col("n_words"))).alias("perplexity"))
 
 
@@ -168,16 +159,25 @@ def op6_stupid_backoff(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 with w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents),
-t as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word, unnest(list_prepend(null, ws[:-2])) as before from w where len(ws) > 0),
-u as (select word, count(*) as n from t group by 1),
-p as (select before, word, count(*) as n from t where before is not null group by 1, 2),
+  select row_number() over () as d, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents),
+t as (select d, unnest(ws) as w, unnest(list_prepend(null, ws[:-2])) as v, unnest(list_prepend(null, list_prepend(null, ws[:-2])[:-2])) as u from w where len(ws) > 0),
+n as (select count(*) as n from t),
+o as (select d, count(*) as n from t group by 1),
+c1 as (select w, sum(n) as n from (select w, count(*) as n from t group by 1) group by 1),
+c2 as (select v, w, count(*) as n from t where v is not null group by 1, 2),
+c3 as (select u, v, w, count(*) as n from t where u is not null group by 1, 2, 3),
+o1 as (select d, w, count(*) as n from t group by 1, 2),
+o2 as (select d, v, w, count(*) as n from t where v is not null group by 1, 2, 3),
+o3 as (select d, u, v, w, count(*) as n from t where u is not null group by 1, 2, 3, 4),
+k as (
+  select t.d, t.v is not null as two, t.u is not null as three, c1.n - o1.n as n1, c2.n - o2.n as n2, c3.n - o3.n as n3, b1.n - p1.n as x1, b2.n - p2.n as x2, greatest(1, (select n from n) - o.n)::double as total
+  from t join o using (d) join c1 using (w) join o1 using (d, w) left join c2 using (v, w) left join o2 using (d, v, w) left join c3 using (u, v, w) left join o3 using (d, u, v, w)
+    left join c1 b1 on b1.w = t.v left join o1 p1 on p1.d = t.d and p1.w = t.v left join c2 b2 on b2.v = t.u and b2.w = t.v left join o2 p2 on p2.d = t.d and p2.v = t.u and p2.w = t.v),
 s as (
-  select t.doc_id, case when p.n >= 2 then ln(p.n::double) - ln(b.n::double) when t.before is null then ln(u.n::double) - ln((select count(*) from t)::double)
-    else ln(0.4::double) + ln(u.n::double) - ln((select count(*) from t)::double) end as term,
-    case when t.before is not null and p.n < 2 then 1 else 0 end as back
-  from t join u using (word) left join u b on b.word = t.before left join p on p.before = t.before and p.word = t.word)
-select d.doc_id, count(s.term) as n_words, coalesce(sum(s.back), 0)::bigint as n_backoff, round(coalesce(sum(s.term), 0)::double, 4) as log_score,
-  round(exp(-sum(s.term) / count(s.term)), 2) as perplexity
-from documents d left join s using (doc_id) group by d.doc_id
+  select d, case when three and n3 > 0 then ln(n3::double) - ln(x2::double) when two and n2 > 0 then ln(n2::double) - ln(x1::double) when n1 > 0 then ln(n1::double) - ln(total) else -ln(total) end as term,
+    case when three and n3 > 0 then 0 when two and n2 > 0 then three::int when n1 > 0 then three::int + two::int else three::int + two::int + 1 end as back
+  from k)
+select w.doc_id, count(s.term) as n_words, coalesce(sum(s.back), 0)::bigint as n_backoff, round(coalesce(sum(s.term) + sum(s.back) * ln(0.4::double), 0)::double, 4) as log_score,
+  round(exp(-(sum(s.term) + sum(s.back) * ln(0.4::double)) / count(s.term)), 2) as perplexity
+from w left join s using (d) group by w.d, w.doc_id
 """
