@@ -17,6 +17,27 @@ def split(t):
     return re.findall(WORDS, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
+def brute(t, templates=licenses.TEMPLATES):
+    """Of each template and size class of starts the best run that meets it, then the better ones of those that overlap."""
+    w, out = split(t), set()
+    for name, text in templates.items():
+        length, tokens = len(split(text)), set(split(text))
+        size, found = licenses.size_class(length), []
+        for block in range(0, len(w), size):
+            runs = [(len(tokens & set(w[k : k + length])), -k) for k in range(block, min(block + size, len(w)))]
+            shared, k = max(runs)
+            if shared >= 0.8 * len(tokens) - 1e-9:
+                found.append((-k, min(length, len(w) + k), shared))
+        for k, n, shared in found:
+            if not any(o != k and o < k + n and k < o + m and (s > shared or (s == shared and o < k)) for o, m, s in found):
+                out.add((name, k, n, shared, shared / len(tokens)))
+    return out
+
+
+def blocks(row):
+    return {(b.template, b.first_word, b.words, b.shared, b.containment) for b in row.blocks}
+
+
 def test_places_and_blocks(spark):
     got = {r.doc_id: r for r in licenses.scan(table(spark, TEXTS)).collect()}
     for i, t in enumerate(TEXTS):
@@ -24,8 +45,7 @@ def test_places_and_blocks(spark):
         want = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
         assert got[i].n_words == len(w)
         assert sorted((p.word, p.label) for p in got[i].places) == want
-        blocks = {(n, len(set(split(line)) & set(s.split())) / len(set(s.split()))) for line in (t or "").split("\n") for n, s in licenses.TEMPLATES.items()}
-        assert {(b.template, b.containment) for b in got[i].blocks} == {(n, c) for n, c in blocks if c >= licenses.CONTAINMENT}
+        assert blocks(got[i]) == brute(t)
 
 
 def test_edges(edge, edge_texts, nothing):
@@ -51,32 +71,20 @@ def test_wrapped_form_of_the_grant(spark):
     mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
     texts = [grant, bsd, mpl, "all rights\n\nreserved", "all other rights\nare reserved"]
     got = {r.doc_id: [(b.template, b.first_word) for b in r.blocks] for r in licenses.scan(table(spark, texts)).collect()}
-    assert got == {0: [("mit-grant", 0)], 1: [("bsd-redistribution", 0)], 2: [("mpl-2.0", 0)], 3: [("all-rights", 0)], 4: []}
+    assert got == {0: [("mit-grant", 0)], 1: [("bsd-grant", 0)], 2: [("mpl-2.0", 0)], 3: [("all-rights", 0)], 4: []}
 
 
-def test_windows_against_plain_loops(spark):
-    """Which templates are met, by lines or by windows at every word, and how well."""
+def test_runs_against_plain_loops(spark):
+    """Whole texts of licenses, sentences and scraps of them, with words lost and other words between."""
     rng = random.Random(5)
-    pool = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()} | {"x", "y"})
+    pool = sorted({w for t in licenses.TEMPLATES.values() for w in split(t)} | {"x", "y"})
     texts = []
-    for _ in range(150):
+    for _ in range(120):
         words = [rng.choice(pool) for _ in range(rng.randint(0, 12))]
         for _ in range(rng.randint(1, 3)):
-            words += [w for w in rng.choice(sorted(licenses.TEMPLATES.values())).split() if rng.random() < 0.9]
+            lost = rng.choice((0.05, 0.15, 0.25))
+            words += [w for w in split(rng.choice(sorted(licenses.TEMPLATES.values()))) if rng.random() > lost]
         texts.append("".join(w + rng.choice((" ", " ", " ", "\n", "\n\n")) for w in words))
-    got = {r.doc_id: r.blocks for r in licenses.scan(table(spark, texts)).collect()}
-    for i, t in enumerate(texts):
-        w, want = split(t), {}
-        for name, s in licenses.TEMPLATES.items():
-            size, tokens = len(s.split()), set(s.split())
-            sets = [set(split(line)) for line in t.split("\n")] + [set(w[k : k + size]) for k in range(len(w))]
-            best = max((len(x & tokens) / len(tokens) for x in sets), default=0)
-            if best >= licenses.CONTAINMENT:
-                want[name] = best
-        have = {}
-        for b in got[i]:
-            have[b.template] = max(have.get(b.template, 0), b.containment)
-            if b.words <= len(licenses.TEMPLATES[b.template].split()):
-                tokens = set(licenses.TEMPLATES[b.template].split())
-                assert b.shared == len(tokens & set(w[b.first_word : b.first_word + b.words]))
-        assert have == want, t
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts + texts[:1])).collect()}
+    for i, t in enumerate(texts + texts[:1]):
+        assert blocks(got[i]) == brute(t), t
