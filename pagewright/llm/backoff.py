@@ -4,25 +4,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, parts, text_chunks, written
-from .words import ALNUM, BASE, LOWER, MIX_1, U, mix, raw, word_hashes, word_spans
+from .words import ALNUM, BASE, LOWER, MIX_1, U, lists, mix, raw, word_hashes, word_spans
 
 #: Fixed value of the method: what a step back to the shorter n-gram costs.
 BACKOFF = 0.4
 #: Words of the longest n-grams.
 ORDER = 3
-#: Texts whose n-grams are exploded together, in bytes; bytes of text for each partition of the count tables.
+#: Texts that ask for counts together, in bytes; bytes of text for each bucket of a count table, a range of hashes.
 BLOCK_BYTES = 12 << 20
-PART_BYTES = 8 << 20
-BATCH_ROWS = 50_000
+BUCKET_BYTES = 24 << 20
 
 
 def _grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -53,29 +54,59 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
             block, size = block + 1, 0
 
 
-def _distinct(held: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The different n-grams of a block in order, and how often each occurs there."""
-    return np.unique(np.concatenate([g[g != 0] for grams in held for g in grams]), return_counts=True)
+    return np.unique(np.concatenate([g[g != 0] for g in held]) if held else np.zeros(0, U), return_counts=True)
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each different n-gram of a block."""
+def _edges(keys: np.ndarray, buckets: int) -> list[int]:
+    """Where each bucket begins in sorted n-grams, and their end."""
+    return np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(buckets)], U)).tolist() + [len(keys)]
 
-    def rows(block: int, held: list) -> Iterator[pa.RecordBatch]:
+
+ASKED = "block long, bucket int, grams array<long>, counts array<int>"
+
+
+def _asked(order: int, buckets: int):
+    """A row for each block and bucket: the block's different n-grams of that order, sorted, and their counts there."""
+
+    def rows(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
         grams, n = _distinct(held)
-        for i in range(0, len(grams), BATCH_ROWS):
-            part = slice(i, i + BATCH_ROWS)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(grams[part]), block)), "gram": pa.array(grams[part].view(np.int64)), "n": pa.array(n[part].astype(np.int64))})
+        edges = _edges(grams, buckets)
+        there = [b for b in range(buckets) if edges[b + 1] > edges[b]]
+        ends = [0, *(edges[b + 1] for b in there)]
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([block] * len(there), pa.int64()), "bucket": pa.array(there, pa.int32()),
+            "grams": lists(grams.view(np.int64), ends, pa.int64()), "counts": lists(n, ends, pa.int32()),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for block, _, texts in _blocks(batches):
+            if block != now and held:
+                yield rows(now, held)
+                held = []
+            now = block
+            held.append(_grams(texts)[0][order])
+        if held:
+            yield rows(now, held)
+
+    return run
+
 
-    now, held = None, []
-    for block, _, texts in _blocks(batches):
-        if block != now and held:
-            yield from rows(now, held)
-            held = []
-        now = block
-        held.append(_grams(texts)[0])
-    if held:
-        yield from rows(now, held)
+ANSWERS = "order int, block long, bucket int, found array<struct<at:int,total:long>>"
+
+
+def _answers(mine: DataFrame, order: int, buckets: int) -> DataFrame:
+    """ANSWERS of one order: to each block the n-grams that other blocks have too, by their place in its sorted bucket, with their count in the corpus.
+
+    Blocks send arrays to the buckets. There these are exploded into a row for each n-gram of a block, and each row is joined to its n-gram's
+    entry of the count table, the sum of its rows. A window does both in one pass: a self-join would have to shuffle every row again."""
+    asked = mine.mapInArrow(_asked(order, buckets), ASKED).repartition(buckets, "bucket")
+    exploded = asked.select("block", "bucket", F.posexplode(F.arrays_zip("grams", "counts")).alias("at", "g")).select("block", "bucket", "at", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
+    counted = exploded.withColumn("total", F.sum("n").over(Window.partitionBy("bucket", "gram")))
+    found = counted.where("total > n").groupBy("block", "bucket").agg(F.collect_list(F.struct("at", "total")).alias("found"))
+    return found.select(F.lit(order).alias("order"), "block", "bucket", "found")
 
 
 def _texts_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,36 +124,47 @@ def _elsewhere(grams: np.ndarray, keys: np.ndarray, total: np.ndarray, doc: np.n
     return np.append(total, 0)[at] - np.where(grams != 0, own[where], 0)
 
 
-def _score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+def _totals(held: list[np.ndarray], answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's different n-grams of an order, and their counts in the corpus: the answers, or else the block's own."""
+    keys, total = _distinct(held)
+    edges = _edges(keys, buckets)
+    for bucket, found in zip(answers.column("bucket").to_pylist(), answers.column("found")):
+        total[edges[bucket] + found.values.field("at").to_numpy()] = found.values.field("total").to_numpy()
+    return keys, total
+
+
+def _score(buckets: int):
     """Per document of a block: words, steps back, words that met no n-gram of two, the sum of log counts over log contexts."""
-    unpress = zstandard.ZstdDecompressor()
-    every, held = [], []
-    for docs, offsets, packed in zip(*(chunks.column(c).to_pylist() for c in ("docs", "offsets", "texts"))):
-        ends, data = np.array(offsets, np.int64), unpress.decompress(packed)
-        held.append(_grams(pa.Array.from_buffers(pa.large_string(), len(docs), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])))
-        every += docs
-    keys, total = _distinct([grams for grams, _ in held])
-    if answers.num_rows:
-        total[np.searchsorted(keys, answers.column("gram").to_numpy().view(U))] = answers.column("total").to_numpy()
-    out = {k: [] for k in ("n_words", "n_backoff", "n_alone", "log_sum")}
-    log = lambda n: np.log(np.maximum(n, 1))
-    for grams, bounds in held:
-        words = np.diff(bounds)
-        doc = np.repeat(np.arange(len(words), dtype=U), words)
-        counts = [_elsewhere(g, keys, total, doc) for g in grams] if len(doc) else [np.zeros(0, np.int64)] * ORDER
-        backs, term, open_ = np.zeros(len(doc), np.int64), np.zeros(len(doc)), np.ones(len(doc), bool)
-        for n in range(ORDER - 1, -1, -1):
-            there = grams[n] != 0
-            alone = open_ if n == 0 else None
-            met = open_ & there & (counts[n] > 0)
-            context = np.concatenate([[0], log(counts[n - 1])[:-1]]) if n and len(doc) else 0.0
-            term = np.where(met, log(counts[n]) - context, term)
-            backs += open_ & there & ~met
-            open_ = open_ & ~met
-        sums = lambda x: np.add.reduceat(np.concatenate([x, [0]]), bounds[:-1]) * (words > 0)
-        for k, v in (("n_words", words), ("n_backoff", sums(backs)), ("n_alone", sums(alone.astype(np.int64))), ("log_sum", sums(term))):
-            out[k].append(v)
-    return pa.table({"doc_id": pa.array(every, pa.int64()), **{k: pa.array(np.concatenate(v) if v else []).cast(pa.float64() if k == "log_sum" else pa.int64()) for k, v in out.items()}})
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        unpress = zstandard.ZstdDecompressor()
+        every, held = [], []
+        for docs, offsets, packed in zip(*(chunks.column(c).to_pylist() for c in ("docs", "offsets", "texts"))):
+            ends, data = np.array(offsets, np.int64), unpress.decompress(packed)
+            held.append(_grams(pa.Array.from_buffers(pa.large_string(), len(docs), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])))
+            every += docs
+        known = [_totals([grams[n] for grams, _ in held], answers.filter(pc.equal(answers.column("order"), n)), buckets) for n in range(ORDER)]
+        out = {k: [] for k in ("n_words", "n_backoff", "n_alone", "log_sum")}
+        log = lambda n: np.log(np.maximum(n, 1))
+        for grams, bounds in held:
+            words = np.diff(bounds)
+            doc = np.repeat(np.arange(len(words), dtype=U), words)
+            counts = [_elsewhere(g, *known[n], doc) for n, g in enumerate(grams)] if len(doc) else [np.zeros(0, np.int64)] * ORDER
+            backs, term, open_ = np.zeros(len(doc), np.int64), np.zeros(len(doc)), np.ones(len(doc), bool)
+            for n in range(ORDER - 1, -1, -1):
+                there = grams[n] != 0
+                alone = open_
+                met = open_ & there & (counts[n] > 0)
+                context = np.concatenate([[0], log(counts[n - 1])[:-1]]) if n and len(doc) else 0.0
+                term = np.where(met, log(counts[n]) - context, term)
+                backs += open_ & there & ~met
+                open_ = open_ & ~met
+            sums = lambda x: np.add.reduceat(np.concatenate([x, [0]]), bounds[:-1]) * (words > 0)  # noqa: B023, E731
+            for k, v in (("n_words", words), ("n_backoff", sums(backs)), ("n_alone", sums(alone.astype(np.int64))), ("log_sum", sums(term))):
+                out[k].append(v)
+        return pa.table({"doc_id": pa.array(every, pa.int64()), **{k: pa.array(np.concatenate(v) if v else []).cast(pa.float64() if k == "log_sum" else pa.int64()) for k, v in out.items()}})
+
+    return run
 
 
 def backoff_scores(docs: DataFrame) -> DataFrame:
@@ -133,19 +175,19 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     c(w) / N, and a word that no other text has BACKOFF / N; N: words of all other texts, 1 at least. A text's first words have
     shorter n-grams and pay nothing for that. n_backoff counts the steps.
 
-    1. Each block of texts is exploded into its different n-grams of 1 to ORDER words: rows of block, gram (a 64-bit hash) and count.
-    2. Those rows, partitioned by gram, sum up to the count table and are joined to it. A common n-gram has one row a block, so no key is hot.
-    3. N-grams that other blocks have too return to their blocks, which score their texts; the rest are known there.
+    For each order: a block of texts sends its different n-grams (64-bit hashes) and their counts to the buckets of the count table, arrays of a
+    range of hashes. There they are exploded, summed and joined, and those that other blocks have too return with their counts. Then each block
+    scores its texts; what has no answer is known from the block alone. A common n-gram has one row a block, so no key is hot.
 
     Null, empty and wordless texts: 0 words, log_score 0, perplexity null. Repeated rows count and are scored each, and know each other.
     Other columns are ignored. Empty table: no rows."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    exploded = mine.mapInArrow(_exploded, "block long, gram long, n long").repartition(parts(size, PART_BYTES, 8), "gram")
-    table = exploded.groupBy("gram").agg(F.sum("n").alias("total"))
-    answers = exploded.join(table, "gram").where("total > n").select("block", "gram", "total")
+    buckets = parts(size, BUCKET_BYTES, 8)
+    answers = [written(_answers(mine, n, buckets), f"counts-{n + 1}") for n in range(ORDER)]
     chunks = mine.mapInArrow(_texts_batch, "block long, docs array<long>, offsets array<long>, texts binary")
-    summed = chunks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, n_words long, n_backoff long, n_alone long, log_sum double")
+    every = reduce(DataFrame.unionByName, answers)
+    summed = chunks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_score(buckets), "doc_id long, n_words long, n_backoff long, n_alone long, log_sum double")
     summed = written(summed, "scores")
     words = summed.agg(F.sum("n_words")).first()[0] or 0
     score = F.col("log_sum") + F.col("n_backoff") * F.lit(math.log(BACKOFF)) - F.col("n_alone") * F.log(F.greatest(F.lit(1.0), F.lit(words) - F.col("n_words")))
