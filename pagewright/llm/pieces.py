@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -17,46 +17,57 @@ from pyspark.sql import functions as F
 from .common import documents, parts, text_chunks, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Texts of a task that are spelled from one dictionary, in bytes; words of a bucket, about; letters of a lattice.
-BLOCK_BYTES = 10 << 20
+#: Texts of a task that are spelled from one dictionary, in bytes; bytes of text for each bucket of words.
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 24 << 20
-LONGEST_WORD = 64
+#: Words of up to this many letters go through the relational lattice. A longer one has no place where it could be cut, and a row's fold copies its
+#: state at each letter; the same recurrence, in the task that spells its text, gives it the same best path.
+LATTICE_LETTERS = 256
 SPACE = "▁"
-#: A word of the lattice: letters, one digit, or a run of other visible characters, with the space before it. White space and a literal
-#: U+2581 are spelled in bytes.
-WORD = re.compile(rf"{SPACE}?(?:[^\W\d_]{{1,{LONGEST_WORD}}}|\d|[^\w\s]{{1,{LONGEST_WORD}}}|_|\s)|{SPACE}")
+#: The mark of a literal U+2581 among words: no other word has a space mark after another character.
 LITERAL = f"\n{SPACE}"
 UNKNOWN_PENALTY = 10.0
+TOKEN = re.compile(" *[^ ]+| +")
+#: Paths are strings with a character for each piece: its id from here on; or UNKNOWN and the character that is no piece.
+FIRST = 0x10000
+UNKNOWN = "\u0001"
 
 
 @dataclass
 class Table:
-    """Piece, id and score of every ordinary piece; the ids of the 256 bytes."""
+    """Piece, id and score of every ordinary piece; the ids of the 256 bytes; what each id spells; numbers of the pieces' characters,
+    and which of them stand beside each other in a piece."""
 
     rows: list[tuple[str, int, float]]
     bytes: list[int]
     spelled: list[bytes]
-
-    @property
-    def longest(self) -> int:
-        return max(len(p) for p, _, _ in self.rows)
-
-    @property
-    def space(self) -> int:
-        return next(i for p, i, _ in self.rows if p == SPACE)
+    code: np.ndarray = field(init=False)
+    beside: np.ndarray = field(init=False)
+    known: frozenset[str] = field(init=False)
+    longest: int = field(init=False)
+    worst: float = field(init=False)
+
+    def __post_init__(self) -> None:
+        chars = sorted({c for p, _, _ in self.rows for c in p})
+        self.code = np.zeros(0x110000, np.uint16)
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p, _, _ in self.rows:
+            at = self.code[[ord(c) for c in p]]
+            self.beside[at[:-1], at[1:]] = True
+        self.known = frozenset(p for p, _, _ in self.rows if len(p) == 1)
+        self.longest = max(len(p) for p, _, _ in self.rows)
+        self.worst = min(s for _, _, s in self.rows) - UNKNOWN_PENALTY
 
 
 def load(path: str = MODEL) -> Table:
-    """The piece table of a public model. Merge models number their pieces instead of scoring them (0, -1, -2 ...): their scores are taken as
-    -log(rank + 2), by Zipf's law, so that a path's sum is a log probability as in unigram models."""
+    """The piece table of a public model, with the scores that the model gives its pieces (merge models: minus their rank)."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    scores = [model.get_score(i) for i in plain]
-    merges = all(s == round(s) for s in scores)
-    rows = [(model.id_to_piece(i), i, float(-np.log(2 - s)) if merges else float(s)) for i, s in zip(plain, scores)]
+    rows = [(model.id_to_piece(i), i, model.get_score(i)) for i in plain]
     byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     spelled = [b""] * n
     for p, i, _ in rows:
@@ -66,20 +77,88 @@ def load(path: str = MODEL) -> Table:
     return Table(rows, byte_ids, spelled)
 
 
-def words_of(token: str) -> list[str]:
-    """The words of a token between spaces, its own space first; they join to SPACE + token. A literal U+2581 is the word LITERAL."""
-    if token.isalpha() and len(token) <= LONGEST_WORD:
-        return [SPACE + token]
-    head, *rest = token.split(SPACE)
-    out = WORD.findall(SPACE + head)
-    for part in rest:
-        out.append(LITERAL)
-        out += WORD.findall(part)
+def tokens_of(text: str) -> list[str]:
+    """The text cut at single spaces, one of which stands before it: each token is what follows its first space, with any more spaces before it."""
+    if "  " in text or text.startswith(" "):
+        return [t[1:] for t in TOKEN.findall(" " + text)]
+    return text.split(" ")
+
+
+def words_of(tokens: list[str], table: Table) -> list[list[str]]:
+    """The words of each token, with marks for spaces: cut wherever no piece has the two characters beside each other, so no piece crosses a cut, and the
+    best paths of the words make up that of the whole text. A literal U+2581 is the word LITERAL."""
+    marked = [SPACE + t if not t.startswith(" ") else SPACE * (1 + len(t) - len(t.lstrip(" "))) + t.lstrip(" ") for t in tokens]
+    codes = table.code[np.frombuffer("\n".join(marked).encode("utf-32-le"), np.uint32)]
+    ends = np.cumsum([len(m) + 1 for m in marked])
+    apart = np.flatnonzero(~table.beside[codes[:-1], codes[1:]]) + 1
+    of = np.searchsorted(ends, apart, "right")
+    begin = ends - [len(m) + 1 for m in marked]
+    inside = (apart > begin[of]) & (apart < ends[of] - 1) if len(apart) else np.zeros(0, bool)
+    out = [[m] for m in marked]
+    rest: dict[int, int] = {}
+    start = 0
+    apart, of = apart[inside], of[inside]
+    place, last = (apart - begin[of]).tolist(), -1
+    for i, k in zip(of.tolist(), place):
+        m = marked[i]
+        if i != last:
+            out[i], last, start = [], i, 0
+        out[i].append(m[start:k])
+        start = k
+        rest[i] = k
+    for i, k in rest.items():
+        out[i].append(marked[i][k:])
+    for i, t in enumerate(tokens):
+        if SPACE in t:
+            head, *rest = t.split(SPACE)
+            out[i] = words_of([head], table)[0]
+            for part in rest:
+                out[i] += [LITERAL, *(w.removeprefix(SPACE) for w in words_of([part], table)[0] if w != SPACE)] if part else [LITERAL]
     return out
 
 
-def _in_bytes(word: str) -> bool:
-    return word[-1].isspace() or word == LITERAL
+def viterbi(word: str, scores: dict[str, float], table: Table) -> list[str]:
+    """The pieces, or characters that are none, of a word's best path: the highest sum of scores, of equal ones the one whose last piece is longer."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        able = [(best[s][0] + scores[word[s:end]], end - s) for s in range(max(0, end - table.longest), end) if word[s:end] in scores]
+        if word[end - 1] not in table.known:
+            able.append((best[end - 1][0] + table.worst, 1))
+        best.append(max(able))
+    out, end = [], len(word)
+    while end:
+        out.append(word[end - best[end][1] : end])
+        end -= best[end][1]
+    return out[::-1]
+
+
+class Speller:
+    """Ids, as bytes, of words that need no lattice: characters that are no piece, literal marks, and words longer than its rows."""
+
+    def __init__(self, table: Table) -> None:
+        self.table = table
+        self.ids = {p: i for p, i, _ in table.rows}
+        self.scores = {p: s for p, _, s in table.rows}
+
+    def asks(self, word: str) -> bool:
+        return len(word) <= LATTICE_LETTERS and "\n" not in word and (len(word) > 1 or word in self.table.known)
+
+    def raw(self, text: str) -> bytes:
+        return np.array([self.table.bytes[b] for b in text.encode()], np.int32).tobytes()
+
+    def spell(self, word: str) -> bytes:
+        if word == LITERAL:
+            return self.raw(SPACE)
+        return b"".join(np.int32(self.ids[p]).tobytes() if p in self.ids else self.raw(p) for p in viterbi(word, self.scores, self.table))
+
+    def path(self, path: str) -> bytes:
+        """Of a path string of the lattice."""
+        if UNKNOWN not in path:
+            return (np.frombuffer(path.encode("utf-32-le"), np.int32) - FIRST).tobytes()
+        out, chars = [], iter(path)
+        for c in chars:
+            out.append(self.raw(next(chars)) if c == UNKNOWN else np.int32(ord(c) - FIRST).tobytes())
+        return b"".join(out)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
@@ -92,15 +171,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
             block, size = block + 1, 0
 
 
-def _by_bucket(cut: Iterable[list[str]], buckets: int) -> list[list[str]]:
-    """The different words of tokens, cut into words, that go through the lattice: by bucket, sorted."""
-    words: set[str] = set()
-    for c in cut:
-        words.update(c)
+def _by_bucket(words: Iterable[str], buckets: int) -> list[list[str]]:
+    """Words by bucket, sorted."""
     out: list[list[str]] = [[] for _ in range(buckets)]
     for w in sorted(words):
-        if not _in_bytes(w):
-            out[zlib.crc32(w.encode()) % buckets].append(w)
+        out[zlib.crc32(w.encode()) % buckets].append(w)
     return out
 
 
@@ -112,10 +187,20 @@ def _unpress(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _words_batch(buckets: int):
+def _asked(cut: list[list[str]], speller: Speller) -> list[str]:
+    """The different words of cut tokens that go through the lattice."""
+    words: set[str] = set()
+    for c in cut:
+        words.update(c)
+    return [w for w in words if speller.asks(w)]
+
+
+def _words_batch(buckets: int, table: Table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = Speller(table)
+
         def record(block: int, tokens: set[str]) -> pa.RecordBatch:
-            rows = [(b, _press("\n".join(w).encode())) for b, w in enumerate(_by_bucket(map(words_of, tokens), buckets)) if w]
+            rows = [(b, _press("\n".join(w).encode())) for b, w in enumerate(_by_bucket(_asked(words_of(list(tokens), table), speller), buckets)) if w]
             return pa.RecordBatch.from_pydict({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "words": pa.array([w for _, w in rows], pa.binary())})
 
         now, tokens = None, set()
@@ -126,7 +211,7 @@ def _words_batch(buckets: int):
             now = block
             for t in texts.to_pylist():
                 if t:
-                    tokens.update(t.split(" "))
+                    tokens.update(tokens_of(t))
         if tokens:
             yield record(now, tokens)
 
@@ -145,136 +230,136 @@ def _distinct(group: pa.Table) -> pa.Table:
 
 
 def lattice_paths(words: DataFrame, table: Table, shuffle_parts: int) -> DataFrame:
-    """word, ids of the best path of every different word: its substrings of bounded length are joined to the piece table, the edges grouped
-    by word, and Viterbi folded over the word's places. Ties: the path that is larger as an array of ids.
+    """word, path of every different word: its substrings of bounded length are joined to the piece table, the edges grouped by word, and Viterbi folded
+    over them by end: the highest sum of scores, of equal ones the one whose last piece is longer. A character that is no piece is an edge too.
 
-    A character that is no piece is an edge of id -1 - code point, spelled in bytes later."""
+    Of the edges to one end the first is of one character, so it comes from the last end's best path; the others come from those before."""
     spark = words.sparkSession
-    pieces = spark.createDataFrame(table.rows, "piece string, id int, score double")
-    worst = min(s for _, _, s in table.rows) - UNKNOWN_PENALTY
+    pieces = spark.createDataFrame([(p, chr(FIRST + i), s) for p, i, s in table.rows], "piece string, code string, score double")
     n = F.length("word")
     edges = (
         words.repartition(shuffle_parts, "word")
-        .select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-        .select("word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, n))).alias("end"))
-        .withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
+        .select("word", F.explode(F.sequence(F.lit(1), n)).alias("start"))
+        .select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - F.col("start") + 1))).alias("len"))
+        .select("word", (F.col("start") + F.col("len")).alias("end"), "len", F.substring("word", F.col("start"), F.col("len")).alias("piece"))
         .join(F.broadcast(pieces), "piece", "left")  # the piece table's size is the model's
-        .where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-        .select("word", F.struct("end", "start", F.coalesce("score", F.lit(worst)).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id")).alias("edge"))
+        .where(F.col("code").isNotNull() | (F.col("len") == 1))
+        .select("word", F.struct("end", "len", F.coalesce("score", F.lit(table.worst)).alias("score"), F.coalesce("code", F.concat(F.lit(UNKNOWN), "piece")).alias("code")).alias("edge"))
         .groupBy("word")
-        .agg(F.collect_list("edge").alias("edges"))
+        .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     )
-    kind = "struct<score:double,path:array<int>>"
-    none = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("path")).cast(kind)
-    start = F.struct(F.lit(0).alias("at"), none.alias("best"), F.array().cast(f"array<{kind}>").alias("before"))
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("len"), F.lit("").alias("path"))
+    start = F.struct(none.alias("best"), F.array().cast("array<struct<score:double,len:int,path:string>>").alias("before"))
+
+    def through(came, e):
+        return F.struct((came["score"] + e["score"]).alias("score"), e["len"].alias("len"), F.concat(came["path"], e["code"]).alias("path"))
 
     def step(a, e):
-        """Edges come by end: a new end moves the best path of the last one to those before, by place."""
-        came = F.when(e["start"] == a["at"], a["best"]).otherwise(F.get(a["before"], e["start"]))
-        path = F.struct((came["score"] + e["score"]).alias("score"), F.concat(came["path"], F.array(e["id"])).alias("path"))
-        new = e["end"] != a["at"]
-        return F.struct(
-            e["end"].alias("at"),
-            F.when(new, path).otherwise(F.greatest(a["best"], path)).alias("best"),
-            F.when(new, F.concat(a["before"], F.array(a["best"]))).otherwise(a["before"]).alias("before"),
-        )
+        new = F.struct(through(a["best"], e).alias("best"), F.concat(a["before"], F.array(a["best"])).alias("before"))
+        other = through(F.get(a["before"], e["end"] - e["len"] - 1), e)
+        return F.when(e["len"] == 1, new).otherwise(F.struct(F.greatest(a["best"], other).alias("best"), a["before"].alias("before")))
 
-    return edges.select("word", F.aggregate(F.array_sort("edges"), start, step, lambda a: a["best"]["path"]).alias("ids"))
+    return edges.select("word", F.aggregate("edges", start, step, lambda a: a["best"]["path"]).alias("path"))
 
 
-def _answers(byte_ids: list[int]):
+def _answers(table: Table):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        table = {}
-        for w, path in zip(known.column("word").to_pylist(), known.column("ids").to_pylist()):
-            ids: list[int] = []
-            for i in path:
-                ids.extend([i] if i >= 0 else [byte_ids[b] for b in chr(-1 - i).encode()])
-            table[w] = np.array(ids, np.int32).tobytes()
-        rows = {"block": asked.column("block"), "bucket": asked.column("bucket")}
+        speller = Speller(table)
+        paths = {w: speller.path(p) for w, p in zip(known.column("word").to_pylist(), known.column("path").to_pylist())}
         out = []
         for words in asked.column("words").to_pylist():
-            spelled = [table[w] for w in _split(words)]
+            spelled = [paths[w] for w in _split(words)]
             out.append(_press(np.array([len(s) // 4 for s in spelled], np.uint16).tobytes() + b"".join(spelled)))
-        return pa.table({**rows, "ids": pa.array(out, pa.binary())})
+        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     return run
 
 
 def _texts_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, ids, texts in _blocks(batches):
-        whole = b"".join(t.encode() for t in texts.to_pylist())
-        sizes = pa.array([len(t.encode()) for t in texts.to_pylist()], pa.int32())
+        whole = [t.encode() for t in texts.to_pylist()]
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "docs": one(ids), "sizes": one(sizes), "texts": pa.array([_press(whole)], pa.binary())})
-
-
-def _spell(buckets: int, byte_ids: list[int], space: int, also: list[bytes] | None):
-    lone_space = np.array([space], np.int32).tobytes()
-
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "docs": one(ids), "sizes": one(pa.array([len(t) for t in whole], pa.int32())), "texts": pa.array([_press(b"".join(whole))], pa.binary())})
+
+
+def _known(tokens: set[str], answers: pa.Table, buckets: int, speller: Speller) -> dict[str, bytes]:
+    """The ids of each token."""
+    every = list(tokens)
+    cut = words_of(every, speller.table)
+    known: dict[str, bytes] = {}
+    mine = _by_bucket(_asked(cut, speller), buckets)
+    for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()):
+        data, n = _unpress(packed), len(mine[b])
+        ends = (np.cumsum(np.frombuffer(data[: 2 * n], np.uint16).astype(np.int64)) * 4 + 2 * n).tolist()
+        known.update(zip(mine[b], [data[x:y] for x, y in zip([2 * n, *ends], ends)]))
+        mine[b] = []
+    for w in {w for c in cut for w in c if w not in known}:
+        known[w] = speller.spell(w)
+    return {t: known[c[0]] if len(c) == 1 else b"".join([known[w] for w in c]) for t, c in zip(every, cut)}
+
+
+def _spell(buckets: int, table: Table, also: bool):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        ids: list[int] = []
-        texts: list[str] = []
-        for docs, sizes, whole in zip(*(chunks.column(c).to_pylist() for c in ("docs", "sizes", "texts"))):
-            data, at = _unpress(whole), 0
-            for d, n in zip(docs, sizes):
-                ids.append(d)
-                texts.append(data[at : at + n].decode())
-                at += n
+        held = list(zip(*(chunks.column(c).to_pylist() for c in ("docs", "sizes", "texts"))))
         tokens: set[str] = set()
-        for t in texts:
-            if t:
-                tokens.update(t.split(" "))
-        known: dict[str, bytes] = {}
-        cut = {t: words_of(t) for t in tokens}
-        mine = _by_bucket(cut.values(), buckets)
-        for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()):
-            data, n = _unpress(packed), len(mine[b])
-            ends = np.cumsum(np.frombuffer(data[: 2 * n], np.uint16).astype(np.int64)) * 4 + 2 * n
-            begin = 2 * n
-            for w, end in zip(mine[b], ends.tolist()):
-                known[w] = data[begin:end]
-                begin = end
-        raw_bytes = lambda w: (lone_space if w[0] == SPACE and len(w) > 1 else b"") + np.array([byte_ids[b] for b in w[-1].encode()], np.int32).tobytes()
-        spelled = {t: known[c[0]] if len(c) == 1 and c[0] in known else b"".join(raw_bytes(w) if _in_bytes(w) else known[w] for w in c) for t, c in cut.items()}
-        del tokens, cut, mine
-        rows = [b"".join(map(spelled.__getitem__, t.split(" "))) if t else b"" for t in texts]
-        del spelled, known
-        offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])
-        flat = pa.array(np.frombuffer(b"".join(rows), np.int32), pa.int32())
-        del rows
-        out = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)}
-        return pa.table(out | ({"decoded": _texts_of(out["ids"], also)} if also else {}))
+        for _, sizes, whole in held:
+            for t in _texts(sizes, whole):
+                if t:
+                    tokens.update(tokens_of(t))
+        spelled = _known(tokens, answers, buckets, Speller(table))
+        del tokens
+        out = []
+        while held:
+            docs, sizes, whole = held.pop(0)
+            texts = _texts(sizes, whole)
+            rows = [b"".join([spelled[k] for k in tokens_of(t)]) if t else b"" for t in texts]
+            ends = np.cumsum([0] + [len(r) // 4 for r in rows])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32), pa.int32()))
+            row = {"doc_id": pa.array(docs, pa.int64()), "text": pa.array(texts, pa.string()), "ids": ids}
+            out.append(pa.RecordBatch.from_pydict(row | ({"decoded": _texts_of(ids, table.spelled)} if also else {})))
+        return pa.Table.from_batches(out)
 
     return run
 
 
+def _texts(sizes: list[int], whole: bytes) -> list[str]:
+    data, at, out = _unpress(whole), 0, []
+    for n in sizes:
+        out.append(data[at : at + n].decode())
+        at += n
+    return out
+
+
 def _texts_of(ids: pa.ListArray, spelled: list[bytes]) -> pa.Array:
     """The text of each row of ids; null for null."""
     offsets, values, out = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), []
     for a, b, there in zip(offsets[:-1], offsets[1:], ids.is_valid().to_pylist()):
-        whole = b"".join(map(spelled.__getitem__, values[a:b].tolist())).removeprefix(b" ")
+        whole = b"".join([spelled[i] for i in values[a:b].tolist()]).removeprefix(b" ")
         out.append(whole.decode("utf-8", "replace") if there else None)
     return pa.array(out, pa.string())
 
 
 def encode(docs: DataFrame, table: Table, decoded: bool = False) -> DataFrame:
-    """doc_id, text, ids, and with `decoded` the text of ids as in decode(), in the same task, of every row of docs(doc_id, text), docs being a stored table (it is read twice in the same partitions).
+    """doc_id, text, ids, and with `decoded` the text of ids as in decode(), in the same task, of every row of docs(doc_id, text), docs being a stored
+    table (it is read twice in the same partitions).
 
     1. Each block of texts asks for its different words, by bucket of word.
     2. A bucket's different words go through the lattice once (lattice_paths).
     3. The answers return to the block, and its texts are spelled from them.
 
-    Null and empty texts: no ids, text "". Repeated rows: encoded each. Words of over LONGEST_WORD letters are cut there. Decoding gives the
-    text back exactly, whatever its characters. Empty table: no rows."""
+    The result is the best path of the lattice over the whole text, with a space before it and spaces as marks: words are cut only where no piece
+    of the table crosses. Words of over LATTICE_LETTERS letters get the same best path from the same recurrence in Python.
+    Null and empty texts: no ids, text "". Repeated rows: encoded each. Other columns are ignored. Decoding gives the text back exactly, whatever its
+    characters. Empty table: no rows."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size_bytes = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = parts(size_bytes, BUCKET_BYTES)
-    asked = written(mine.mapInArrow(_words_batch(buckets), "block long, bucket int, words binary"), "words")
+    asked = written(mine.mapInArrow(_words_batch(buckets, table), "block long, bucket int, words binary"), "words")
     words = asked.groupBy("bucket").applyInArrow(_distinct, "word string")
     paths = lattice_paths(words, table, parts(size_bytes, 1 << 24, 8)).withColumn("bucket", F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(buckets)).cast("int"))
-    answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(_answers(table.bytes), "block long, bucket int, ids binary")
+    answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(_answers(table), "block long, bucket int, ids binary")
     chunks = mine.mapInArrow(_texts_batch, "block long, docs array<long>, sizes array<int>, texts binary")
-    spell = _spell(buckets, table.bytes, table.space, table.spelled if decoded else None)
+    spell = _spell(buckets, table, decoded)
     return chunks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spell, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
