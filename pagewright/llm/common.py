@@ -34,6 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared one, as a URI that every machine opens alike."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Tables:
     """The tables that written() makes inside `with Tables() as t:` in this thread; t.drop(spark) removes them, and no others.
 
@@ -52,8 +64,7 @@ class Tables:
 
     def drop(self, spark: SparkSession) -> None:
         while self.paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, self.paths.pop())
 
 
 _scope: ContextVar[Tables | None] = ContextVar("tables", default=None)

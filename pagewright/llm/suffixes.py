@@ -1,4 +1,4 @@
-"""Exact removal of repeated 100-byte strings: anchored pieces, and a column-wise collection Burrows-Wheeler transform of those that differ."""
+"""Exact removal of repeated 100-byte strings: anchored pieces, and a column-wise multi-document Burrows-Wheeler transform of those that differ."""
 
 from __future__ import annotations
 
@@ -11,20 +11,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, text_chunks, written
+from .common import documents, map_texts, remove, shared_uri, text_chunks, written
+from .transform import collection, walked
 from .words import BASE, BYTES, MIX_1, U, mix, powers, raw
 
 #: Length of the strings that may not repeat, and of the grams whose smallest hash anchors each of them.
 WINDOW, GRAM = 100, 24
+#: Places of the anchor in a string, 0 to 76, that fall into one band: strings of an anchor and a band have a core of 62 or 63 bytes in common.
+BAND = 39
 #: Pieces of a task are compared before they are shuffled once so many bytes of text are read.
 HELD_BYTES = 32 << 20
-#: An anchor with more different pieces than this is resolved string by string, dealt by the strings' own hashes.
-HOT = 2000
+#: A core with more different pieces than a task should hold is split: its strings become pieces of their own, each dealt by its own bytes.
+SPLIT = 20_000
 #: Bytes of pieces in one collection.
-COLLECTION = 1 << 20
+COLLECTION = 8 << 20
 #: A buffer position takes 24 bits beside 40 bits of hash.
 SEGMENT = 1 << 23
-END = 255  # no UTF-8 byte
 LEAST_DOC = -(1 << 63)
 
 
@@ -50,11 +52,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Every WINDOW of every text belongs to the piece of consecutive windows with the same anchor (leftmost smallest gram hash).
+    """Every WINDOW of every text belongs to the piece of consecutive windows with the same anchor (leftmost smallest gram hash) in the same band.
 
-    text: index; start: of the first window in its text; windows: how many; anchor: hash of the anchor; content: hash of the piece's grams.
-    Equal windows have equal anchors at the same place, so they lie in pieces of one anchor."""
-    out: dict[str, list[np.ndarray]] = {k: [] for k in ("text", "start", "windows", "anchor", "content")}
+    text: index; start: of the first window in its text; windows: how many; core: hash of the bytes that all windows of that anchor and band share.
+    Equal windows have equal anchors at the same place, so they lie in pieces of one core."""
+    out: dict[str, list[np.ndarray]] = {k: [] for k in ("text", "start", "windows", "core")}
     for low in range(0, max(0, len(data) - WINDOW + 1), SEGMENT):
         part = data[low : low + SEGMENT + WINDOW - 1]
         n = len(part) - WINDOW + 1
@@ -66,42 +68,52 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         grams = gram_hashes(part)
         place = np.arange(len(grams), dtype=np.uint64)
         smallest = sliding_min((grams & ~U((1 << 24) - 1)) | place, WINDOW - GRAM + 1)
+        anchor = (smallest & U((1 << 24) - 1)).astype(np.int64)
+        band = (anchor - np.arange(n)) // BAND
         change = np.ones(n, bool)
-        change[1:] = (smallest[1:] != smallest[:-1]) | ~whole[:-1]
+        change[1:] = (anchor[1:] != anchor[:-1]) | (band[1:] != band[:-1]) | ~whole[:-1]
         first = np.flatnonzero(change & whole)
         stop = np.ones(n, bool)
         stop[:-1] = change[1:] | ~whole[1:]
         last = np.flatnonzero(stop & whole)
+        at, b = anchor[first], band[first]
+        # of windows whose anchor stands b * BAND to b * BAND + BAND - 1 (76 at most) after their start
+        begin, end = at - b * BAND, at - np.minimum(b * BAND + BAND - 1, WINDOW - GRAM) + WINDOW
         up, down = powers(len(grams) + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(grams) + 1, U)
             np.cumsum(grams * up[: len(grams)], out=sums[1:])
-            content = mix((sums[last + WINDOW - GRAM + 1] - sums[first]) * down[first] + (last - first).astype(U))
+            core = mix((sums[end - GRAM + 1] - sums[begin]) * down[begin] + b.astype(U))
         text = np.searchsorted(offsets, first + low, "right") - 1
-        for k, v in (("text", text), ("start", first + low - offsets[text]), ("windows", last - first + 1), ("anchor", grams[(smallest[first] & U((1 << 24) - 1)).astype(np.int64)]), ("content", content)):
+        for k, v in (("text", text), ("start", first + low - offsets[text]), ("windows", last - first + 1), ("core", core)):
             out[k].append(v)
     return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
 
-PLACES = "kind int, k1 long, k2 long, doc long, place long"
-WIDTH = 8  # bits of `place` for the number of windows, 1 to 77
+def digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit cryptographic digests of data[begins[i]:ends[i]], as rows of two longs: equal ones stand for equal bytes."""
+    view, hashed = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    return np.frombuffer(b"".join([hashed(view[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())]), np.int64).reshape(-1, 2)
 
 
-def _emit(kind: int, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {"kind": pa.array(np.full(len(doc), kind, np.int32)), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "doc": pa.array(doc), "place": pa.array(place)}
-    )
+PLACES = "kind int, core long, d1 long, d2 long, doc long, place long"
+WIDTH = 8  # bits of `place` for the number of windows
+KEYS = ("core", "d1", "d2", "doc", "place")
 
 
-def _settle(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key and place, and which rows in that order come after another place of their key."""
-    order = np.lexsort((place, doc, k2, k1))
-    a, b, d, p = k1[order], k2[order], doc[order], place[order]
+def _emit(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(columns[0]), kind, np.int32)), **{k: pa.array(c) for k, c in zip(KEYS, columns)}})
+
+
+def _settle(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by core, digest and place, and which rows in that order come after another place of their digest."""
+    order = np.lexsort(columns[::-1])
+    core, d1, d2, doc, place = (c[order] for c in columns)
     again = np.zeros(len(order), bool)
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    same = (core[1:] == core[:-1]) & (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
     again[1:] = same
     twin = np.zeros(len(order), bool)
-    twin[1:] = same & (d[1:] == d[:-1]) & (p[1:] == p[:-1])
+    twin[1:] = same & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
     return order[~twin], again[~twin]
 
 
@@ -114,18 +126,19 @@ def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        k1, k2, doc, place = (np.concatenate(x) for x in zip(*held))
-        order, again = _settle(k1, k2, doc, place)
+        columns = [np.concatenate(x) for x in zip(*held)]
+        order, again = _settle(*columns)
         for kind, rows in ((REPEAT, order[again]), (OPEN, order[~again])):
             for i in range(0, len(rows), 100_000):
-                r = rows[i : i + 100_000]
-                yield _emit(kind, k1[r], k2[r], doc[r], place[r])
+                yield _emit(kind, *(c[rows[i : i + 100_000]] for c in columns))
 
     for ids, texts in text_chunks(batches):
         data, offsets = raw(texts)
         p = pieces(data, offsets)
         doc = ids.to_numpy(zero_copy_only=False)[p["text"]] if len(p["text"]) else np.zeros(0, np.int64)
-        held.append((p["anchor"].view(np.int64), p["content"].view(np.int64), doc.astype(np.int64), (p["start"] << WIDTH) | p["windows"]))
+        begins = p["start"] + offsets[p["text"]] if len(p["text"]) else np.zeros(0, np.int64)
+        d = digests(data, begins, begins + p["windows"] - 1 + WINDOW)
+        held.append((p["core"].view(np.int64), d[:, 0], d[:, 1], doc.astype(np.int64), (p["start"] << WIDTH) | p["windows"]))
         size += len(data)
         if size >= HELD_BYTES:
             yield from flush()
@@ -134,63 +147,52 @@ def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(n).to_numpy(zero_copy_only=False) for n in ("k1", "k2", "doc", "place")]
-
-
-def _later(alone: bool):
-    """Over rows in order of k1, k2, doc, place (after those that are settled, which pass): REPEAT rows for all but a key's first place; with alone, OPEN rows for the firsts of
-    those k1 that have several k2. Nothing but the last row is kept from batch to batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, waiting, shown = None, None, False
-        for batch in batches:
-            if "kind" in batch.schema.names:
-                settled = batch.column("kind").to_numpy() == REPEAT
-                if settled.any():
-                    yield batch.filter(pa.array(settled))
-                    batch = batch.filter(pa.array(~settled))
-            if not batch.num_rows:
-                continue
-            cols = _columns(batch)
-            prior = [np.concatenate([[c[0] if last is None else v], c[:-1]]) for c, v in zip(cols, last or [0] * 4)]
-            same1 = cols[0] == prior[0]
-            same = same1 & (cols[1] == prior[1])
-            twin = same & (cols[2] == prior[2]) & (cols[3] == prior[3])
-            if last is None:
-                same1[0] = same[0] = twin[0] = False
-            last = [c[-1] for c in cols]
-            again = np.flatnonzero(same & ~twin)
-            if len(again):
-                yield _emit(REPEAT, *[c[again] for c in cols])
-            if not alone:
-                continue
-            fresh = np.flatnonzero(~same)
-            if not len(fresh):
-                continue
-            heads = [c[fresh] for c in cols]
-            if waiting is not None:
-                heads = [np.concatenate([[w], h]) for w, h in zip(waiting, heads)]
-            k1 = heads[0]
-            with_next = np.concatenate([k1[1:] == k1[:-1], [False]])
-            with_prior = np.concatenate([[False], k1[1:] == k1[:-1]])
-            several = with_next | with_prior
-            if waiting is not None and shown:
-                several[0] = False
-            if several.any():
-                yield _emit(OPEN, *[h[several] for h in heads])
-            waiting = [h[-1] for h in heads]
-            shown = bool(several[-1]) or (len(k1) == 1 and shown)
-
-    return run
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows in order of kind, core, digest, doc, place: the settled ones as they are, REPEAT rows for all but a digest's first place, and OPEN rows for the
+    firsts of those cores that have several digests. Nothing but the last row is kept from batch to batch."""
+    last, waiting, shown = None, None, False
+    for batch in batches:
+        settled = batch.column("kind").to_numpy() == REPEAT
+        if settled.any():
+            yield batch.filter(pa.array(settled))
+            batch = batch.filter(pa.array(~settled))
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in KEYS]
+        prior = [np.concatenate([[c[0] if last is None else v], c[:-1]]) for c, v in zip(cols, last or [0] * len(cols))]
+        core, d1, d2, doc, place = (a == b for a, b in zip(cols, prior))
+        same = core & d1 & d2
+        twin = same & doc & place
+        if last is None:
+            same[0] = twin[0] = False
+        last = [c[-1] for c in cols]
+        again = np.flatnonzero(same & ~twin)
+        if len(again):
+            yield _emit(REPEAT, *[c[again] for c in cols])
+        fresh = np.flatnonzero(~same)
+        if not len(fresh):
+            continue
+        heads = [c[fresh] for c in cols]
+        if waiting is not None:
+            heads = [np.concatenate([[w], h]) for w, h in zip(waiting, heads)]
+        next_too = heads[0][1:] == heads[0][:-1]
+        several = np.append(next_too, False) | np.append(False, next_too)
+        one = len(several) == 1 and shown
+        if waiting is not None and shown:
+            several[0] = False
+        if several.any():
+            yield _emit(OPEN, *[h[several] for h in heads])
+        waiting = [h[-1] for h in heads]
+        shown = bool(several[-1]) or one
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents of the open pieces of each text: cold ones whole, hot ones as one row for each window with the window's hash."""
+    """Contents of the open pieces of each text; those of split cores as a piece for each window, dealt by its digest."""
 
     def record(rows: list[tuple]) -> pa.RecordBatch:
-        k1, k2, doc, place, data = zip(*rows)
-        return pa.RecordBatch.from_pydict({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "doc": pa.array(doc, pa.int64()), "place": pa.array(place, pa.int64()), "bytes": pa.array(data, pa.binary())})
+        names = ("split", "core", "d1", "d2", "doc", "place", "bytes")
+        kinds = (pa.bool_(), *(pa.int64(),) * 5, pa.binary())
+        return pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(names, zip(*rows), kinds)})
 
     rows: list[tuple] = []
     for batch in batches:
@@ -198,12 +200,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = _unpack(packed)
             for w in wanted:
                 start, n = w["place"] >> WIDTH, w["place"] & ((1 << WIDTH) - 1)
-                if not w["hot"]:
-                    rows.append((w["k1"], 0, doc, w["place"], text[start : start + n - 1 + WINDOW]))
+                if not w["split"]:
+                    rows.append((False, w["core"], 0, 0, doc, w["place"], text[start : start + n - 1 + WINDOW]))
                 else:
-                    for s in range(start, start + n):
-                        h = hashlib.blake2b(text[s : s + WINDOW], digest_size=16).digest()
-                        rows.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), doc, (s << WIDTH) | 1, None))
+                    begins = np.arange(start, start + n)
+                    for s, (d1, d2) in zip(begins.tolist(), digests(np.frombuffer(text, np.uint8), begins, begins + WINDOW).tolist()):
+                        rows.append((True, d1, d1, d2, doc, (s << WIDTH) | 1, None))
                 if len(rows) > 20_000:
                     yield record(rows)
                     rows = []
@@ -215,42 +217,24 @@ def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, zstandard.frame_content_size(packed))) if packed else b""
 
 
-def collection_order(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The suffixes of WINDOW bytes and more of the strings data[begins[i]:ends[i]] in order, as places in data.
-
-    Column by column from the right: each round reads the transform (the byte before each suffix) in order, and every suffix, one byte
-    longer, takes its place behind those with smaller first bytes and, among equal ones, in the order it was read: a stable deal by
-    byte. A string inserts an empty suffix in each round whose suffixes will reach WINDOW bytes and end inside it, so that shorter ones
-    cost nothing. There are as many rounds as the longest string has bytes; a piece has at most 176."""
-    sizes = ends - begins
-    before = np.concatenate([[np.uint8(END)], data])
-    at = ends[:0]
-    for left in range(int(sizes.max(initial=0)), 0, -1):
-        if left >= WINDOW:
-            at = np.concatenate([ends[sizes >= left], at])
-        at = at[np.argsort(before[at], kind="stable")] - 1
-    return at
-
-
-def repeated_windows(doc: np.ndarray, start: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """doc and start of the windows in contents (pieces of texts, from start on) whose bytes also occur at an earlier place in contents."""
+def repeated_windows(doc: np.ndarray, start: np.ndarray, contents: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """doc and start of the windows in contents (pieces of texts, from start on) whose bytes also occur at an earlier place in contents: suffixes that have
+    WINDOW bytes in common stand beside each other in the collection's transform."""
     data = np.frombuffer(b"".join(contents), np.uint8)
     ends = np.cumsum([len(c) for c in contents])
-    begins = np.concatenate([[0], ends[:-1]])
-    at = collection_order(data, begins, ends)
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    of = np.searchsorted(begins, at, "right") - 1
-    # common prefixes of neighbours, as far as WINDOW
-    equal = np.ones(len(at) - 1, bool)
-    for i in range(0, WINDOW, 4):
-        live = np.flatnonzero(equal)
-        for j in range(i, i + 4):
-            equal[live] &= data[at[live] + j] == data[at[live + 1] + j]
-    group = np.concatenate([[0], np.cumsum(~equal)])
-    d, s = doc[of], start[of] + at - begins[of]
-    order = np.lexsort((s, d, group))
-    g, d, s = group[order], d[order], s[order]
+    sizes = np.diff(ends, prepend=0)
+    bwt, common = collection(data, ends - sizes, ends, folder, WINDOW)
+    alike = common >= WINDOW
+    member = alike | np.append(alike[1:], False)
+    group = np.cumsum(~alike)
+    found = []
+    for length, who, at in walked(bwt, sizes):
+        if length >= WINDOW:
+            mine = member[at]
+            found.append((group[at[mine]], doc[who[mine]], start[who[mine]] + sizes[who[mine]] - length))
+    g, d, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((s, d, g))
+    g, d, s = g[order], d[order], s[order]
     later = np.zeros(len(g), bool)
     later[1:] = g[1:] == g[:-1]
     # the same place may lie in two pieces only if the row repeats; it is not earlier than itself
@@ -259,36 +243,40 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, contents: list[bytes])
     return d[later], s[later]
 
 
-def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over contents in order of anchors: collections of whole anchors of about COLLECTION bytes."""
-    held: list[tuple] = []
-    size, last = 0, None
-
-    def flush() -> pa.RecordBatch:
-        doc, place, contents = zip(*held)
-        d, s = repeated_windows(np.array(doc, np.int64), np.array(place, np.int64) >> WIDTH, list(contents))
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        keep = np.ones(len(d), bool)
-        keep[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
-        d, s = d[keep], s[keep]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1) | (np.arange(1, len(d)) % 64 == 0)
-        at = np.flatnonzero(new)
-        n = np.diff(np.concatenate([at, [len(d)]]))
-        zero = np.zeros(len(at), np.int64)
-        return _emit(REPEAT, zero, zero, d[at], (s[at] << WIDTH) | n)
+def _collections(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over contents in order of cores: collections of whole cores of about COLLECTION bytes."""
+        held: list[tuple] = []
+        size, last = 0, None
+
+        def flush() -> pa.RecordBatch:
+            doc, place, contents = zip(*held)
+            d, s = repeated_windows(np.array(doc, np.int64), np.array(place, np.int64) >> WIDTH, list(contents), folder)
+            order = np.lexsort((s, d))
+            d, s = d[order], s[order]
+            keep = np.ones(len(d), bool)
+            keep[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
+            d, s = d[keep], s[keep]
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1) | (np.arange(1, len(d)) % 64 == 0)
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(d)))
+            zero = np.zeros(len(at), np.int64)
+            return _emit(REPEAT, zero, zero, zero, d[at], (s[at] << WIDTH) | n)
 
-    for batch in batches:
-        for k1, doc, place, content in zip(*(batch.column(c).to_pylist() for c in ("k1", "doc", "place", "bytes"))):
-            if size >= COLLECTION and k1 != last:
-                yield flush()
-                held, size = [], 0
-            held.append((doc, place, content))
-            size += len(content)
-            last = k1
-    if held:
-        yield flush()
+        for batch in batches:
+            for core, doc, place, content in zip(*(batch.column(c).to_pylist() for c in ("core", "doc", "place", "bytes"))):
+                if size >= COLLECTION and core != last:
+                    yield flush()
+                    held.clear()
+                    size = 0
+                held.append((doc, place, content))
+                size += len(content)
+                last = core
+        if held:
+            yield flush()
+
+    return run
 
 
 def _packed(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -319,33 +307,39 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()})
 
 
+def _settled(found: DataFrame) -> DataFrame:
+    """found(PLACES) with equal digests settled, dealt by core and digest; what is settled already needs no key and is dealt evenly."""
+    deal = F.when(F.col("kind") == REPEAT, F.xxhash64("doc", "place")).otherwise(F.col("core"))
+    return found.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("kind", *KEYS).mapInArrow(_later, PLACES)
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of every row of docs(doc_id, text): without the bytes covered by a WINDOW-byte string
     that also starts earlier (smaller doc_id, or earlier in the document).
 
-    1. Texts are cut into pieces by anchors (content-defined, so equal strings meet under one anchor). Pieces go to their anchor; all but the
-       first of equal pieces are repeats, and a piece without another of its anchor is done.
-    2. Different pieces of one anchor form collections; each gets its suffix order column by column, and neighbours that share WINDOW
-       bytes are repeats. An anchor with over HOT pieces goes by the hashes of its single strings instead, each a key of its own.
+    1. Texts are cut into pieces by anchors (content-defined), so that equal strings meet under one core. Pieces go to their core; all but the first of
+       equal pieces (128-bit digests of their bytes) are repeats, and a piece without a different one of its core is done.
+    2. Different pieces of one core form collections: column by column, each puts its strings' symbols into the transform and the common prefixes
+       (transform.collection, through files in the shared folder), and strings of WINDOW bytes that stand together there are repeats. The strings of
+       a core with over SPLIT different pieces are dealt by their own digests first, so that only different ones are left.
     3. The repeats of a document are cut out.
 
     Null or empty text: 0 bytes. Repeated rows (same doc_id and text) count as one document, and each gets its result. A null doc_id comes
     before all others. Texts under WINDOW bytes stay whole. Empty table: no rows."""
     mine = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_DOC)).alias("doc"), "text")
-    found = mine.mapInArrow(_pieces_of, PLACES)
-    # what a task has settled needs no key: it is dealt evenly and passes
-    shuffled = found.withColumn("deal", F.when(F.col("kind") == REPEAT, F.xxhash64("doc", "place")).otherwise(F.col("k1")))
-    settled = written(
-        shuffled.repartition("deal").drop("deal").sortWithinPartitions("kind", "k1", "k2", "doc", "place").mapInArrow(_later(True), PLACES), "pieces"
-    )
-    still = settled.where(F.col("kind") == OPEN).select("k1", "doc", "place")
-    hot = still.groupBy("k1").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("k1", F.lit(True).alias("hot"))
-    wanted = still.join(hot, "k1", "left").groupBy("doc").agg(F.collect_set(F.struct("k1", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+    settled = written(_settled(mine.mapInArrow(_pieces_of, PLACES)), "pieces")
+    still = settled.where(F.col("kind") == OPEN).select("core", "doc", "place")
+    large = still.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("core", F.lit(True).alias("split"))
+    wanted = still.join(large, "core", "left").groupBy("doc").agg(F.collect_set(F.struct("core", "place", F.coalesce("split", F.lit(False)).alias("split"))).alias("wanted"))
     packed = map_texts(mine, _packed, "doc long, packed binary", ("doc", "text"))
-    contents = written(packed.join(wanted, "doc").mapInArrow(_cut, "k1 long, k2 long, doc long, place long, bytes binary"), "contents")
-    cold = contents.where("bytes is not null").repartition("k1").sortWithinPartitions("k1", "doc", "place").mapInArrow(_collections, PLACES)
-    warm = contents.where("bytes is null").drop("bytes").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc", "place").mapInArrow(_later(False), PLACES)
-    covers = settled.where(F.col("kind") == REPEAT).unionByName(cold).unionByName(warm).groupBy("doc").agg(F.collect_list("place").alias("places"))
+    contents = written(packed.join(wanted, "doc").mapInArrow(_cut, "split boolean, core long, d1 long, d2 long, doc long, place long, bytes binary"), "contents")
+    folder = shared_uri(docs.sparkSession, "transform")
+    whole = contents.where("not split").repartition("core").sortWithinPartitions("core", "doc", "place").mapInArrow(_collections(folder), PLACES)
+    whole = written(whole, "repeats")
+    remove(docs.sparkSession, folder)
+    single = _settled(contents.where("split").select(F.lit(OPEN).alias("kind"), "core", "d1", "d2", "doc", "place"))
+    repeats = settled.where(F.col("kind") == REPEAT).unionByName(whole).unionByName(single)
+    covers = repeats.groupBy("doc").agg(F.collect_list("place").alias("places"))
     out = packed.join(covers, "doc", "left").mapInArrow(_kept, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("doc") != LEAST_DOC, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 

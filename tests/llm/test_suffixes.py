@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from pagewright.llm import suffixes
+from pagewright.llm import suffixes, transform
 from tests.llm.conftest import prose, table
 
 
@@ -30,10 +30,10 @@ def test_edges(edge, edge_texts, nothing):
     assert suffixes.without_repeats(nothing).count() == 0
 
 
-@pytest.mark.parametrize("hot", [2, 2000])
-def test_shared_passages_with_edits(spark, monkeypatch, hot):
-    """Passages of odd lengths in many documents, runs of one letter, texts of 99 to 101 bytes; anchors of many pieces by their strings."""
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("split", [1, 2, 20_000])
+def test_shared_passages_with_edits(spark, monkeypatch, split):
+    """Passages of odd lengths in many documents, runs of one letter, texts of 99 to 101 bytes; cores of many pieces by their strings."""
+    monkeypatch.setattr(suffixes, "SPLIT", split)
     rng = random.Random(7)
     passages = [prose(rng, "aa", 40) for _ in range(3)] + ["ab" * 90, "z" * 300]
     texts = ["q" * 99, "q" * 100, "q" * 101]
@@ -53,13 +53,34 @@ def test_repeated_rows_count_once(spark, edge, edge_texts):
     assert len(rows) == 2 * len(edge_texts) and all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id] for r in rows)
 
 
-def test_collection_order_sorts_suffixes():
-    rng = np.random.default_rng(1)
-    sizes = rng.integers(100, 140, 12)
-    data = rng.integers(97, 99, sizes.sum()).astype(np.uint8)
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    order = suffixes.collection_order(data, begins, ends)
-    of = np.searchsorted(begins, order, "right") - 1
-    mine = [bytes(data[a : ends[i]]) for a, i in zip(order, of)]
-    assert mine == sorted(mine) and len(mine) == (sizes - 99).sum()
+def sorted_suffixes(strings, most):
+    """Transform, common prefixes, and (string, length), by sorting."""
+    every = sorted((list(t[k:]), i, t[k - 1] if k else transform.END) for i, t in enumerate(strings) for k in range(len(t) + 1))
+    common = [0]
+    for (a, *_), (b, *_) in zip(every, every[1:]):
+        n = 0
+        while n < min(len(a), len(b), most) and a[n] == b[n]:
+            n += 1
+        common.append(n)
+    return [c for *_, c in every], common, [(i, len(t)) for t, i, _ in every]
+
+
+@pytest.mark.parametrize("block", [3, 7, 50, 1 << 20])
+def test_transform_and_prefixes(tmp_path, monkeypatch, block):
+    """Copies, prefixes and suffixes of each other, strings of one symbol; blocks of a few suffixes. No file stays."""
+    monkeypatch.setattr(transform, "BLOCK", block)
+    rng = random.Random(block)
+    for _ in range(25):
+        base = bytes(rng.choice(b"ab") for _ in range(30))
+        strings = []
+        for _ in range(rng.randint(1, 8)):
+            k = rng.randint(0, 20)
+            strings.append(base[k : k + rng.randint(1, 20)] + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 5))))
+        data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(t) for t in strings])
+        sizes = np.diff(ends, prepend=0)
+        bwt, common = transform.collection(data, ends - sizes, ends, f"file://{tmp_path}", 9)
+        want = sorted_suffixes(strings, 9)
+        assert (bwt.tolist(), common.tolist()) == want[:2]
+        for length, who, at in transform.walked(bwt, sizes):
+            assert [want[2][p] for p in at.tolist()] == [(w, length) for w in who.tolist()]
+        assert not list(tmp_path.iterdir())
