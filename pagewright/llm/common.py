@@ -20,6 +20,8 @@ CHUNK_CHARS = 1 << 20
 
 #: Removes a query's shuffle files once its result is stored; without it they stay until the driver collects its garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch: whole texts are long rows, and a batch stands in the memory of the executor and its Python worker at once.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,12 +77,18 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     it is called in, if any, unless keep."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    wanted = {SHUFFLE_CLEANUP: "true", ARROW_ROWS: "2000"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     if not keep and (scope := _scope.get()) is not None:
         scope.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +18,13 @@ from .common import documents, parts, text_chunks, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of a task that are spelled from one dictionary, in bytes; bytes of text for each bucket of words.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 10 << 20
 BUCKET_BYTES = 24 << 20
 #: Words of up to this many letters go through the relational lattice. A longer one has no place where it could be cut, and a row's fold copies its
 #: state at each letter; the same recurrence, in the task that spells its text, gives it the same best path.
 LATTICE_LETTERS = 256
 SPACE = "▁"
-#: The mark of a literal U+2581 among words: no other word has a space mark after another character.
-LITERAL = f"\n{SPACE}"
 UNKNOWN_PENALTY = 10.0
-TOKEN = re.compile(" *[^ ]+| +")
 #: Paths are strings with a character for each piece: its id from here on; or UNKNOWN and the character that is no piece.
 FIRST = 0x10000
 UNKNOWN = "\u0001"
@@ -77,44 +74,29 @@ def load(path: str = MODEL) -> Table:
     return Table(rows, byte_ids, spelled)
 
 
-def tokens_of(text: str) -> list[str]:
-    """The text cut at single spaces, one of which stands before it: each token is what follows its first space, with any more spaces before it."""
-    if "  " in text or text.startswith(" "):
-        return [t[1:] for t in TOKEN.findall(" " + text)]
-    return text.split(" ")
-
-
-def words_of(tokens: list[str], table: Table) -> list[list[str]]:
-    """The words of each token, with marks for spaces: cut wherever no piece has the two characters beside each other, so no piece crosses a cut, and the
-    best paths of the words make up that of the whole text. A literal U+2581 is the word LITERAL."""
-    marked = [SPACE + t if not t.startswith(" ") else SPACE * (1 + len(t) - len(t.lstrip(" "))) + t.lstrip(" ") for t in tokens]
-    codes = table.code[np.frombuffer("\n".join(marked).encode("utf-32-le"), np.uint32)]
-    ends = np.cumsum([len(m) + 1 for m in marked])
-    apart = np.flatnonzero(~table.beside[codes[:-1], codes[1:]]) + 1
-    of = np.searchsorted(ends, apart, "right")
-    begin = ends - [len(m) + 1 for m in marked]
-    inside = (apart > begin[of]) & (apart < ends[of] - 1) if len(apart) else np.zeros(0, bool)
-    out = [[m] for m in marked]
-    rest: dict[int, int] = {}
-    start = 0
-    apart, of = apart[inside], of[inside]
-    place, last = (apart - begin[of]).tolist(), -1
-    for i, k in zip(of.tolist(), place):
-        m = marked[i]
-        if i != last:
-            out[i], last, start = [], i, 0
-        out[i].append(m[start:k])
-        start = k
-        rest[i] = k
-    for i, k in rest.items():
-        out[i].append(marked[i][k:])
-    for i, t in enumerate(tokens):
-        if SPACE in t:
-            head, *rest = t.split(SPACE)
-            out[i] = words_of([head], table)[0]
-            for part in rest:
-                out[i] += [LITERAL, *(w.removeprefix(SPACE) for w in words_of([part], table)[0] if w != SPACE)] if part else [LITERAL]
-    return out
+def words_of(texts: list[str], table: Table) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The words of texts, each with a space before it and marks for spaces; which of them are literal U+2581; and how many each text has.
+
+    Cut wherever no piece has the two characters beside each other, so no piece crosses a cut, and the best paths of the words make up that of a text."""
+    there = [SPACE + t for t in texts if t]
+    big = "".join(there)
+    chars = np.frombuffer(big.encode("utf-32-le"), np.uint32)
+    starts = np.cumsum([0] + [len(t) for t in there])
+    literal = chars == ord(SPACE)
+    literal[starts[:-1]] = False
+    chars = np.where(chars == 32, np.uint32(ord(SPACE)), chars)
+    codes = table.code[chars]
+    codes[literal] = 0
+    first = np.ones(len(chars), bool)
+    first[1:] = ~table.beside[codes[:-1], codes[1:]]
+    first[starts[:-1]] = True
+    begin = np.flatnonzero(first)
+    width = 1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000)
+    offsets = np.concatenate([[0], np.cumsum(width)])[np.append(begin, len(chars))].astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets.tobytes()), pa.py_buffer(big.replace(" ", SPACE).encode()))
+    counts = np.zeros(len(texts), np.int64)
+    counts[[i for i, t in enumerate(texts) if t]] = np.diff(np.searchsorted(begin, starts))
+    return words, literal[begin], counts
 
 
 def viterbi(word: str, scores: dict[str, float], table: Table) -> list[str]:
@@ -133,7 +115,7 @@ def viterbi(word: str, scores: dict[str, float], table: Table) -> list[str]:
 
 
 class Speller:
-    """Ids, as bytes, of words that need no lattice: characters that are no piece, literal marks, and words longer than its rows."""
+    """Ids, as bytes, of words that need no lattice: characters that are no piece, and words longer than its rows."""
 
     def __init__(self, table: Table) -> None:
         self.table = table
@@ -147,8 +129,6 @@ class Speller:
         return np.array([self.table.bytes[b] for b in text.encode()], np.int32).tobytes()
 
     def spell(self, word: str) -> bytes:
-        if word == LITERAL:
-            return self.raw(SPACE)
         return b"".join(np.int32(self.ids[p]).tobytes() if p in self.ids else self.raw(p) for p in viterbi(word, self.scores, self.table))
 
     def path(self, path: str) -> bytes:
@@ -180,40 +160,31 @@ def _by_bucket(words: Iterable[str], buckets: int) -> list[list[str]]:
 
 
 def _press(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def _unpress(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _asked(cut: list[list[str]], speller: Speller) -> list[str]:
-    """The different words of cut tokens that go through the lattice."""
-    words: set[str] = set()
-    for c in cut:
-        words.update(c)
-    return [w for w in words if speller.asks(w)]
-
-
 def _words_batch(buckets: int, table: Table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(table)
 
-        def record(block: int, tokens: set[str]) -> pa.RecordBatch:
-            rows = [(b, _press("\n".join(w).encode())) for b, w in enumerate(_by_bucket(_asked(words_of(list(tokens), table), speller), buckets)) if w]
+        def record(block: int, held: list[pa.Array]) -> pa.RecordBatch:
+            words = [w for w in pc.unique(pa.chunked_array(held)).to_pylist() if speller.asks(w)]
+            rows = [(b, _press("\n".join(w).encode())) for b, w in enumerate(_by_bucket(words, buckets)) if w]
             return pa.RecordBatch.from_pydict({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "words": pa.array([w for _, w in rows], pa.binary())})
 
-        now, tokens = None, set()
+        now, held = None, []
         for block, _, texts in _blocks(batches):
-            if block != now and tokens:
-                yield record(now, tokens)
-                tokens = set()
+            if block != now and held:
+                yield record(now, held)
+                held = []
             now = block
-            for t in texts.to_pylist():
-                if t:
-                    tokens.update(tokens_of(t))
-        if tokens:
-            yield record(now, tokens)
+            held.append(pc.unique(words_of(texts.to_pylist(), table)[0]))
+        if held:
+            yield record(now, held)
 
     return run
 
@@ -282,39 +253,42 @@ def _texts_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "docs": one(ids), "sizes": one(pa.array([len(t) for t in whole], pa.int32())), "texts": pa.array([_press(b"".join(whole))], pa.binary())})
 
 
-def _known(tokens: set[str], answers: pa.Table, buckets: int, speller: Speller) -> dict[str, bytes]:
-    """The ids of each token."""
-    every = list(tokens)
-    cut = words_of(every, speller.table)
+def _known(words: list[str], answers: pa.Table, buckets: int, speller: Speller) -> list[bytes]:
+    """The ids of each of a block's different words."""
     known: dict[str, bytes] = {}
-    mine = _by_bucket(_asked(cut, speller), buckets)
+    mine = _by_bucket([w for w in words if speller.asks(w)], buckets)
     for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()):
         data, n = _unpress(packed), len(mine[b])
         ends = (np.cumsum(np.frombuffer(data[: 2 * n], np.uint16).astype(np.int64)) * 4 + 2 * n).tolist()
         known.update(zip(mine[b], [data[x:y] for x, y in zip([2 * n, *ends], ends)]))
         mine[b] = []
-    for w in {w for c in cut for w in c if w not in known}:
-        known[w] = speller.spell(w)
-    return {t: known[c[0]] if len(c) == 1 else b"".join([known[w] for w in c]) for t, c in zip(every, cut)}
+    return [known[w] if w in known else speller.spell(w) for w in words]
+
+
+def _gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[begin[i]:begin[i] + size[i]] of all i, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _spell(buckets: int, table: Table, also: bool):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        held = list(zip(*(chunks.column(c).to_pylist() for c in ("docs", "sizes", "texts"))))
-        tokens: set[str] = set()
-        for _, sizes, whole in held:
-            for t in _texts(sizes, whole):
-                if t:
-                    tokens.update(tokens_of(t))
-        spelled = _known(tokens, answers, buckets, Speller(table))
-        del tokens
-        out = []
-        while held:
-            docs, sizes, whole = held.pop(0)
+        speller = Speller(table)
+        held = []
+        for docs, sizes, whole in zip(*(chunks.column(c).to_pylist() for c in ("docs", "sizes", "texts"))):
             texts = _texts(sizes, whole)
-            rows = [b"".join([spelled[k] for k in tokens_of(t)]) if t else b"" for t in texts]
-            ends = np.cumsum([0] + [len(r) // 4 for r in rows])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32), pa.int32()))
+            held.append((docs, texts, *words_of(texts, table)))
+        every = pa.chunked_array([h[2] for h in held]).dictionary_encode()
+        spelled = _known(every.chunk(0).dictionary.to_pylist(), answers, buckets, speller) + [speller.raw(SPACE)]
+        size = np.array([len(w) // 4 for w in spelled])
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(spelled), np.int32)
+        del spelled
+        out = []
+        for docs, texts, _, literal, counts in held:
+            which = np.where(literal, len(size) - 1, every.chunk(len(out)).indices.to_numpy())
+            ids = _gathered(flat, begin[which], size[which])
+            ends = np.concatenate([[0], np.cumsum(size[which])])[np.concatenate([[0], np.cumsum(counts)])]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             row = {"doc_id": pa.array(docs, pa.int64()), "text": pa.array(texts, pa.string()), "ids": ids}
             out.append(pa.RecordBatch.from_pydict(row | ({"decoded": _texts_of(ids, table.spelled)} if also else {})))
         return pa.Table.from_batches(out)
@@ -332,9 +306,12 @@ def _texts(sizes: list[int], whole: bytes) -> list[str]:
 
 def _texts_of(ids: pa.ListArray, spelled: list[bytes]) -> pa.Array:
     """The text of each row of ids; null for null."""
+    size = np.array([len(p) for p in spelled])
+    begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(spelled), np.uint8)
     offsets, values, out = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), []
     for a, b, there in zip(offsets[:-1], offsets[1:], ids.is_valid().to_pylist()):
-        whole = b"".join([spelled[i] for i in values[a:b].tolist()]).removeprefix(b" ")
+        row = values[a:b]
+        whole = _gathered(flat, begin[row], size[row]).tobytes().removeprefix(b" ")
         out.append(whole.decode("utf-8", "replace") if there else None)
     return pa.array(out, pa.string())
 
@@ -378,13 +355,14 @@ def pieces_of(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids_hash, decoded_sha256, round_trip: the digest of encode and decode."""
     table = load(model)
     both = encode(docs, table, decoded=True)
-    return both.select(
+    digest = both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.hex(F.xxhash64("ids")).alias("ids_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("round_trip"),
     )
+    return written(digest, "pieces")
 
 
 def op3_lattice_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
