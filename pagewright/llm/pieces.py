@@ -20,6 +20,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of a task that are spelled from one dictionary, in bytes; bytes of text for each bucket of words.
 BLOCK_BYTES = 10 << 20
 BUCKET_BYTES = 24 << 20
+#: Bytes of text for each task of the lattice, whose edges are sorted by word.
+LATTICE_BYTES = 4 << 20
 #: Words of up to this many letters go through the relational lattice. A longer one has no place where it could be cut, and a row's fold copies its
 #: state at each letter; the same recurrence, in the task that spells its text, gives it the same best path.
 LATTICE_LETTERS = 256
@@ -160,7 +162,7 @@ def _by_bucket(words: Iterable[str], buckets: int) -> list[list[str]]:
 
 
 def _press(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(data)
+    return zstandard.ZstdCompressor(level=12).compress(data)
 
 
 def _unpress(data: bytes) -> bytes:
@@ -333,7 +335,7 @@ def encode(docs: DataFrame, table: Table, decoded: bool = False) -> DataFrame:
     buckets = parts(size_bytes, BUCKET_BYTES)
     asked = written(mine.mapInArrow(_words_batch(buckets, table), "block long, bucket int, words binary"), "words")
     words = asked.groupBy("bucket").applyInArrow(_distinct, "word string")
-    paths = lattice_paths(words, table, parts(size_bytes, 1 << 24, 8)).withColumn("bucket", F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(buckets)).cast("int"))
+    paths = lattice_paths(words, table, parts(size_bytes, LATTICE_BYTES, 8)).withColumn("bucket", F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(buckets)).cast("int"))
     answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(_answers(table), "block long, bucket int, ids binary")
     chunks = mine.mapInArrow(_texts_batch, "block long, docs array<long>, sizes array<int>, texts binary")
     spell = _spell(buckets, table, decoded)
