@@ -15,8 +15,8 @@ from .common import documents, map_texts
 UNIT = 576
 #: A payload byte b is the coefficient b + 256: all coefficients have 9 bits, none is 0.
 SHIFT = 256
-#: Units of 16 x 16 pixels in a row at most.
-ACROSS = 64
+#: Units of 16 x 16 pixels in a row, as long as the rows are no more than MOST: the format counts up to 65,535 lines.
+ACROSS, MOST = 64, 4095
 SAMPLING = ((2, 2), (1, 1), (1, 1))  # luma, two chromas
 #: Fixed values of the format: the zigzag order of an 8 x 8 block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -58,7 +58,7 @@ def _scan(parts: list[tuple[int, int, int]], start: int, end: int, high: int, lo
 
 
 def _grid(units: int) -> tuple[int, int]:
-    across = min(max(units, 1), ACROSS)
+    across = max(min(max(units, 1), ACROSS), -(-units // MOST))
     return across, -(-units // across)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -74,3 +75,30 @@ def test_query_columns(edge, edge_texts):
     for r in found.collect():
         assert r.h == hashlib.sha256(padded(edge_texts[r.doc_id])).hexdigest()
         assert r.c == zlib.crc32(padded(edge_texts[r.doc_id])[-32:])
+
+
+def test_pixels_by_the_formula():
+    """Inverse transform, repeated chroma and colour conversion, sample by sample."""
+    rng = np.random.default_rng(3)
+    grid = (2, 1)
+    planes = [rng.integers(-60, 60, (2 * h * v, 64)).astype(np.int64) for h, v in jpeg.SAMPLING]
+    got = jpeg.rgb(planes, grid, [np.ones(64, np.int64)] * 3)
+    zigzag = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+    c = lambda k: math.sqrt(0.5) if k == 0 else 1.0
+
+    def sample(block, x, y):
+        total = sum(c(z % 8) * c(z // 8) * block[n] * math.cos((2 * x + 1) * (z % 8) * math.pi / 16) * math.cos((2 * y + 1) * (z // 8) * math.pi / 16) for n, z in enumerate(zigzag))
+        return min(255.0, max(0.0, total / 4 + 128))
+
+    for px, py in ((0, 0), (7, 3), (8, 2), (15, 15), (16, 9), (31, 15)):
+        luma = planes[0][(py // 8) * 4 + px // 8]
+        y = sample(luma, px % 8, py % 8)
+        cb, cr = (sample(planes[k][px // 16], px // 2 % 8, py // 2 % 8) - 128 for k in (1, 2))
+        want = (y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb)
+        assert all(abs(int(a) - min(255, max(0, b))) <= 1 for a, b in zip(got[py, px], want)), (px, py)
+
+
+def test_lines_that_the_format_can_count():
+    for units in (0, 1, 64, 65, 64 * 4095, 64 * 4095 + 1, 4095 * 4095):
+        across, down = jpeg._grid(units)
+        assert 16 * across < 65536 and 16 * down < 65536 and across * down >= units
