@@ -27,27 +27,39 @@ MIN_DIGITS = 4
 MIN_SEEDS = 3
 TRUSTED = 0.8
 ROUNDS = 4
+#: Matches of a text whose places are summed at a time.
+PART = 256
 #: Begins the names of columns that are added to documents for a while.
 OWN = "_pagewright_"
 
 
+def _starts(sizes: Column) -> Column:
+    """Array of where each of sizes(gap, hit) begins: after its gap and all before. In parts of PART, so that no fold copies more than a part at a time."""
+    kind = "array<bigint>"
+    cuts = F.sequence(F.lit(1), F.size(sizes), F.lit(PART))
+
+    def within(part: Column) -> Column:
+        first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
+        add = lambda a, x: F.struct((a["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["gap"])).alias("out"))
+        return F.aggregate(part, first, add)
+
+    def beside(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array(F.lit(0).cast("bigint")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p["at"])))
+        return F.flatten(F.zip_with(parts, F.slice(ends, 1, F.size(parts)), lambda p, base: F.transform(p["out"], lambda x: x + base)))
+
+    folded = F.transform(cuts, lambda c: within(F.slice(sizes, c, F.lit(PART))))
+    return F.get(F.transform(F.array(folded), beside), F.lit(0))
+
+
 def _places(text: Column, pattern: str, needs: str) -> Column:
     """array<struct<start, end, value, before>> of the leftmost non-overlapping matches, in code points; before: the text up to the last match."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["h"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("value"), x["g"].alias("before"))
-        return F.struct(end.cast("bigint").alias("at"), F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).cast(empty_type).alias("out"))
-
-    empty_type = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
-    found = F.aggregate(zipped, first, add, lambda acc: acc["out"])
+    zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).cast("bigint").alias("gap"), F.length(h).cast("bigint").alias("hit"), g.alias("before"), h.alias("value")))
+    span = lambda x, at: F.struct(at.alias("start"), (at + x["hit"]).alias("end"), x["value"].alias("value"), x["before"].alias("before"))
+    whole = F.get(F.transform(F.array(zipped), lambda all_: F.when(F.size(all_) > 0, F.zip_with(all_, _starts(all_), span))), F.lit(0))
     there = F.instr(text, "@") > 0 if needs == "@" else text.rlike(needs)
-    return F.when(there, found).otherwise(empty)
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")
+    return F.coalesce(F.when(there, whole), empty)
 
 
 def _digits(value: Column) -> Column:
@@ -87,8 +99,8 @@ def _slim(kind: str, rank: int) -> Column:
 
 
 def _left_word(before: Column) -> Column:
-    """The word before a place, in lower case without punctuation; null where none stands there."""
-    word = F.regexp_extract(F.substring_index(F.regexp_replace(F.regexp_replace(before, r"\s++$", ""), r"\s++", " "), " ", -1), r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$", 1)
+    """The word before a place, in lower case without punctuation; null where none stands there. Read from the end, so that it takes as long as what it reads."""
+    word = F.reverse(F.regexp_extract(F.reverse(before), r"^\s*+[^\p{L}\p{N}_\s]*+([\p{L}\p{N}_]++)", 1))
     return F.when(word != "", F.lower(word))
 
 

@@ -1,4 +1,7 @@
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from pagewright.llm import pii
 from tests.llm.conftest import table
@@ -58,3 +61,15 @@ def test_found_identifiers_induce_patterns(spark):
     assert got[44] == [(9, 19, "id")]
     assert got[45] == [(11, 21, "id")] and got[50] == [(11, 21, "id")]
     assert got[51] == got[52] == []
+
+
+def test_long_words_and_many_matches(spark):
+    """A word of a million letters before a match, long white space, and thousands of matches take seconds."""
+    texts = ["a" * 1_000_000 + ".y 1.2.3.4", "b" + " " * 200_000 + "x" * 200_000 + "!." * 100_000 + "y 1.2.3.4", "1.2.3.4 " * 5_000, "é,, Word: !! 1.2.3.4", "word\n1.2.3.4", "?! 1.2.3.4", ""]
+    start = time.time()
+    rows = table(spark, texts).select(F.col("doc_id"), pii._places(F.col("text"), pii.PATTERNS["ip"], "[0-9]").alias("p")).select("doc_id", F.transform("p", lambda s: F.struct(s["start"], s["end"], pii._left_word(s["before"]))).alias("p"))
+    got = {r.doc_id: [tuple(x) for x in r.p] for r in rows.collect()}
+    assert time.time() - start < 60
+    assert got[0] == [(1_000_003, 1_000_010, "y")] and got[1] == [(600_003, 600_010, "y")]
+    assert got[2] == [(8 * i, 8 * i + 7, None) for i in range(5_000)]
+    assert [got[i][0][2] for i in (3, 4, 5)] == ["word", "word", None] and got[6] == []
