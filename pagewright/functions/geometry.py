@@ -112,6 +112,14 @@ def placed(points: str | Column, scale: str | Column, dx: str | Column, dy: str
     return F.transform(points, lambda p: F.struct(back(p["x"], dx).alias("x"), back(p["y"], dy).alias("y")))
 
 
+def placed_box(points: str | Column, width: str | Column, height_: str | Column) -> Column:
+    """Bounding box struct of placed corners, inside the frame, towards zero."""
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    low = lambda v: whole(F.greatest(F.lit(0.0), F.array_min(v)))
+    high = lambda v, most: whole(F.least(col(most).cast("double"), F.array_max(v)))
+    return F.struct(low(xs).alias("x1"), low(ys).alias("y1"), high(xs, width).alias("x2"), high(ys, height_).alias("y2"))
+
+
 def ordered_corners(points: str | Column) -> Column:
     """Four corners as top left, top right, bottom right, bottom left; the first of equal ones."""
 

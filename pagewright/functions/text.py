@@ -46,3 +46,19 @@ def urls(text: str | Column) -> Column:
 
 def line_report(line_id: str | Column, words: str | Column, text: str | Column) -> Column:
     return F.format_string("Line %d (%d words): %s", col(line_id), col(words), col(text))
+
+
+def spoken(text: str | Column) -> Column:
+    """A line as the console of a camera shows it."""
+    return F.concat(F.lit(" - "), col(text))
+
+
+def label_of(class_id: str | Column, names: dict[int, str]) -> Column:
+    """The name of a class; id_{n} for one without."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<int,string>")
+    return F.coalesce(F.try_element_at(known, col(class_id).cast("int")), F.concat(F.lit("id_"), col(class_id)))
+
+
+def name_sets(found: str | Column, known: str | Column) -> tuple[Column, Column]:
+    """Names in either of two arrays, and those found that are not known; sorted."""
+    return F.array_sort(F.array_union(col(found), col(known))), F.array_sort(F.array_except(col(found), col(known)))

@@ -24,7 +24,20 @@ def detected(boxes: DataFrame, least: float = 0.22) -> DataFrame:
 
 def _leaders(row: Column, kind: str, threshold: float) -> Column:
     """Of an ordered array of boxes those that no earlier leader overlaps by over `threshold`."""
-    return F.aggregate(row, F.array().cast(f"array<{kind}>"), lambda kept, b: F.when(F.exists(kept, lambda a: iou(a, b) > threshold), kept).otherwise(F.concat(kept, F.array(b))))
+    return F.aggregate(row, F.array().cast(f"array<{kind}>"), lambda kept, b: F.when(F.exists(kept, lambda a: over(a, b, threshold)), kept).otherwise(F.concat(kept, F.array(b))))
+
+
+def over(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two boxes overlap by over `threshold`, 0 or more; boxes apart are told by their sides alone."""
+    return (a["x1"] < b["x2"]) & (b["x1"] < a["x2"]) & (a["y1"] < b["y2"]) & (b["y1"] < a["y2"]) & (iou(a, b) > threshold)
+
+
+def overlapping(boxes: DataFrame, threshold: float = 0.5, pos: str = "word_id") -> DataFrame:
+    """frame_id, a, b, iou of the pairs of boxes in a frame that overlap by over `threshold`; a is before b by `pos`. A frame's boxes are one array."""
+    frames = boxes.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), *BOX))).alias("row"))
+    later = lambda p, i: F.filter(F.slice("row", i + 2, F.size("row")), lambda q: over(p, q, threshold))
+    pairs = F.flatten(F.transform("row", lambda p, i: F.transform(later(p, i), lambda q: F.struct(p["pos"].alias("a"), q["pos"].alias("b"), iou(p, q).alias("iou")))))
+    return frames.select("frame_id", F.explode(pairs).alias("p")).select("frame_id", "p.*")
 
 
 def suppressed(boxes: DataFrame, threshold: float = 0.5, pos: str = "word_id") -> DataFrame:
@@ -44,7 +57,7 @@ def consensus(boxes: DataFrame, threshold: float = 0.35, order: tuple[str, ...]
     frames = numbered.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("pos", *BOX))).alias("row"))
     kind = frames.schema["row"].dataType.elementType.simpleString()
     led = frames.withColumn("leads", _leaders(F.col("row"), kind, threshold))
-    first = lambda b: F.get(F.filter("leads", lambda a: (a["pos"] == b["pos"]) | ((a["pos"] < b["pos"]) & (iou(a, b) > threshold))), F.lit(0))["pos"]
+    first = lambda b: F.get(F.filter("leads", lambda a: (a["pos"] == b["pos"]) | ((a["pos"] < b["pos"]) & over(a, b, threshold))), F.lit(0))["pos"]
     member = led.select("frame_id", F.explode(F.transform("row", lambda b: F.struct(first(b).alias("lead"), *[b[c].alias(c) for c in BOX]))).alias("m")).select("frame_id", "m.*")
     groups = member.groupBy("frame_id", "lead").agg(*[F.avg(c).cast("int").alias(c) for c in BOX], F.count("*").cast("int").alias("votes"))
     return groups.select("frame_id", F.row_number().over(Window.partitionBy("frame_id").orderBy("lead")).alias("word_id"), *BOX, "votes")
@@ -62,23 +75,34 @@ def merged(boxes: DataFrame, gap: int = MERGE[0], ratio: float = MERGE[1], sprea
     bands = row.withColumn("bullet", bullet).groupBy("frame_id", "col", "band").agg(F.array_sort(F.collect_list(unit)).alias("units"))
     kind = bands.schema["units"].dataType.simpleString()
 
-    def step(units: Column, _: Column) -> Column:
+    def nearest(units: Column) -> Column:
+        """The seam to merge as a struct gap, i; null if there is none."""
+
         def seam(i: Column) -> Column:
             a, b = F.get(units, i), F.get(units, i + 1)
             width = b["first"] - a["last"]
             able = ~a["br"] & ~b["bl"] & (a["n"] + b["n"] <= most) & (width <= (a["sh"] + b["sh"]) / (a["n"] + b["n"]) * F.lit(spread))
             return F.when(able, F.struct(width.alias("gap"), i.alias("i")))
 
-        best = F.when(F.size(units) > 1, F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(units) - 2)), seam), lambda s: s.isNotNull())))
+        return F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.size(units) - 2), seam), lambda s: s.isNotNull()))
+
+    def join_at(units: Column, best: Column) -> Column:
         i = best["i"]
         a, b = F.get(units, i), F.get(units, i + 1)
         both = F.struct(
             a["rn"].alias("rn"), (a["n"] + b["n"]).alias("n"), (a["sh"] + b["sh"]).alias("sh"), a["first"].alias("first"), b["last"].alias("last"), a["bl"].alias("bl"), b["br"].alias("br"),
             F.least(a["x1"], b["x1"]).alias("x1"), F.least(a["y1"], b["y1"]).alias("y1"), F.greatest(a["x2"], b["x2"]).alias("x2"), F.greatest(a["y2"], b["y2"]).alias("y2"),
         )
-        joined = F.concat(F.slice(units, F.lit(1), i), F.array(both), F.slice(units, i + 3, F.size(units)))
-        return F.when(best.isNull(), units).otherwise(joined).cast(kind)
+        return F.concat(F.slice(units, F.lit(1), i), F.array(both), F.slice(units, i + 3, F.size(units))).cast(kind)
+
+    def step(a: Column, _: Column) -> Column:
+        """The nearest pair merged; after the last merge, units stay and no seam is looked at. transform binds the seam, so it is found once."""
+        units = a["units"]
+        once = F.transform(F.array(nearest(units)), lambda best: F.when(best.isNull(), F.struct(units.alias("units"), F.lit(True).alias("done"))).otherwise(F.struct(join_at(units, best).alias("units"), F.lit(False).alias("done"))))
+        return F.when(a["done"] | (F.size(units) < 2), a).otherwise(F.get(once, F.lit(0)))
 
-    done = bands.withColumn("units", F.when(F.size("units") > 1, F.aggregate(F.sequence(F.lit(2), F.size("units")), F.col("units"), step)).otherwise(F.col("units")))
+    start = F.struct(F.col("units"), F.lit(False).alias("done"))
+    folded = F.aggregate(F.sequence(F.lit(2), F.size("units")), start, step, lambda a: a["units"])
+    done = bands.withColumn("units", F.when(F.size("units") > 1, folded).otherwise(F.col("units")))
     flat = done.select("frame_id", "col", "band", F.explode("units").alias("u"))
     return flat.select("frame_id", F.row_number().over(Window.partitionBy("frame_id").orderBy("col", "band", "u.rn")).alias("word_id"), *[f"u.{c}" for c in BOX], F.col("u.n").alias("merged"))

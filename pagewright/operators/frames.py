@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.geometry import iou, overlap
+from pagewright.functions.geometry import overlap
+
+from . import state
 
 SCREENS, OBSTACLES = ("laptop", "tvmonitor"), ("person",)
 BOX = ("x1", "y1", "x2", "y2")
@@ -51,69 +53,39 @@ def corners_of(frames: DataFrame) -> DataFrame:
     )
 
 
+def largest_contours(contours: DataFrame) -> DataFrame:
+    """frame_id, contour, contour_area of the largest of each frame's contours(frame_id, ord, contour, area); of equal ones the first."""
+    top = F.max_by(F.struct("contour", "area"), F.struct("area", (-F.col("ord")).alias("o")))
+    return contours.groupBy("frame_id").agg(top.alias("c")).select("frame_id", F.col("c.contour").alias("contour"), F.col("c.area").alias("contour_area"))
+
+
+def unknown_classes(detections: DataFrame, known: DataFrame) -> DataFrame:
+    """label, class_id, n of the detections whose label is not in known(label), a model's few names."""
+    return detections.join(F.broadcast(known.select("label")), "label", "left_anti").groupBy("label", "class_id").agg(F.count("*").alias("n"))
+
+
 def with_corner_cache(frames: DataFrame, threshold: float = 0.97, by: str = "camera_id", order: str = "frame_id") -> DataFrame:
     """frames(by, order, coarse, detected) with reused, used: in order, a frame takes the cached corners if its coarse box overlaps the cached one by
     `threshold`; else its own, which are cached if they are not null. A null coarse box matches nothing.
 
-    One camera's frames are folded in order, as one array of ids, boxes and corners: state a stream would keep (see streaming)."""
-    row = F.struct(F.col(order).alias("ord"), "coarse", "detected")
-    cams = frames.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("row"))
+    coarse is a struct of x1 .. y2. The state is the cached box and corners, as in a stream (see streaming)."""
     types = dict(frames.dtypes)
-    kind = f"array<struct<ord:{types[order]},reused:boolean,used:{types['detected']}>>"
-    start = F.struct(F.lit(None).cast(types["coarse"]).alias("box"), F.lit(None).cast(types["detected"]).alias("corners"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, f: Column) -> Column:
-        hit = a["corners"].isNotNull() & f["coarse"].isNotNull() & (iou(f["coarse"], a["box"]) >= threshold)
-        fresh = ~hit & f["detected"].isNotNull()
-        used = F.when(hit, a["corners"]).otherwise(f["detected"])
-        return F.struct(
-            F.when(fresh, f["coarse"]).otherwise(a["box"]).alias("box"),
-            F.when(fresh, f["detected"]).otherwise(a["corners"]).alias("corners"),
-            F.concat(a["out"], F.array(F.struct(f["ord"].alias("ord"), hit.alias("reused"), used.alias("used")))).cast(kind).alias("out"),
-        )
-
-    return cams.select(by, F.explode(F.aggregate("row", start, step, lambda a: a["out"])).alias("o")).select(by, F.col("o.ord").alias(order), "o.reused", "o.used")
+    ready = frames.select(by, order, "coarse", "detected")
+    return state.scan(ready, by, order, state.corners_kept(threshold), f"{by} {types[by]}, {order} {types[order]}, reused boolean, used {types['detected']}")
 
 
 def with_resolution(frames: DataFrame, budget: float = 2.5, start: int = 1280, by: str = "camera_id", order: str = "frame_id") -> DataFrame:
     """frames(by, order, seconds) with dim, the resolution after each frame: times 0.85 over the budget, times 1.1 under half of it, towards zero,
     320 to 1600."""
-    cams = frames.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), "seconds"))).alias("row"))
-    kind = f"array<struct<ord:{dict(frames.dtypes)[order]},dim:int>>"
-
-    def step(a: Column, f: Column) -> Column:
-        factor = F.when(f["seconds"] > budget, 0.85).when(f["seconds"] < budget * 0.5, 1.1)
-        dim = F.when(factor.isNull(), a["dim"]).otherwise(F.greatest(F.lit(320), F.least(F.lit(1600), (a["dim"] * factor).cast("int"))))
-        return F.struct(dim.alias("dim"), F.concat(a["out"], F.array(F.struct(f["ord"].alias("ord"), dim.alias("dim")))).cast(kind).alias("out"))
-
-    init = F.struct(F.lit(start).alias("dim"), F.array().cast(kind).alias("out"))
-    return cams.select(by, F.explode(F.aggregate("row", init, step, lambda a: a["out"])).alias("o")).select(by, F.col("o.ord").alias(order), "o.dim")
+    types = dict(frames.dtypes)
+    return state.scan(frames.select(by, order, "seconds"), by, order, state.resolutions(budget, start), f"{by} {types[by]}, {order} {types[order]}, dim int")
 
 
 def with_batch_size(runs: DataFrame, start: int = 8, most: int = 256, by: str = "model_id", order: str = "run_id") -> DataFrame:
     """runs(by, order, n_left, items_per_s, failed) with batch, the size tried: it doubles while throughput rises by over 3 %, settles on the best so far
     when it doesn't, and is halved for good by a failure. Each run uses min(size, ceiling, n_left)."""
-    row = F.struct(F.col(order).alias("ord"), "n_left", "items_per_s", "failed")
-    models = runs.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("row"))
-    kind = f"array<struct<ord:{dict(runs.dtypes)[order]},batch:int>>"
-    init = F.struct(F.lit(start).alias("now"), F.lit(most).alias("top"), F.lit(0.0).alias("best"), F.lit(start).alias("at"), F.lit(True).alias("up"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        used = F.greatest(F.lit(1), F.least(F.least(a["now"], a["top"]), F.greatest(F.lit(1), r["n_left"])))
-        better = r["items_per_s"] > a["best"] * F.lit(1.03)
-        half = F.greatest(F.lit(1), F.floor(used / 2).cast("int"))
-        grown = F.least(a["top"], F.greatest(a["now"] * 2, used + 1))
-        grows = better & a["up"] & (used >= a["now"])
-        return F.struct(
-            F.when(r["failed"], half).when(grows, grown).when(~better & a["up"], a["at"]).otherwise(a["now"]).alias("now"),
-            F.when(r["failed"], half).otherwise(a["top"]).alias("top"),
-            F.when(~r["failed"] & better, r["items_per_s"]).otherwise(a["best"]).alias("best"),
-            F.when(~r["failed"] & better, used).otherwise(a["at"]).alias("at"),
-            F.when(r["failed"] | ~better, F.lit(False)).otherwise(a["up"]).alias("up"),
-            F.concat(a["out"], F.array(F.struct(r["ord"].alias("ord"), used.alias("batch")))).cast(kind).alias("out"),
-        )
-
-    return models.select(by, F.explode(F.aggregate("row", init, step, lambda a: a["out"])).alias("o")).select(by, F.col("o.ord").alias(order), "o.batch")
+    types = dict(runs.dtypes)
+    return state.scan(runs.select(by, order, "n_left", "items_per_s", "failed"), by, order, state.batch_sizes(start, most), f"{by} {types[by]}, {order} {types[order]}, batch int")
 
 
 def latest(frames: DataFrame, by: str = "camera_id", ts: str = "ts", order: str = "frame_id") -> DataFrame:
@@ -135,3 +107,8 @@ def total_seconds(*stages: str) -> Column:
     for s in stages:
         total = total + F.coalesce(F.col(s), F.lit(0.0))
     return total
+
+
+def overhead(total: str, server: str) -> Column:
+    """Seconds of a request that no server spent; never under 0."""
+    return F.greatest(F.lit(0.0), F.col(total) - F.coalesce(F.col(server), F.lit(0.0)))

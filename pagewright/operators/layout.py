@@ -42,9 +42,7 @@ def with_lines(words: DataFrame, gap: int = LINES[0], ratio: float = LINES[1], s
     line so far; lines are numbered by column, band and place."""
     row = F.struct("rn", "word_id", "x1", "y1", "x2", "y2", "h", "text")
     bands = banded(words, gap, ratio).groupBy("frame_id", "col", "band").agg(F.array_sort(F.collect_list(row)).alias("row"))
-    item = bands.schema["row"].dataType.elementType.simpleString()
-    kind = f"array<struct<seg:int,w:{item}>>"
-    start = F.struct(F.lit(0).alias("seg"), F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(0).alias("seg"), F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def add(a: Column, w: Column) -> Column:
         cut = a["end"].isNull() | (w["x1"] - a["end"] > F.lit(spread) * a["sum"] / a["n"])
@@ -54,10 +52,11 @@ def with_lines(words: DataFrame, gap: int = LINES[0], ratio: float = LINES[1], s
             w["x2"].cast("double").alias("end"),
             F.when(cut, w["h"].cast("double")).otherwise(a["sum"] + w["h"]).alias("sum"),
             F.when(cut, 1).otherwise(a["n"] + 1).alias("n"),
-            F.concat(a["out"], F.array(F.struct(seg.alias("seg"), w.alias("w")))).cast(kind).alias("out"),
+            F.concat(a["out"], F.array(seg)).alias("out"),
         )
 
-    cut = bands.select("frame_id", "col", "band", F.explode(F.aggregate("row", start, add, lambda a: a["out"])).alias("o"))
+    segs = bands.withColumn("segs", F.when(F.size("row") > 1, F.aggregate("row", start, add, lambda a: a["out"])).otherwise(F.array(F.lit(1))))
+    cut = segs.select("frame_id", "col", "band", F.explode(F.zip_with("segs", "row", lambda s, w: F.struct(s.alias("seg"), w.alias("w")))).alias("o"))
     line = F.dense_rank().over(Window.partitionBy("frame_id").orderBy("col", "band", "o.seg")).cast("int")
     return cut.withColumn("line_id", line).select("frame_id", "line_id", "o.w.*")
 

@@ -54,3 +54,8 @@ def by_size(crops_: DataFrame, aspect: bool = True) -> DataFrame:
     """Crops of a partition in order of shape, so that a batch holds like ones."""
     key = (F.col("x2") - F.col("x1")) / F.greatest(F.lit(1), F.col("y2") - F.col("y1")) if aspect else F.col("x2") - F.col("x1")
     return crops_.sortWithinPartitions(key, "frame_id", "word_id")
+
+
+def restored(words: DataFrame) -> DataFrame:
+    """words in order of frame and word, after work in any order."""
+    return words.orderBy("frame_id", "word_id")

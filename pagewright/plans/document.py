@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import bounds_of
 from pagewright.operators.boxes import consensus, detected, merged, suppressed
 from pagewright.operators.frames import best_screen, corners_of, obstructions, statuses
 from pagewright.operators.layout import lines
-from pagewright.operators.words import crops, recognised, reread, weak_crops
+from pagewright.operators.words import by_size, crops, recognised, reread, weak_crops
 
 
 @dataclass
@@ -29,25 +30,42 @@ class Providers:
     second: Callable[[DataFrame], DataFrame] | None = None
 
 
-def process(frames: DataFrame, use: Providers, ensemble: bool = False, pad: float = 0.55) -> tuple[DataFrame, DataFrame]:
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """df evaluated once: as the table `name` in folder, which stays for inspection, or else kept by the executors until unpersist()."""
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def process(frames: DataFrame, use: Providers, ensemble: bool = False, pad: float = 0.55, stages: str | None = None) -> tuple[DataFrame, DataFrame]:
     """lines and status of frames(frame_id, width, height). Frames without corners or with an obstacle on the paper are gated before any
-    text is detected; the same rows pass no gate twice."""
-    found = use.detections(frames)
+    text is detected; the same rows pass no gate twice.
+
+    Models run once a frame: what they return is stored, as tables detections, corners, boxes, words and lines under `stages` if that is given."""
+    found = stored(use.detections(frames), "detections", stages)
     screens = best_screen(found)
     coarse = frames.join(screens, "frame_id", "left").withColumn(
         "coarse", F.when(F.col("sx1").isNotNull(), F.struct(*[F.col(f"s{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]))
     )
-    cornered = corners_of(use.corners(coarse))
+    cornered = stored(corners_of(use.corners(coarse)), "corners", stages)
     papers = cornered.where(F.col("corners").isNotNull()).select("frame_id", bounds_of("corners").alias("p"))
     papers = papers.select("frame_id", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")])
     blocked = obstructions(found, papers)
     open_frames = frames.join(papers.select("frame_id"), "frame_id", "left_semi").join(blocked.select("frame_id"), "frame_id", "left_anti")
-    boxes = use.boxes(open_frames)
+    boxes = stored(use.boxes(open_frames), "boxes", stages)
     single = suppressed(consensus(boxes).withColumn("score", F.lit(None).cast("double")) if ensemble else detected(boxes))
     units = merged(single.drop("word_id").withColumnRenamed("nms_ord", "word_id"))
     cut = crops(units.join(frames.select("frame_id", "width", "height"), "frame_id"), pad)
-    words = recognised(use.read(cut)).join(cut.select("frame_id", "word_id", "x1", "y1", "x2", "y2"), ["frame_id", "word_id"])
+    words = recognised(use.read(by_size(cut))).join(cut.select("frame_id", "word_id", "x1", "y1", "x2", "y2"), ["frame_id", "word_id"])
     if use.second is not None:
-        words = reread(words, recognised(use.second(weak_crops(cut, words))))
-    out = lines(words)
+        words = stored(words, "first-words", stages)
+        words = reread(words, recognised(use.second(by_size(weak_crops(cut, words)))))
+    out = stored(lines(stored(words, "words", stages)), "lines", stages)
     return out, statuses(frames, cornered, blocked, out)
+
+
+def measured(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df, and an observation of its rows and frames that is filled when df is evaluated: a stage's metrics without another pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("frame_id").alias("frames")), seen

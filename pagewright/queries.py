@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright import fixtures
 from pagewright.functions import codec, geometry, text
-from pagewright.operators import boxes, frames, layout, words
+from pagewright.operators import boxes, detectors, frames, layout, words
 from pagewright.sources.images import text_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,8 +142,8 @@ def _dense(spark, d):
     return b.select("frame_id", "word_id", "detector_ord", (F.col("x1") % 400).alias("x1"), (F.col("y1") % 90).alias("y1"), (F.col("x1") % 400 + F.col("x2") - F.col("x1")).alias("x2"), (F.col("y1") % 90 + F.col("y2") - F.col("y1")).alias("y2"), F.when(F.col("word_id") % 5 != 0, F.col("conf")).alias("score"))
 
 
-def _nms_sql(threshold: str) -> str:
-    return f"""with g as (select frame_id, list({{'r': -coalesce(score, 1.0::double), 'pos': word_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score}} order by -coalesce(score, 1.0::double), word_id) as o from {_DENSE.format(b=T('boxes'))} q group by 1),
+def _nms_sql(threshold: str, source: str = "") -> str:
+    return f"""with g as (select frame_id, list({{'r': -coalesce(score, 1.0::double), 'pos': word_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score}} order by -coalesce(score, 1.0::double), word_id) as o from {source or _DENSE.format(b=T('boxes'))} q group by 1),
 k as (select frame_id, {_leaders_sql(threshold)} as kept from g),
 u as (select frame_id, unnest(kept) as b, generate_subscripts(kept, 1) - 1 as nms_ord from k)
 select frame_id, nms_ord, b.pos as word_id, b.x1 as x1, b.y1 as y1, b.x2 as x2, b.y2 as y2, b.score as score from u"""
@@ -186,20 +186,15 @@ def min_area_f3(spark, d):
     return boxes.large_enough(table(spark, d, "tall")).select("frame_id", "word_id")
 
 
-@query(f"select frame_id, word_id from (select frame_id, word_id, conf * conf * conf as score, x1, y1, x2 - 40 as x2, y2 from {T('boxes')} b) where score >= 0.82::double and x1 < x2 and y1 < y2", "word_id")
+@query(f"select frame_id, word_id from (select frame_id, word_id, (conf - 0.9::double) * 10.0::double as score, x1, y1, x2 - 40 as x2, y2 from {T('boxes')} b) where score >= 0.22::double and x1 < x2 and y1 < y2", "word_id")
 def detector_filter_f1(spark, d):
-    b = table(spark, d, "boxes").withColumn("score", F.col("conf") * F.col("conf") * F.col("conf")).withColumn("x2", F.col("x2") - 40)
-    return boxes.detected(b, 0.82).select("frame_id", "word_id")
+    b = table(spark, d, "boxes").withColumn("score", (F.col("conf") - F.lit(0.9)) * F.lit(10.0)).withColumn("x2", F.col("x2") - 40)
+    return boxes.detected(b).select("frame_id", "word_id")
 
 
 @query(f"select a.frame_id, a.word_id as a, b.word_id as b, round({_iou_sql('a', 'b')}, 9) as iou from {_DENSE.format(b=T('boxes'))} a join {_DENSE.format(b=T('boxes'))} b on a.frame_id = b.frame_id and a.word_id < b.word_id where {_iou_sql('a', 'b')} > 0.5::double", "a b")
 def overlaps_j5(spark, d):
-    """Pairs within a frame; a frame holds a bounded number of boxes."""
-    one, two = _dense(spark, d), _dense(spark, d)
-    a = one.select("frame_id", F.col("word_id").alias("a"), F.struct(*BOX).alias("p"))
-    b = two.select("frame_id", F.col("word_id").alias("b"), F.struct(*BOX).alias("q"))
-    pairs = a.join(b, "frame_id").where((F.col("a") < F.col("b")) & (F.col("p.x1") < F.col("q.x2")) & (F.col("q.x1") < F.col("p.x2")))
-    return pairs.withColumn("iou", geometry.iou(F.col("p"), F.col("q"))).where("iou > 0.5").select("frame_id", "a", "b", F.round("iou", 9).alias("iou"))
+    return boxes.overlapping(_dense(spark, d)).select("frame_id", "a", "b", F.round("iou", 9).alias("iou"))
 
 
 @query(
@@ -207,9 +202,55 @@ def overlaps_j5(spark, d):
 union all select l_orderkey // 8, 'b', l_linenumber from lineitem where l_suppkey % 3 = 0)"""
 )
 def detector_union_u1(spark, d):
+    return detectors.union(_two_detectors(spark, d)).select("frame_id", "detector", "word_id")
+
+
+def _two_detectors(spark, d):
     b = spark.read.parquet(f"{d}/lineitem.parquet").select(F.expr("l_orderkey div 8").alias("frame_id"), F.col("l_linenumber").alias("word_id"), "l_suppkey")
-    part = lambda name, k: b.where(F.col("l_suppkey") % k == 0).select("frame_id", F.lit(name).alias("detector"), "word_id")
-    return part("a", 2).unionByName(part("b", 3))
+    return {name: b.where(F.col("l_suppkey") % k == 0).select("frame_id", "word_id") for name, k in (("a", 2), ("b", 3))}
+
+
+@query(ORACLES["detector_union_u1"])
+def tolerant_union_u3(spark, d):
+    """A detector that cannot be planned is left out."""
+    both = _two_detectors(spark, d)
+    make = {"a": lambda: both["a"], "broken": lambda: both["a"].select("no_such_column"), "b": lambda: both["b"]}
+    return detectors.tolerant_union(make)[0].select("frame_id", "detector", "word_id")
+
+
+_EAST = f"""(select frame_id, det_ord as pos, x1 % 320 as cx, y1 % 180 as cy, 8.0::double + det_ord % 3 as d0, 60.0::double + det_ord as d1, 9.0::double as d2, 50.0::double as d3, (det_ord - 4) / 50.0::double as angle, score from {T('detections')} d)"""
+_EAST_BOXES = f"""(select frame_id, pos as word_id, score, trunc(ex - w)::int as x1, trunc(ey - h)::int as y1, trunc(ex - w)::int + trunc(w)::int as x2, trunc(ey - h)::int + trunc(h)::int as y2 from (
+  select *, d1 + d3 as w, d0 + d2 as h, trunc(cx * 4.0::double + cos(angle) * d1 + sin(angle) * d2)::int as ex, trunc(cy * 4.0::double - sin(angle) * d1 + cos(angle) * d2)::int as ey from {_EAST} e where score > 0.5::double) z)"""
+
+
+@query(
+    f"""select frame_id, nms_ord + 1 as word_id, trunc(x1 * (1920 / 1280.0::double))::int as x1, trunc(y1 * (1080 / 1280.0::double))::int as y1, trunc(x2 * (1920 / 1280.0::double))::int as x2, trunc(y2 * (1080 / 1280.0::double))::int as y2, score
+from ({_nms_sql('0.4', _EAST_BOXES)}) n""", "word_id"
+)
+def east_m1c(spark, d):
+    o = F.col("det_ord")
+    cells = table(spark, d, "detections").select(
+        "frame_id", o.alias("pos"), (F.col("x1") % 320).alias("cx"), (F.col("y1") % 180).alias("cy"), (F.lit(8.0) + o % 3).alias("d0"), (F.lit(60.0) + o).alias("d1"), F.lit(9.0).alias("d2"), F.lit(50.0).alias("d3"),
+        ((o - 4) / F.lit(50.0)).alias("angle"), "score", F.lit(1920).alias("width"), F.lit(1080).alias("height"),
+    )
+    return detectors.east(cells)
+
+
+@query(f"select frame_id, max(coalesce(case when det_ord % 3 > 0 then score end, 0.0::double)) as seconds from {T('detections')} d group by 1")
+def ensemble_time_a7(spark, d):
+    runs = table(spark, d, "detections").select("frame_id", F.col("label").alias("detector"), F.when(F.col("det_ord") % 3 > 0, F.col("score")).alias("seconds"))
+    return detectors.ensemble_seconds(runs)
+
+
+@query(
+    """select sum(greatest(1, n_nationkey % 4))::bigint as replicas, count(distinct n_regionkey) as devices,
+  string_agg('rec@http://' || n_name || ' (device=gpu:' || n_regionkey || ', replicas=' || greatest(1, n_nationkey % 4) || ')', ', ' order by 'http://' || n_name) as info
+from nation where n_nationkey % 3 <> 0"""
+)
+def fleet_a10(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    servers = n.select(F.concat(F.lit("http://"), "n_name").alias("url"), F.lit("rec").alias("model"), F.concat(F.lit("gpu:"), "n_regionkey").alias("device"), (F.col("n_nationkey") % 4).cast("int").alias("num_replicas"), (F.col("n_nationkey") % 3 != 0).alias("healthy"))
+    return detectors.fleet(servers)
 
 
 # Projections
@@ -265,6 +306,16 @@ def corner_order_p9(spark, d):
     return o.select("frame_id", *[F.col("o")[i][c].alias(f"{n}{c}") for i, n in enumerate(("tl", "tr", "br", "bl")) for c in "xy"])
 
 
+@query(
+    f"""with q as (select frame_id, width, height, [{{'x': p.x / least(1.0::double, s) + frame_id % 5, 'y': p.y / least(1.0::double, s) - frame_id % 40}} for p in pts] as pts from (select *, 0.5::double + (frame_id % 9) / 10.0::double as s from {_PTS} z) y)
+select frame_id, trunc(greatest(0, list_min([p.x for p in pts])))::int as x1, trunc(greatest(0, list_min([p.y for p in pts])))::int as y1, trunc(least(width, list_max([p.x for p in pts])))::int as x2, trunc(least(height, list_max([p.y for p in pts])))::int as y2 from q"""
+)
+def placed_corners_p8(spark, d):
+    i = F.col("frame_id")
+    back = _corners(spark, d).withColumn("pts", geometry.placed("pts", F.lit(0.5) + i % 9 / F.lit(10.0), i % 5, -(i % 40)))
+    return back.select("frame_id", geometry.placed_box("pts", "width", "height").alias("b")).select("frame_id", "b.*")
+
+
 _DIST = "sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y))"
 
 
@@ -306,6 +357,26 @@ def upscale_p13(spark, d):
     return table(spark, d, "boxes").select("frame_id", "word_id", w.alias("w"), h.alias("h"))
 
 
+def _upscale_sql(least: int, target: int) -> str:
+    return f"""select frame_id, word_id, case when s < {least} then greatest(1, round_even((x2 - x1) * ({target}.0::double / greatest(1, s)), 0)::int) else x2 - x1 end as w, case when s < {least} then greatest(1, round_even((y2 - y1) * ({target}.0::double / greatest(1, s)), 0)::int) else y2 - y1 end as h
+from (select *, least(x2 - x1, y2 - y1) as s from {T('tall')} b)"""
+
+
+def _upscaled(spark, d, least, target):
+    w, h = geometry.enlarged(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), least, target)
+    return table(spark, d, "tall").select("frame_id", "word_id", w.alias("w"), h.alias("h"))
+
+
+@query(_upscale_sql(40, 64), "word_id")
+def upscale_crops_p13b(spark, d):
+    return _upscaled(spark, d, 40, 64)
+
+
+@query(_upscale_sql(4, 4), "word_id")
+def upscale_tiny_p13c(spark, d):
+    return _upscaled(spark, d, 4, 4)
+
+
 @query(f"select frame_id, greatest(8, least(48, trunc(max(x2 - x1) / 9.0::double)::int + 6)) as budget from {T('boxes')} b group by 1")
 def token_budget_p14(spark, d):
     return table(spark, d, "boxes").groupBy("frame_id").agg(F.max(F.col("x2") - F.col("x1")).alias("w")).select("frame_id", geometry.token_budget("w").alias("budget"))
@@ -486,7 +557,29 @@ def frame_status_f12(spark, d):
 @query(f"select label, count(*) as n, class_id from {_D} d where label not in ('laptop', 'person') group by all")
 def class_names_j6(spark, d):
     known = spark.createDataFrame([("laptop",), ("person",)], "label string")
-    return table(spark, d, "detections").join(F.broadcast(known), "label", "left_anti").groupBy("label", "class_id").agg(F.count("*").alias("n"))
+    return frames.unknown_classes(table(spark, d, "detections"), known)
+
+
+@query(f"select frame_id, det_ord, case class_id when 0 then 'laptop' when 2 then 'person' else 'id_' || class_id end as name from {_D} d")
+def label_names(spark, d):
+    return table(spark, d, "detections").select("frame_id", "det_ord", text.label_of("class_id", {0: "laptop", 2: "person"}).alias("name"))
+
+
+@query(
+    f"""with g as (select frame_id, list_distinct(list(label)) as l from {_D} d where score > 0.4::double group by 1)
+select frame_id, list_sort(list_distinct(list_concat(l, ['laptop', 'screen'])))::varchar as every, list_sort(list_filter(l, lambda x: x not in ('laptop', 'screen')))::varchar as missing from g"""
+)
+def name_sets_u2(spark, d):
+    g = table(spark, d, "detections").where("score > 0.4").groupBy("frame_id").agg(F.collect_set("label").alias("l"))
+    every, missing = text.name_sets("l", F.array(F.lit("laptop"), F.lit("screen")))
+    shown = lambda a: F.concat(F.lit("["), F.array_join(a, ", "), F.lit("]"))
+    return g.select("frame_id", shown(every).alias("every"), shown(missing).alias("missing"))
+
+
+@query(f"select frame_id, arg_max(det_ord, (x2 - x1) * (y2 - y1) * 100 - det_ord) as contour, max((x2 - x1) * (y2 - y1)) as contour_area from {_D} d group by 1")
+def largest_contour_t5(spark, d):
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return frames.largest_contours(table(spark, d, "detections").select("frame_id", F.col("det_ord").alias("ord"), F.col("det_ord").alias("contour"), area.alias("area")))
 
 
 # Codec and service
@@ -516,8 +609,8 @@ def plan_requests_m12(spark, d):
 
 @query(f"select frame_id, seconds + 0.5::double + case when frame_id % 2 = 0 then 0.25::double else 0 end as total, greatest(0.0::double, seconds - 1.0::double) as overhead from {_F} f")
 def total_time_a8(spark, d):
-    f = table(spark, d, "frames").withColumn("a", F.lit(0.5)).withColumn("b", F.when(F.col("frame_id") % 2 == 0, 0.25))
-    return f.select("frame_id", frames.total_seconds("seconds", "a", "b").alias("total"), F.greatest(F.lit(0.0), F.col("seconds") - 1.0).alias("overhead"))
+    f = table(spark, d, "frames").withColumn("a", F.lit(0.5)).withColumn("b", F.when(F.col("frame_id") % 2 == 0, 0.25)).withColumn("server", F.lit(1.0))
+    return f.select("frame_id", frames.total_seconds("seconds", "a", "b").alias("total"), frames.overhead("seconds", "server").alias("overhead"))
 
 
 @query(
@@ -535,3 +628,9 @@ def text_sink_k1(spark, d):
 select frame_id, line_id, 'Line ' || line_id || ' (' || n || ' words): ' || text as report from s""", "line_id")
 def console_k2(spark, d):
     return layout.lines(table(spark, d, "words")).select("frame_id", "line_id", text.line_report("line_id", "words_count", "text").alias("report"))
+
+
+@query(_line_sql(T("words")) + f""", s as (select l.frame_id, l.line_id, string_agg(w.text, ' ' order by l.rn) as text from l join {T('words')} w using (frame_id, word_id) group by 1, 2)
+select frame_id, line_id, ' - ' || text as line from s""", "line_id")
+def camera_console_k3(spark, d):
+    return layout.lines(table(spark, d, "words")).select("frame_id", "line_id", text.spoken("text").alias("line"))

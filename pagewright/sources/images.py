@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import stem
@@ -32,12 +38,29 @@ def text_files(frames: DataFrame, lines: DataFrame) -> DataFrame:
     overwrite each other: clash says so."""
     body = lines.groupBy("frame_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "text"))), lambda s: s["text"]), "\n"), F.lit("\n")).alias("content"))
     named = frames.select("frame_id", F.concat(stem("path"), F.lit(".txt")).alias("name"))
-    twice = named.groupBy("name").agg((F.count("*") > 1).alias("clash"))
-    return named.join(body, "frame_id", "left").join(twice, "name").select("frame_id", "name", F.coalesce("content", F.lit("")).alias("content"), "clash")
+    clash = F.count("*").over(Window.partitionBy("name")) > 1
+    return named.withColumn("clash", clash).join(body, "frame_id", "left").select("frame_id", "name", F.coalesce("content", F.lit("")).alias("content"), "clash")
 
 
 def write_text_files(files: DataFrame, folder: str) -> None:
-    """Writes files(name, content, clash), one partition of the output for each name. ValueError if names clash."""
+    """Writes files(name, content, clash) as one file `name` each, right in folder, through Hadoop's file system, by the tasks that hold the rows. A file of that
+    name is replaced, others stay; a file is moved into place when it is whole, so a repeated task does no harm. ValueError if names clash."""
     if files.where("clash").limit(1).count():
         raise ValueError("several images would be written to one text file")
-    files.select("name", F.regexp_replace("content", "\n$", "").alias("value")).write.partitionBy("name").mode("overwrite").text(folder)
+    spark = files.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    uri = re.sub("^file:/+", "file:///", uri)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = FileSystem.from_uri(uri)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(content.encode())
+                system.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    files.select("name", "content").mapInArrow(put, "n long").agg(F.sum("n")).collect()

@@ -4,45 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright.operators.frames import latest
+from pagewright.operators.state import corners_kept, resolutions
 
 #: coarse and detected are null or four coordinates, as flat columns.
 FRAME = "camera_id long, frame_id long, cx1 int, cy1 int, cx2 int, cy2 int, corner string"
+BOX = ("cx1", "cy1", "cx2", "cy2")
 CACHED = "camera_id long, frame_id long, reused boolean, used string"
-STATE = "x1 int, y1 int, x2 int, y2 int, corner string"
+STATE = "x1 double, y1 double, x2 double, y2 double, corner string"
 
 
-def overlap(a: tuple, b: tuple) -> float:
-    side = lambda i: max(0, min(a[i + 2], b[i + 2]) - max(a[i], b[i]))
-    size = lambda x: max(0, x[2] - x[0]) * max(0, x[3] - x[1])
-    shared = side(0) * side(1)
-    union = size(a) + size(b) - shared
-    return shared / union if union > 0 else 0.0
+def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values("frame_id")
 
 
 def cached_corners(frames: DataFrame, threshold: float = 0.97) -> DataFrame:
-    """The corner cache over a stream of frames (FRAME): CACHED rows. State is a box and its corners for each camera."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("frame_id")
-        out = []
-        for r in rows.itertuples(index=False):
-            coarse = None if pd.isna(r.cx1) else (int(r.cx1), int(r.cy1), int(r.cx2), int(r.cy2))
-            corner = None if pd.isna(r.corner) else r.corner
-            hit = held is not None and coarse is not None and held[0] is not None and overlap(coarse, held[:4]) >= threshold
-            if not hit and corner is not None:
-                held = (*(coarse or (None,) * 4), corner)
-            out.append((key[0], r.frame_id, hit, held[4] if hit else corner))
+    """The corner cache over a stream of frames (FRAME): CACHED rows, by the step of the batch form. State is a box and its corners for each camera."""
+    step = corners_kept(threshold)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pa.RecordBatch.from_pandas(_ordered(batches), pa.schema([(n, k) for n, k in zip(("camera_id", "frame_id", *BOX, "corner"), (pa.int64(), pa.int64(), *(pa.int32(),) * 4, pa.string()))]), preserve_index=False)
+        box = pa.StructArray.from_arrays([rows.column(c) for c in BOX], BOX, mask=rows.column("cx1").is_null())
+        held = None
+        if state.exists:
+            *cached, corner = state.get
+            held = None if cached[0] is None else np.array(cached, float), pa.array([corner], pa.string())
+        held, (reused, used) = step(held, pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), box, rows.column("corner")], names=["camera_id", "frame_id", "coarse", "detected"]))
         if held is not None:
-            state.update(held)
-        yield pd.DataFrame(out, columns=["camera_id", "frame_id", "reused", "used"])
+            state.update((*((None,) * 4 if held[0] is None else map(float, held[0])), held[1][0].as_py()))
+        yield pd.DataFrame({"camera_id": key[0], "frame_id": rows.column(1).to_pandas(), "reused": reused.to_pandas(), "used": used.to_pandas()})
 
-    return frames.groupBy("camera_id").applyInPandasWithState(step, CACHED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("camera_id").applyInPandasWithState(run, CACHED, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def adapted_resolution(frames: DataFrame, budget: float = 2.5, start: int = 1280) -> DataFrame:
+    """camera_id, frame_id, dim over a stream of frames(camera_id, frame_id, seconds), by the step of the batch form. State is the resolution of each camera."""
+    step = resolutions(budget, start)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pa.RecordBatch.from_pandas(_ordered(batches)[["camera_id", "frame_id", "seconds"]], preserve_index=False)
+        dim, (dims,) = step(state.get[0] if state.exists else None, rows)
+        state.update((dim,))
+        yield pd.DataFrame({"camera_id": key[0], "frame_id": rows.column(1).to_pandas(), "dim": dims.to_pandas()})
+
+    return frames.groupBy("camera_id").applyInPandasWithState(run, "camera_id long, frame_id long, dim int", "dim int", "append", GroupStateTimeout.NoTimeout)
 
 
 def on_latest(frames: DataFrame, action: Callable[[DataFrame, int], None], **trigger):

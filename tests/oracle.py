@@ -6,6 +6,7 @@ import glob
 import os
 
 import numpy as np
+import pandas as pd
 
 DATA = "/root/testdata/sf0.001"
 
@@ -21,7 +22,7 @@ def connection(folder: str = DATA):
 
 def plain(frame, columns):
     def one(v):
-        if v is None or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
             return "null"
         return str(float(v)) if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_)) else str(v)
 

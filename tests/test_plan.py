@@ -21,3 +21,25 @@ def test_whole_plan(spark):
     lines, status = process(frames, use)
     assert [(r.frame_id, r.line_id, r.text) for r in lines.orderBy("line_id").collect()] == [(1, 1, "better"), (1, 2, "w200")]
     assert {r.frame_id: r.status for r in status.collect()} == {1: "ok", 2: "obstructed", 3: "no_corners", 4: "no_text"}
+
+
+def test_stage_tables_and_metrics(spark, tmp_path):
+    from pagewright.plans.document import measured
+
+    calls = []
+    frames = spark.createDataFrame([(1, 640, 480)], "frame_id int, width int, height int")
+    found = spark.createDataFrame([(1, 0, "laptop", 0.9, 0, 0, 400, 300)], "frame_id int, det_ord int, label string, score double, x1 int, y1 int, x2 int, y2 int")
+    boxes = spark.createDataFrame([(1, 1, 1, 0.9, 10, 10, 60, 30)], "frame_id int, detector_ord int, word_id int, score double, x1 int, y1 int, x2 int, y2 int")
+    none = F.lit(None).cast("array<struct<x:double,y:double>>")
+
+    def read(crops):
+        calls.append("read")
+        return crops.select("frame_id", "word_id", F.lit("w").alias("text"), F.lit(0.5).alias("conf"))
+
+    use = Providers(detections=lambda f: found, corners=lambda f: f.select("*", none.alias("model"), none.alias("contour"), F.lit(0.0).alias("contour_area")), boxes=lambda f: boxes, read=read)
+    lines, status = process(frames, use, stages=str(tmp_path))
+    assert lines.count() == 1 and status.first().status == "ok" and calls == ["read"]
+    assert {p.name for p in tmp_path.iterdir()} == {"detections", "corners", "boxes", "words", "lines"}
+    seen, metrics = measured(lines, "lines")
+    seen.collect()
+    assert metrics.get == {"rows": 1, "frames": 1}

@@ -41,7 +41,12 @@ def test_text_files(spark, tmp_path):
     words = spark.createDataFrame([(1, 1, 0, 0, 10, 10, "x"), (1, 2, 12, 0, 20, 10, "y")], "frame_id int, word_id int, x1 int, y1 int, x2 int, y2 int, text string")
     files = images.text_files(frames, lines(words))
     assert {(r.name, r.content, r.clash) for r in files.collect()} == {("a.txt", "x y\n", False), ("b.txt", "", False)}
-    images.write_text_files(files, str(tmp_path / "out"))
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "other.txt").write_text("stays")
+    for _ in range(2):
+        images.write_text_files(files, str(out))
+        assert {p.name: p.read_text() for p in out.iterdir()} == {"a.txt": "x y\n", "b.txt": "", "other.txt": "stays"}
     clash = spark.createDataFrame([(1, "/in/a.png"), (2, "/in/a.jpg")], "frame_id int, path string")
     with pytest.raises(ValueError):
         images.write_text_files(images.text_files(clash, lines(words)), str(tmp_path / "no"))

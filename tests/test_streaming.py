@@ -20,3 +20,14 @@ def test_latest_frame_of_each_camera(spark, tmp_path):
     query = camera.on_latest(stream, lambda df, epoch: seen.extend(r.frame_id for r in df.collect()))
     query.awaitTermination(120)
     assert sorted(seen) == [2, 3]
+
+
+def test_resolution_over_batches(spark, tmp_path):
+    rows = [(1, 1, 3.0), (1, 2, 3.0), (2, 3, 0.5), (1, 4, 2.0), (2, 5, 0.5), (1, 6, None)]
+    schema = "camera_id long, frame_id long, seconds double"
+    for i in (0, 3):
+        spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"), ignoreNullFields=False)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = camera.adapted_resolution(stream).writeStream.format("memory").queryName("dims").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r.frame_id, r.dim) for r in spark.table("dims").collect()} == {(1, 1088), (2, 924), (3, 1408), (4, 924), (5, 1548), (6, 924)}
