@@ -23,6 +23,9 @@ NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": "[+][0-9]"}
 #: Identifier-like tokens: what patterns may find, if they have MIN_DIGITS digits and no base span covers any of them.
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,}+"
 MIN_DIGITS = 4
+#: Keys and secrets by their form: tokens of so many characters, with so many digits and so many letters. They are seeds beside the base spans, but a
+#: seed is no span: it is found only after a pattern, as any other token.
+KEY_LENGTH, KEY_MIX = 20, 6
 #: A pattern (the word before an instance) counts with so many distinct seeds or trusted instances, and is trusted from this score.
 MIN_SEEDS = 3
 TRUSTED = 0.8
@@ -99,8 +102,8 @@ def _slim(kind: str, rank: int) -> Column:
 
 
 def _left_word(before: Column) -> Column:
-    """The word before a place, in lower case without punctuation; null where none stands there. Read from the end, so that it takes as long as what it reads."""
-    word = F.reverse(F.regexp_extract(F.reverse(before), r"^\s*+[^\p{L}\p{N}_\s]*+([\p{L}\p{N}_]++)", 1))
+    """The word before a place, past any punctuation and white space, in lower case; null where there is none. Read from the end, so that it takes as long as what it reads."""
+    word = F.reverse(F.regexp_extract(F.reverse(before), r"^[^\p{L}\p{N}_]*+([\p{L}\p{N}_]++)", 1))
     return F.when(word != "", F.lower(word))
 
 
@@ -108,7 +111,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base: array<struct<start, rank, end, kind>>, extra: the same for what the method adds, per row of docs(doc_id, text).
 
     Pattern-instance graph: a pattern is the word before MIN_SEEDS distinct instances that are seeds or found with TRUSTED score. Seeds
-    (base spans) score 1. In each round a pattern scores the sum of its instances' scores over all places of its word in the corpus,
+    (base spans, and tokens in the form of keys) score 1. In each round a pattern scores the sum of its instances' scores over all places of its word in the corpus,
     an instance 1 - product of (1 - score) of its patterns, until ROUNDS rounds in a row bring no new pattern. Tokens after patterns of
     TRUSTED score are added as kind `id`.
 
@@ -130,7 +133,8 @@ def spans_of(docs: DataFrame) -> DataFrame:
     # every place of a pattern's word in the corpus, whatever follows
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("all"))
     total = written(words.join(edges.select("pattern").distinct(), "pattern"), "pii-totals")
-    seeded = edges.where("seed").select("instance", F.lit(1.0).alias("score")).distinct()
+    key = (F.length("instance") >= KEY_LENGTH) & (F.length(_digits(F.col("instance"))) >= KEY_MIX) & (F.length(F.regexp_replace("instance", "[^A-Za-z]", "")) >= KEY_MIX)
+    seeded = edges.where(F.col("seed") | key).select("instance", F.lit(1.0).alias("score")).distinct()
     score, known, still = seeded, -1, 0
     while still < ROUNDS:
         sure = F.count_if(F.col("score") >= TRUSTED)
@@ -176,4 +180,4 @@ def op2_contextual_pii(spark, sf_dir: str) -> DataFrame:
     found = spans_of(documents(spark, sf_dir))
     text = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(text("base"), 256).alias("base_sha256"), text(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(text("base"), 256).alias("base_sha256"), text(F.array_sort(F.concat("base", "extra"))).alias("spans"), (F.size("base") + F.size("extra")).cast("long").alias("n_spans"))

@@ -1,3 +1,4 @@
+import hashlib
 import re
 import time
 
@@ -73,3 +74,11 @@ def test_long_words_and_many_matches(spark):
     assert got[0] == [(1_000_003, 1_000_010, "y")] and got[1] == [(600_003, 600_010, "y")]
     assert got[2] == [(8 * i, 8 * i + 7, None) for i in range(5_000)]
     assert [got[i][0][2] for i in (3, 4, 5)] == ["word", "word", None] and got[6] == []
+
+
+def test_keys_after_a_word_of_their_own(spark):
+    """Tokens in the form of keys make the word before them a pattern; then other tokens after it are found too, and keys elsewhere are not."""
+    keys = [hashlib.sha1(bytes([i])).hexdigest() for i in range(6)]
+    texts = [f'x secret = "{k}" y' for k in keys] + ['secret: "AB-12345"', f"commit {keys[0]} of the commit log, commit by commit", "a secret 99887766x"]
+    got = {r.doc_id: [(s.start, s.end) for s in r.extra] for r in pii.spans_of(table(spark, texts)).collect()}
+    assert all(got[i] == [(12, 52)] for i in range(6)) and got[6] == [(9, 17)] and got[7] == [] and got[8] == [(9, 18)]
