@@ -18,7 +18,7 @@ from .common import documents, parts, text_chunks, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of a task that are spelled from one dictionary, in bytes; bytes of text for each bucket of words.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 24 << 20
 #: Bytes of text for each task of the lattice, whose edges are sorted by word.
 LATTICE_BYTES = 4 << 20
@@ -333,7 +333,7 @@ def encode(docs: DataFrame, table: Table, decoded: bool = False) -> DataFrame:
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size_bytes = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = parts(size_bytes, BUCKET_BYTES)
-    asked = written(mine.mapInArrow(_words_batch(buckets, table), "block long, bucket int, words binary"), "words")
+    asked = mine.mapInArrow(_words_batch(buckets, table), "block long, bucket int, words binary")
     words = asked.groupBy("bucket").applyInArrow(_distinct, "word string")
     paths = lattice_paths(words, table, parts(size_bytes, LATTICE_BYTES, 8)).withColumn("bucket", F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(buckets)).cast("int"))
     answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(_answers(table), "block long, bucket int, ids binary")
