@@ -34,7 +34,7 @@ def over(a: Column, b: Column, threshold: float) -> Column:
 
 def overlapping(boxes: DataFrame, threshold: float = 0.5, pos: str = "word_id") -> DataFrame:
     """frame_id, a, b, iou of the pairs of boxes in a frame that overlap by over `threshold`; a is before b by `pos`. A frame's boxes are one array."""
-    frames = boxes.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), *BOX))).alias("row"))
+    frames = boxes.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), *BOX))).alias("row"))
     later = lambda p, i: F.filter(F.slice("row", i + 2, F.size("row")), lambda q: over(p, q, threshold))
     pairs = F.flatten(F.transform("row", lambda p, i: F.transform(later(p, i), lambda q: F.struct(p["pos"].alias("a"), q["pos"].alias("b"), iou(p, q).alias("iou")))))
     return frames.select("frame_id", F.explode(pairs).alias("p")).select("frame_id", "p.*")
@@ -44,7 +44,7 @@ def suppressed(boxes: DataFrame, threshold: float = 0.5, pos: str = "word_id") -
     """frame_id, pos, x1 .. y2, score of the boxes kept: by score from the top (missing: 1; ties by `pos`), a box goes if a kept one
     overlaps it by over `threshold`. A suppressed box suppresses nothing."""
     row = F.struct((-F.coalesce("score", F.lit(1.0))).alias("rank"), F.col(pos).alias("pos"), *BOX, "score")
-    frames = boxes.groupBy("frame_id").agg(F.array_sort(F.collect_list(row)).alias("row"))
+    frames = boxes.groupBy("frame_id").agg(F.sort_array(F.collect_list(row)).alias("row"))
     kind = frames.schema["row"].dataType.elementType.simpleString()
     kept = frames.select("frame_id", F.posexplode(_leaders(F.col("row"), kind, threshold)).alias("nms_ord", "b"))
     return kept.select("frame_id", "nms_ord", F.col("b.pos").alias(pos), *[f"b.{c}" for c in BOX], "b.score")
@@ -54,7 +54,7 @@ def consensus(boxes: DataFrame, threshold: float = 0.35, order: tuple[str, ...]
     """frame_id, word_id, x1 .. y2, votes of several detectors' boxes: in `order`, each box not yet taken leads and takes the later ones that
     overlap it by over `threshold`; a group's box is the mean, towards zero."""
     numbered = boxes.withColumn("pos", F.row_number().over(Window.partitionBy("frame_id").orderBy(*order)))
-    frames = numbered.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("pos", *BOX))).alias("row"))
+    frames = numbered.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("pos", *BOX))).alias("row"))
     kind = frames.schema["row"].dataType.elementType.simpleString()
     led = frames.withColumn("leads", _leaders(F.col("row"), kind, threshold))
     first = lambda b: F.get(F.filter("leads", lambda a: (a["pos"] == b["pos"]) | ((a["pos"] < b["pos"]) & over(a, b, threshold))), F.lit(0))["pos"]
@@ -72,7 +72,7 @@ def merged(boxes: DataFrame, gap: int = MERGE[0], ratio: float = MERGE[1], sprea
     mean = F.avg("h").over(Window.partitionBy("frame_id", "col", "band"))
     bullet = (F.col("x2") - F.col("x1") <= mean * F.lit(0.05)) & (F.col("y2") - F.col("y1") <= mean * F.lit(1.4))
     unit = F.struct("rn", F.lit(1).alias("n"), F.col("h").cast("double").alias("sh"), F.col("x1").alias("first"), F.col("x2").alias("last"), F.col("bullet").alias("bl"), F.col("bullet").alias("br"), *BOX)
-    bands = row.withColumn("bullet", bullet).groupBy("frame_id", "col", "band").agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    bands = row.withColumn("bullet", bullet).groupBy("frame_id", "col", "band").agg(F.sort_array(F.collect_list(unit)).alias("units"))
     kind = bands.schema["units"].dataType.simpleString()
 
     def nearest(units: Column) -> Column:

@@ -67,5 +67,5 @@ def fleet(servers: DataFrame) -> DataFrame:
     up = servers.where("healthy")
     count = F.greatest(F.lit(1), F.coalesce("num_replicas", F.lit(1)))
     line = F.format_string("%s@%s (device=%s, replicas=%d)", "model", "url", F.coalesce("device", F.lit("unknown")), count)
-    info = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", line.alias("line")))), lambda s: s["line"]), ", ")
+    info = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("url", line.alias("line")))), lambda s: s["line"]), ", ")
     return up.agg(F.coalesce(F.sum(count), F.lit(0)).alias("replicas"), F.countDistinct("device").alias("devices"), info.alias("info"))

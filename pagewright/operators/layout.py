@@ -41,7 +41,7 @@ def with_lines(words: DataFrame, gap: int = LINES[0], ratio: float = LINES[1], s
     """frame_id, word_id, x1 .. y2, text, rn, line_id: bands split where the gap to the word before exceeds `spread` mean heights of the
     line so far; lines are numbered by column, band and place."""
     row = F.struct("rn", "word_id", "x1", "y1", "x2", "y2", "h", "text")
-    bands = banded(words, gap, ratio).groupBy("frame_id", "col", "band").agg(F.array_sort(F.collect_list(row)).alias("row"))
+    bands = banded(words, gap, ratio).groupBy("frame_id", "col", "band").agg(F.sort_array(F.collect_list(row)).alias("row"))
     start = F.struct(F.lit(0).alias("seg"), F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def add(a: Column, w: Column) -> Column:
@@ -63,7 +63,7 @@ def with_lines(words: DataFrame, gap: int = LINES[0], ratio: float = LINES[1], s
 
 def lines(words: DataFrame, **how) -> DataFrame:
     """frame_id, line_id, text, x1 .. y2, words_count of words(frame_id, word_id, x1 .. y2, text). Frames without words have no lines."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda s: s["text"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "text"))), lambda s: s["text"]), " ")
     return (
         with_lines(words, **how)
         .groupBy("frame_id", "line_id")

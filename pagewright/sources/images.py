@@ -36,7 +36,7 @@ def one_image(spark: SparkSession, path: str) -> DataFrame:
 def text_files(frames: DataFrame, lines: DataFrame) -> DataFrame:
     """name, content of one text file a frame: a line for each line; frames without lines have an empty one. Frames whose paths have one stem would
     overwrite each other: clash says so."""
-    body = lines.groupBy("frame_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "text"))), lambda s: s["text"]), "\n"), F.lit("\n")).alias("content"))
+    body = lines.groupBy("frame_id").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", "text"))), lambda s: s["text"]), "\n"), F.lit("\n")).alias("content"))
     named = frames.select("frame_id", F.concat(stem("path"), F.lit(".txt")).alias("name"))
     clash = F.count("*").over(Window.partitionBy("name")) > 1
     return named.withColumn("clash", clash).join(body, "frame_id", "left").select("frame_id", "name", F.coalesce("content", F.lit("")).alias("content"), "clash")
