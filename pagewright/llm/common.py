@@ -20,8 +20,9 @@ CHUNK_CHARS = 1 << 20
 
 #: Removes a query's shuffle files once its result is stored; without it they stay until the driver collects its garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows of an Arrow batch: whole texts are long rows, and a batch stands in the memory of the executor and its Python worker at once.
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch: whole texts are long rows, and a batch stands in the memory of the executor and its Python worker at once.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SMALL_BATCH = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,7 +78,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     it is called in, if any, unless keep."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    wanted = {SHUFFLE_CLEANUP: "true", ARROW_ROWS: "2000"}
+    wanted = {SHUFFLE_CLEANUP: "true", ARROW_BYTES: SMALL_BATCH}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
@@ -119,6 +120,7 @@ def map_texts(docs: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, chunk):
             yield fn(*part)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*columns).mapInArrow(run, schema)
 
