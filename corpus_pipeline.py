@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns of docs.
 run() writes each stage's rows as Parquet in the shared folder and reads them again, so a lost executor costs a stage at most. A stage
 begins by removing the tables that the stage before it, in this thread and application, has had written: docs is stored by then. Tables
-of other queries stay.
+of other queries stay. It also has the session hand texts to Python in small Arrow batches from then on, for its result is written later.
 
 In every stage other columns, whatever their names, pass unchanged, and an empty table gives an empty one."""
 
@@ -16,7 +16,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import Tables, documents, written
+from pagewright.llm.common import ARROW_BYTES, SMALL_BATCH, Tables, documents, written
 from pagewright.llm.decontaminate import clean
 from pagewright.llm.language import accepted, fit
 from pagewright.llm.minhash import near_classes, text_key
@@ -32,6 +32,7 @@ def stage(fn: Stage) -> Stage:
 
     @wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(ARROW_BYTES, SMALL_BATCH)
         mine = spark.sparkContext.applicationId, threading.get_ident()
         if mine in _before:
             _before.pop(mine).drop(spark)
