@@ -21,9 +21,11 @@ from .words import ALNUM, BASE, LOWER, MIX_1, U, lists, mix, raw, word_hashes, w
 BACKOFF = 0.4
 #: Words of the longest n-grams.
 ORDER = 3
-#: Texts that ask for counts together, in bytes; bytes of text for each bucket of a count table, a range of hashes.
+#: Texts that ask for counts together, in bytes; bytes of text for each bucket of a count table, a range of hashes, and for each task that holds buckets:
+#: several, so that tasks are of like size.
 BLOCK_BYTES = 12 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 6 << 20
+TASK_BYTES = 24 << 20
 
 
 def _grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -94,23 +96,20 @@ def _asked(order: int, buckets: int):
     return run
 
 
-ANSWERS = "order int, block long, bucket int, found array<struct<at:int,total:long>>"
-
-
-def _answers(mine: DataFrame, order: int, buckets: int) -> DataFrame:
-    """ANSWERS of one order: to each block the n-grams that other blocks have too, by their place in its sorted bucket, with their count in the corpus.
+def _answers(mine: DataFrame, order: int, buckets: int, tasks: int) -> DataFrame:
+    """order, block, bucket, at, total (arrays) of one order: to each block the n-grams that other blocks have too, by their place in its sorted bucket, with their count in the corpus.
 
     Blocks send arrays to the buckets. There these are exploded into a row for each n-gram of a block, and each row is joined to its n-gram's
     entry of the count table, the sum of its rows. A window does both in one pass: a self-join would have to shuffle every row again."""
-    asked = mine.mapInArrow(_asked(order, buckets), ASKED).repartition(buckets, "bucket")
+    asked = mine.mapInArrow(_asked(order, buckets), ASKED).repartition(tasks, "bucket")
     exploded = asked.select("block", "bucket", F.posexplode(F.arrays_zip("grams", "counts")).alias("at", "g")).select("block", "bucket", "at", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
     counted = exploded.withColumn("total", F.sum("n").over(Window.partitionBy("bucket", "gram")))
     found = counted.where("total > n").groupBy("block", "bucket").agg(F.collect_list(F.struct("at", "total")).alias("found"))
-    return found.select(F.lit(order).alias("order"), "block", "bucket", "found")
+    return found.select(F.lit(order).alias("order"), "block", "bucket", F.col("found.at").alias("at"), F.col("found.total").alias("total"))
 
 
 def _texts_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=6)
     for block, ids, texts in _blocks(batches):
         data, offsets = raw(texts)
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
@@ -128,8 +127,8 @@ def _totals(held: list[np.ndarray], answers: pa.Table, buckets: int) -> tuple[np
     """A block's different n-grams of an order, and their counts in the corpus: the answers, or else the block's own."""
     keys, total = _distinct(held)
     edges = _edges(keys, buckets)
-    for bucket, found in zip(answers.column("bucket").to_pylist(), answers.column("found")):
-        total[edges[bucket] + found.values.field("at").to_numpy()] = found.values.field("total").to_numpy()
+    for bucket, at, found in zip(answers.column("bucket").to_pylist(), answers.column("at"), answers.column("total")):
+        total[edges[bucket] + at.values.to_numpy()] = found.values.to_numpy()
     return keys, total
 
 
@@ -184,7 +183,7 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = parts(size, BUCKET_BYTES, 8)
-    answers = [written(_answers(mine, n, buckets), f"counts-{n + 1}") for n in range(ORDER)]
+    answers = [written(_answers(mine, n, buckets, parts(size, TASK_BYTES, 8)), f"counts-{n + 1}") for n in range(ORDER)]
     chunks = mine.mapInArrow(_texts_batch, "block long, docs array<long>, offsets array<long>, texts binary")
     every = reduce(DataFrame.unionByName, answers)
     summed = chunks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_score(buckets), "doc_id long, n_words long, n_backoff long, n_alone long, log_sum double")
