@@ -115,7 +115,8 @@ def spans_of(docs: DataFrame) -> DataFrame:
     an instance 1 - product of (1 - score) of its patterns, until ROUNDS rounds in a row bring no new pattern. Tokens after patterns of
     TRUSTED score are added as kind `id`.
 
-    Null or empty text: no spans. Repeated rows get the same spans each. Offsets are code points, end exclusive."""
+    Null or empty text: no spans. Repeated rows get the same spans each. Offsets are code points, end exclusive. Spans that begin together are in the
+    order of their kinds. Other columns are ignored. Empty table: no rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     raw = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text"))
     places = raw.select("doc_id", "text_key", *[_places(F.col("text"), PATTERNS[k], NEEDS[k]).alias(k) for k in KINDS], _places(F.col("text"), TOKEN, "[0-9]").alias("tokens"))

@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -82,3 +84,55 @@ def test_keys_after_a_word_of_their_own(spark):
     texts = [f'x secret = "{k}" y' for k in keys] + ['secret: "AB-12345"', f"commit {keys[0]} of the commit log, commit by commit", "a secret 99887766x"]
     got = {r.doc_id: [(s.start, s.end) for s in r.extra] for r in pii.spans_of(table(spark, texts)).collect()}
     assert all(got[i] == [(12, 52)] for i in range(6)) and got[6] == [(9, 17)] and got[7] == [] and got[8] == [(9, 18)]
+
+
+def graph(texts):
+    """The pattern-instance graph in plain loops: added spans of each text."""
+    left = lambda s: (m[1].lower() if (m := re.search(r"(\w+)\W*$", s)) else None)
+    words, edges, seeds, free = Counter(), Counter(), set(), []
+    for i, t in enumerate(texts):
+        words.update(re.split(r"\W+", t.lower()))
+        spans = base(t)
+        ends = {k: 0 for k in pii.KINDS}
+        for start, rank, end, kind in spans:
+            edges[left(t[:start]), t[start:end]] += 1
+            seeds.add(t[start:end]) if left(t[:start]) else None
+        for m in re.finditer(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,}", t):
+            if sum(c.isdigit() for c in m[0]) >= pii.MIN_DIGITS and not any(s < m.end() and m.start() < e for s, _, e, _ in spans):
+                free.append((i, m.start(), m.end(), left(t[: m.start()])))
+                edges[left(t[: m.start()]), m[0]] += 1
+        assert ends
+    edges = {k: n for k, n in edges.items() if k[0] is not None}
+    keys = {v for _, v in edges if len(v) >= 20 and sum(c.isdigit() for c in v) >= 6 and sum(c.isalpha() for c in v) >= 6}
+    fixed = dict.fromkeys(seeds | keys, 1.0)
+    score, known, still, trust = dict(fixed), -1, 0, {}
+    while still < pii.ROUNDS:
+        trust = {}
+        for pattern in {p for p, _ in edges}:
+            mine = [(score[v], n) for (p, v), n in edges.items() if p == pattern and v in score]
+            if sum(s >= pii.TRUSTED for s, _ in mine) >= pii.MIN_SEEDS:
+                trust[pattern] = min(1.0, sum(s * n for s, n in mine) / words[pattern])
+        known, still = len(trust), still + 1 if len(trust) == known or known < 0 else 1
+        miss = {}
+        for p, v in edges:
+            if p in trust:
+                miss[v] = miss.get(v, 1.0) * max(1e-9, 1 - trust[p])
+        score = {v: 1 - m for v, m in miss.items()} | fixed
+    return {(i, a, b) for i, a, b, w in free if trust.get(w, 0) >= pii.TRUSTED}
+
+
+def test_added_spans_by_a_plain_graph(spark):
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(12)]
+    ids = [f"{rng.choice('ABCD')}X-{rng.randint(1000, 1030)}-{rng.randint(10, 12)}" for _ in range(25)]
+    value = lambda w: (rng.choice((f"u{rng.randint(0, 9)}@mail.example.com", f"{rng.randint(1, 9)}.2.3.4")) if w < 3 else rng.choice(ids[(w % 5) * 5 : (w % 5) * 5 + 6]) if w < 8 or rng.random() < 0.4 else "plain")
+    texts = []
+    for _ in range(150):
+        t = []
+        for _ in range(rng.randint(1, 8)):
+            w = rng.randrange(12)
+            v = value(w) if rng.random() < 0.9 else rng.choice(("text", ids[rng.randrange(25)], f"u{rng.randint(0, 9)}@mail.example.com"))
+            t.append(names[w] + rng.choice((" ", ": ", ' = "')) + v)
+        texts.append(" and ".join(t))
+    got = {(r.doc_id, s.start, s.end) for r in pii.spans_of(table(spark, texts)).collect() for s in r.extra}
+    assert got == graph(texts) and got
