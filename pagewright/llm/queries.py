@@ -12,6 +12,7 @@ from .pieces import op3_lattice_pieces
 from .pii import op2_contextual_pii
 from .sharding import op8_balanced_sharding
 from .suffixes import op10_column_bwt_dedup
+from .trie import OP12_SQL, op12_conversation_trie
 
-QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_contextual_pii, op3_lattice_pieces, op4_minhash_near_duplicates, op5_language_kneser_ney, op6_stupid_backoff, op7_license_join, op8_balanced_sharding, op9_latent_decontamination, op10_column_bwt_dedup)}
-ORACLES: dict[str, str] = {"op4_minhash_near_duplicates": OP4_SQL, "op6_stupid_backoff": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_contextual_pii, op3_lattice_pieces, op4_minhash_near_duplicates, op5_language_kneser_ney, op6_stupid_backoff, op7_license_join, op8_balanced_sharding, op9_latent_decontamination, op10_column_bwt_dedup, op12_conversation_trie)}
+ORACLES: dict[str, str] = {"op4_minhash_near_duplicates": OP4_SQL, "op6_stupid_backoff": OP6_SQL, "op12_conversation_trie": OP12_SQL}
