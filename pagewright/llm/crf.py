@@ -59,7 +59,7 @@ def likelihood(emit: np.ndarray, step: np.ndarray, first: np.ndarray, labels: np
     return used - total[opens].sum(), gold - prob, (met - pair).sum((0, 1)), ((gold - prob) * opens[:, :, None]).sum((0, 1))
 
 
-def fit(features: np.ndarray, labels: np.ndarray, sizes: list[int], epochs: int = 25, batch: int = 256, rate: float = 0.3, decay: float = 1e-4) -> Model:
+def fit(features: np.ndarray, labels: np.ndarray, sizes: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.3, decay: float = 1e-4) -> Model:
     """A model of windows: features (windows, tokens, groups) and labels (windows, tokens; -1 outside the text), by adaptive gradient steps over batches
     in a fixed random order. The same windows give the same model."""
     model, rng = Model(sizes), np.random.default_rng(1)
