@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: {div} is the integer division of the engine, {t[x]} the table x.
 BOXES = """
@@ -44,10 +48,52 @@ TABLES = {"boxes": BOXES, "tall": TALL, "detections": DETECTIONS, "frames": FRAM
 
 
 def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("lineitem", "part", "events", "documents", "conversations")}
+    files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("lineitem", "part", "events", "customer", "documents", "conversations")}
     return spark.sql(TABLES[name].format(div="div", t=files))
 
 
 def duck(name: str) -> str:
     """The table as a SQL subquery for DuckDB."""
-    return "(" + TABLES[name].format(div="//", t={t: t for t in ("lineitem", "part", "events", "documents", "conversations")}) + ")"
+    return "(" + TABLES[name].format(div="//", t={t: t for t in ("lineitem", "part", "events", "customer", "documents", "conversations")}) + ")"
+
+
+#: Value of a pixel at x, y in channel c of frame f.
+PIXEL = "(f * 31 + x * 7 + y * 13 + c * 57 + (x * y) % 11) % 256"
+
+
+def patterned(f: int, width: int, height: int) -> bytes:
+    y, x, c = np.mgrid[0:height, 0:width, 0:3]
+    return ((f * 31 + x * 7 + y * 13 + c * 57 + (x * y) % 11) % 256).astype(np.uint8).tobytes()
+
+
+def paper(width: int, height: int, x1: int, y1: int, x2: int, y2: int) -> bytes:
+    """A light rectangle on dark ground."""
+    image = np.full((height, width, 3), 30, np.uint8)
+    image[y1:y2, x1:x2] = 220
+    return image.tobytes()
+
+
+@F.arrow_udf(BinaryType())
+def _patterns(*columns: pa.Array) -> pa.Array:
+    return pa.array([patterned(*r) for r in zip(*(c.to_pylist() for c in columns))], pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def _papers(*columns: pa.Array) -> pa.Array:
+    return pa.array([paper(*r) for r in zip(*(c.to_pylist() for c in columns))], pa.binary())
+
+
+PICTURES = "select c_custkey as frame_id, 20 as width, cast(66 + c_custkey % 5 as int) as height from {t[customer]}"
+PAPERS = """
+select c_custkey as frame_id, cast(120 + c_custkey % 40 as int) as width, cast(100 + c_custkey % 30 as int) as height,
+  cast(20 + c_custkey % 7 as int) as x1, cast(15 + c_custkey % 5 as int) as y1,
+  cast(120 + c_custkey % 40 - 18 - c_custkey % 9 as int) as x2, cast(100 + c_custkey % 30 - 12 - c_custkey % 4 as int) as y2
+from {t[customer]}"""
+TABLES |= {"pictures": PICTURES, "papers": PAPERS}
+
+
+def with_pixels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The tables pictures or papers with data."""
+    rows = spark_table(spark, sf_dir, name)
+    data = _patterns("frame_id", "width", "height") if name == "pictures" else _papers("width", "height", "x1", "y1", "x2", "y2")
+    return rows.withColumn("data", data)

@@ -1,4 +1,5 @@
-"""Pixels of crops, in Arrow batches: the gray mean, dark crops inverted, and the flattening of a quadrilateral. data holds h x w x 3 bytes, RGB."""
+"""Pixels in Arrow batches: the gray mean, dark crops inverted, the flattening of a quadrilateral, resampling, enhancement, the outline of a page. data holds
+h x w x 3 bytes, RGB."""
 
 from __future__ import annotations
 
@@ -8,7 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructType
+
+from .geometry import col
+from .raster import enhanced as enhanced_image
+from .raster import largest_outline
+from .raster import resized as resized_image
 
 #: A crop whose gray mean is lower has light text on dark ground.
 DARK = 115.0
@@ -89,3 +95,81 @@ def rectified(frames: DataFrame) -> DataFrame:
 
     ready = frames.where("corners is not null and octet_length(data) > 0 and w > 0 and h > 0")
     return ready.select(F.col("frame_id").cast("long"), "width", "height", "data", "corners", "w", "h").mapInArrow(run, "frame_id long, width int, height int, data binary")
+
+
+def image(data: bytes, width: int, height: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(height, width, 3)
+
+
+def _rows(*columns: pa.Array) -> Iterator[tuple]:
+    """The rows of columns one by one, so that no more than one image is unpacked at a time."""
+    return ([c[i].as_py() for c in columns] for i in range(len(columns[0])))
+
+
+@F.arrow_udf(BinaryType())
+def _resized(data: pa.Array, width: pa.Array, height: pa.Array, w: pa.Array, h: pa.Array, kernel: pa.Array) -> pa.Array:
+    return pa.array([resized_image(image(d, a, b), c, e, k).tobytes() if d else d for d, a, b, c, e, k in _rows(data, width, height, w, h, kernel)], pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def _enhanced(data: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+    return pa.array([enhanced_image(image(d, a, b)).tobytes() if d else d for d, a, b in _rows(data, width, height)], pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def _swapped(data: pa.Array) -> pa.Array:
+    return pa.array([np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(-1, 3)[:, ::-1]).tobytes() if d else d for (d,) in _rows(data)], pa.binary())
+
+
+def resized(data: str | Column, width: str | Column, height: str | Column, w: Column, h: Column, kernel: str = "area") -> Column:
+    """data of a width x height image as w x h, by a kernel of raster.KERNELS; null and empty data stay."""
+    return _resized(col(data), col(width), col(height), w, h, F.lit(kernel))
+
+
+def enhanced(data: str | Column, width: str | Column = "width", height: str | Column = "height") -> Column:
+    """data with its contrast evened out and sharpened, gray in three channels; null and empty data stay."""
+    return _enhanced(col(data), col(width), col(height))
+
+
+def swapped(data: str | Column) -> Column:
+    """data with the order of its channels turned round: RGB to BGR and back."""
+    return _swapped(col(data))
+
+
+OUTLINE = StructType().add("contour", ArrayType(StructType().add("x", DoubleType()).add("y", DoubleType()))).add("contour_area", DoubleType())
+#: Share of a coarse box that is added on each side before its outline is looked for.
+MARGIN = 0.08
+
+
+def _outline(data: bytes, width: int, height: int, coarse: dict | None, most: int) -> dict:
+    low_x, low_y, high_x, high_y = 0, 0, width, height
+    if coarse is not None:
+        px, py = int((coarse["x2"] - coarse["x1"]) * MARGIN), int((coarse["y2"] - coarse["y1"]) * MARGIN)
+        low_x, low_y, high_x, high_y = max(0, coarse["x1"] - px), max(0, coarse["y1"] - py), min(width, coarse["x2"] + px), min(height, coarse["y2"] + py)
+    part = image(data, width, height)[low_y:high_y, low_x:high_x]
+    none = {"contour": None, "contour_area": 0.0}
+    if not part.size:
+        return none
+    scale = min(1.0, most / max(part.shape[:2]))
+    if scale < 1:
+        part = resized_image(part, max(1, int(part.shape[1] * scale)), max(1, int(part.shape[0] * scale)), "area")
+    found = largest_outline(part)
+    if found is None:
+        return none
+    corners, area = found
+    share = area / (part.shape[0] * part.shape[1])
+    return {"contour": [{"x": x / scale + low_x, "y": y / scale + low_y} for x, y in corners.tolist()], "contour_area": share * width * height}
+
+
+@F.arrow_udf(OUTLINE)
+def _outlines(data: pa.Array, width: pa.Array, height: pa.Array, coarse: pa.Array, most: pa.Array) -> pa.Array:
+    kind = pa.struct([("contour", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("contour_area", pa.float64())])
+    return pa.array([_outline(d, *rest) if d else None for d, *rest in _rows(data, width, height, coarse, most)], kind)
+
+
+def outline(frames: DataFrame, most: int = 1280) -> DataFrame:
+    """frames(width, height, data, coarse) with contour and contour_area, for corners_of: the rectangle of the largest outline inside the coarse box and a margin, or
+    in the whole frame if that is null, looked for in an image of at most `most` pixels a side. contour is null, and contour_area 0, without an outline of
+    enough size; contour_area is in proportion to the part looked at, times the frame. coarse is a box struct; null or empty data: both null."""
+    found = F.when(F.octet_length("data") > 0, _outlines(F.col("data"), F.col("width"), F.col("height"), F.col("coarse"), F.lit(most)))
+    return frames.withColumn("_outline", found).select("*", "_outline.contour", "_outline.contour_area").drop("_outline")

@@ -42,9 +42,10 @@ def text_files(frames: DataFrame, lines: DataFrame) -> DataFrame:
     return named.withColumn("clash", clash).join(body, "frame_id", "left").select("frame_id", "name", F.coalesce("content", F.lit("")).alias("content"), "clash")
 
 
-def write_text_files(files: DataFrame, folder: str) -> None:
-    """Writes files(name, content, clash) as one file `name` each, right in folder, through Hadoop's file system, by the tasks that hold the rows. A file of that
-    name is replaced, others stay; a file is moved into place when it is whole, so a repeated task does no harm. ValueError if names clash."""
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes files(name, content, clash) as one file `name` each, right in folder, through Hadoop's file system, by the tasks that hold the rows. content is text
+    or bytes. A file of that name is replaced, others stay; a file is moved into place when it is whole, so a repeated task does no harm. ValueError if names
+    clash."""
     if files.where("clash").limit(1).count():
         raise ValueError("several images would be written to one text file")
     spark = files.sparkSession
@@ -59,8 +60,11 @@ def write_text_files(files: DataFrame, folder: str) -> None:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
                 part = f"{root}/.{name}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
-                    out.write(content.encode())
+                    out.write(content)
                 system.move(part, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    files.select("name", "content").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    files.select("name", F.col("content").cast("binary")).mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+write_text_files = write_files

