@@ -96,9 +96,10 @@ def digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.frombuffer(b"".join([hashed(view[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())]), np.int64).reshape(-1, 2)
 
 
-PLACES = "kind int, core long, d1 long, d2 long, doc long, place long"
+#: doc and tie name a document: its id, and a digest of its text where ids may be null or repeated (0 else).
+PLACES = "kind int, core long, d1 long, d2 long, doc long, tie long, place long"
 WIDTH = 8  # bits of `place` for the number of windows
-KEYS = ("core", "d1", "d2", "doc", "place")
+KEYS = ("core", "d1", "d2", "doc", "tie", "place")
 
 
 def _emit(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -108,19 +109,27 @@ def _emit(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
 def _settle(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by core, digest and place, and which rows in that order come after another place of their digest."""
     order = np.lexsort(columns[::-1])
-    core, d1, d2, doc, place = (c[order] for c in columns)
+    core, d1, d2, doc, tie, place = (c[order] for c in columns)
     again = np.zeros(len(order), bool)
     same = (core[1:] == core[:-1]) & (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
     again[1:] = same
     twin = np.zeros(len(order), bool)
-    twin[1:] = same & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+    twin[1:] = same & (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (place[1:] == place[:-1])
     return order[~twin], again[~twin]
 
 
 REPEAT, OPEN = 0, 1
 
 
-def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ties(texts: pa.Array, told: bool) -> np.ndarray:
+    """What tells texts of one id apart: digests if `told`, else 0."""
+    if not told:
+        return np.zeros(len(texts), np.int64)
+    data, offsets = raw(texts)
+    return np.ascontiguousarray(digests(data, offsets[:-1], offsets[1:])[:, 0])
+
+
+def _pieces_of(batches: Iterator[pa.RecordBatch], told: bool) -> Iterator[pa.RecordBatch]:
     """The task's pieces; those that repeat an earlier one of the same task are settled here (REPEAT), so a hot piece leaves a task once."""
     held: list[tuple] = []
     size = 0
@@ -136,9 +145,10 @@ def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = raw(texts)
         p = pieces(data, offsets)
         doc = ids.to_numpy(zero_copy_only=False)[p["text"]] if len(p["text"]) else np.zeros(0, np.int64)
+        tie = _ties(texts, told)[p["text"]] if len(p["text"]) else np.zeros(0, np.int64)
         begins = p["start"] + offsets[p["text"]] if len(p["text"]) else np.zeros(0, np.int64)
         d = digests(data, begins, begins + p["windows"] - 1 + WINDOW)
-        held.append((p["core"].view(np.int64), d[:, 0], d[:, 1], doc.astype(np.int64), (p["start"] << WIDTH) | p["windows"]))
+        held.append((p["core"].view(np.int64), d[:, 0], d[:, 1], doc.astype(np.int64), tie, (p["start"] << WIDTH) | p["windows"]))
         size += len(data)
         if size >= HELD_BYTES:
             yield from flush()
@@ -160,9 +170,9 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in KEYS]
         prior = [np.concatenate([[c[0] if last is None else v], c[:-1]]) for c, v in zip(cols, last or [0] * len(cols))]
-        core, d1, d2, doc, place = (a == b for a, b in zip(cols, prior))
+        core, d1, d2, doc, tie, place = (a == b for a, b in zip(cols, prior))
         same = core & d1 & d2
-        twin = same & doc & place
+        twin = same & doc & tie & place
         if last is None:
             same[0] = twin[0] = False
         last = [c[-1] for c in cols]
@@ -190,22 +200,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contents of the open pieces of each text; those of split cores as a piece for each window, dealt by its digest."""
 
     def record(rows: list[tuple]) -> pa.RecordBatch:
-        names = ("split", "core", "d1", "d2", "doc", "place", "bytes")
-        kinds = (pa.bool_(), *(pa.int64(),) * 5, pa.binary())
+        names = ("split", *KEYS, "bytes")
+        kinds = (pa.bool_(), *(pa.int64(),) * len(KEYS), pa.binary())
         return pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(names, zip(*rows), kinds)})
 
     rows: list[tuple] = []
     for batch in batches:
-        for doc, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "packed", "wanted"))):
+        for doc, tie, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "packed", "wanted"))):
             text = _unpack(packed)
             for w in wanted:
                 start, n = w["place"] >> WIDTH, w["place"] & ((1 << WIDTH) - 1)
                 if not w["split"]:
-                    rows.append((False, w["core"], 0, 0, doc, w["place"], text[start : start + n - 1 + WINDOW]))
+                    rows.append((False, w["core"], 0, 0, doc, tie, w["place"], text[start : start + n - 1 + WINDOW]))
                 else:
                     begins = np.arange(start, start + n)
                     for s, (d1, d2) in zip(begins.tolist(), digests(np.frombuffer(text, np.uint8), begins, begins + WINDOW).tolist()):
-                        rows.append((True, d1, d1, d2, doc, (s << WIDTH) | 1, None))
+                        rows.append((True, d1, d1, d2, doc, tie, (s << WIDTH) | 1, None))
                 if len(rows) > 20_000:
                     yield record(rows)
                     rows = []
@@ -250,8 +260,9 @@ def _collections(folder: str):
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            doc, place, contents = zip(*held)
-            d, s = repeated_windows(np.array(doc, np.int64), np.array(place, np.int64) >> WIDTH, list(contents), folder)
+            doc, tie, place, contents = zip(*held)
+            known, who = np.unique(np.array([doc, tie], np.int64), axis=1, return_inverse=True)  # in order of doc, then tie
+            d, s = repeated_windows(who.ravel(), np.array(place, np.int64) >> WIDTH, list(contents), folder)
             order = np.lexsort((s, d))
             d, s = d[order], s[order]
             keep = np.ones(len(d), bool)
@@ -262,15 +273,15 @@ def _collections(folder: str):
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(d)))
             zero = np.zeros(len(at), np.int64)
-            return _emit(REPEAT, zero, zero, zero, d[at], (s[at] << WIDTH) | n)
+            return _emit(REPEAT, zero, zero, zero, known[0, d[at]], known[1, d[at]], (s[at] << WIDTH) | n)
 
         for batch in batches:
-            for core, doc, place, content in zip(*(batch.column(c).to_pylist() for c in ("core", "doc", "place", "bytes"))):
+            for core, *where, content in zip(*(batch.column(c).to_pylist() for c in ("core", "doc", "tie", "place", "bytes"))):
                 if size >= COLLECTION and core != last:
                     yield flush()
                     held.clear()
                     size = 0
-                held.append((doc, place, content))
+                held.append((*where, content))
                 size += len(content)
                 last = core
         if held:
@@ -279,10 +290,13 @@ def _collections(folder: str):
     return run
 
 
-def _packed(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    press = zstandard.ZstdCompressor(level=1)
-    data = [press.compress(t) if t else b"" for t in texts.cast(pa.large_binary()).to_pylist()]
-    return pa.RecordBatch.from_pydict({"doc": ids, "packed": pa.array(data, pa.binary())})
+def _packed(told: bool):
+    def run(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        press = zstandard.ZstdCompressor(level=1)
+        data = [press.compress(t) if t else b"" for t in texts.cast(pa.large_binary()).to_pylist()]
+        return pa.RecordBatch.from_pydict({"doc": ids, "tie": pa.array(_ties(texts, told)), "packed": pa.array(data, pa.binary())})
+
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +323,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settled(found: DataFrame) -> DataFrame:
     """found(PLACES) with equal digests settled, dealt by core and digest; what is settled already needs no key and is dealt evenly."""
-    deal = F.when(F.col("kind") == REPEAT, F.xxhash64("doc", "place")).otherwise(F.col("core"))
+    deal = F.when(F.col("kind") == REPEAT, F.xxhash64("doc", "tie", "place")).otherwise(F.col("core"))
     return found.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("kind", *KEYS).mapInArrow(_later, PLACES)
 
 
@@ -324,23 +338,25 @@ def without_repeats(docs: DataFrame) -> DataFrame:
        a core with over SPLIT different pieces are dealt by their own digests first, so that only different ones are left.
     3. The repeats of a document are cut out.
 
-    Null or empty text: 0 bytes. Repeated rows (same doc_id and text) count as one document, and each gets its result. A null doc_id comes
-    before all others. Texts under WINDOW bytes stay whole. Empty table: no rows."""
+    Null or empty text: 0 bytes. Repeated rows (same doc_id and text) count as one document, and each gets its result. Rows of one doc_id with different
+    texts are documents of their own, in order of the texts' digests; so are those without doc_id, which come before all others. The digests travel only
+    where an id is null or repeated, which changes no result. Texts under WINDOW bytes stay whole. Empty table: no rows."""
     mine = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_DOC)).alias("doc"), "text")
-    settled = written(_settled(mine.mapInArrow(_pieces_of, PLACES)), "pieces")
-    still = settled.where(F.col("kind") == OPEN).select("core", "doc", "place")
+    told = not mine.groupBy("doc").count().where((F.col("count") > 1) | (F.col("doc") == LEAST_DOC)).isEmpty()
+    settled = written(_settled(mine.mapInArrow(lambda batches: _pieces_of(batches, told), PLACES)), "pieces")
+    still = settled.where(F.col("kind") == OPEN).select("core", "doc", "tie", "place")
     large = still.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("core", F.lit(True).alias("split"))
-    wanted = still.join(large, "core", "left").groupBy("doc").agg(F.collect_set(F.struct("core", "place", F.coalesce("split", F.lit(False)).alias("split"))).alias("wanted"))
-    packed = map_texts(mine, _packed, "doc long, packed binary", ("doc", "text"))
-    contents = written(packed.join(wanted, "doc").mapInArrow(_cut, "split boolean, core long, d1 long, d2 long, doc long, place long, bytes binary"), "contents")
+    wanted = still.join(large, "core", "left").groupBy("doc", "tie").agg(F.collect_set(F.struct("core", "place", F.coalesce("split", F.lit(False)).alias("split"))).alias("wanted"))
+    packed = map_texts(mine, _packed(told), "doc long, tie long, packed binary", ("doc", "text"))
+    contents = written(packed.join(wanted, ["doc", "tie"]).mapInArrow(_cut, f"split boolean, {PLACES.removeprefix('kind int, ')}, bytes binary"), "contents")
     folder = shared_uri(docs.sparkSession, "transform")
-    whole = contents.where("not split").repartition("core").sortWithinPartitions("core", "doc", "place").mapInArrow(_collections(folder), PLACES)
+    whole = contents.where("not split").repartition("core").sortWithinPartitions("core", "doc", "tie", "place").mapInArrow(_collections(folder), PLACES)
     whole = written(whole, "repeats")
     remove(docs.sparkSession, folder)
-    single = _settled(contents.where("split").select(F.lit(OPEN).alias("kind"), "core", "d1", "d2", "doc", "place"))
+    single = _settled(contents.where("split").select(F.lit(OPEN).alias("kind"), *KEYS))
     repeats = settled.where(F.col("kind") == REPEAT).unionByName(whole).unionByName(single)
-    covers = repeats.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    out = packed.join(covers, "doc", "left").mapInArrow(_kept, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    covers = repeats.groupBy("doc", "tie").agg(F.collect_list("place").alias("places"))
+    out = packed.join(covers, ["doc", "tie"], "left").mapInArrow(_kept, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("doc") != LEAST_DOC, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 

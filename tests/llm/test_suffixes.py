@@ -84,3 +84,36 @@ def test_transform_and_prefixes(tmp_path, monkeypatch, block):
         for length, who, at in transform.walked(bwt, sizes):
             assert [want[2][p] for p in at.tolist()] == [(w, length) for w in who.tolist()]
         assert not list(tmp_path.iterdir())
+
+
+def ordered(rows):
+    """Different documents in the order that decides what is earlier: id (null first), then the text's digest."""
+    digest = lambda t: int(suffixes.digests(np.frombuffer((t or "").encode(), np.uint8), np.zeros(1, int), np.array([len((t or "").encode())]))[0, 0])
+    return sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1])))
+
+
+def by_rows(spark, rows):
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, tie string, place string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.without_repeats(df).collect()), key=str)
+    docs = ordered(rows)
+    result = brute([t for _, t in docs])
+    want = {doc: result[i] for i, doc in enumerate(docs)}
+    assert got == sorted(((d, *want[d, t or ""]) for d, t in rows), key=str)
+
+
+@pytest.mark.parametrize("split", [1, 20_000])
+def test_null_and_repeated_ids(spark, monkeypatch, split):
+    monkeypatch.setattr(suffixes, "SPLIT", split)
+    rng = random.Random(3)
+    a, b, c, d = (prose(rng, "aa", 80) for _ in range(4))
+    by_rows(spark, [(None, a + a), (None, b + d), (5, c + c)])
+    by_rows(spark, [(1, a + a), (1, b + d), (7, b)])
+    by_rows(spark, [(None, a + a), (None, b), (5, c), (6, c + b)])
+    by_rows(spark, [(1, a + a), (1, b), (5, c)])
+
+
+def test_shared_passages_under_few_ids(spark):
+    rng = random.Random(8)
+    passages = [prose(rng, "aa", 40) for _ in range(3)]
+    rows = [(rng.choice([None, 1, 2, 3]), prose(rng, "bb", rng.randint(1, 20)) + (p := rng.choice(passages))[rng.randrange(len(p)) :] + prose(rng, "bb", 3)) for _ in range(40)]
+    by_rows(spark, rows + rows[:9] + [(None, None), (1, ""), (None, "")])
