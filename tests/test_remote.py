@@ -5,8 +5,6 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 
 from pagewright.sources import remote
-from pagewright.sources.camera import CameraReader, CameraSource, Latest
-from tests import capture
 
 
 class Handler(BaseHTTPRequestHandler):
@@ -50,17 +48,3 @@ def test_health(server):
     assert remote.healthy(["http://127.0.0.1:9", server]) == {server: {"status": "ok", "num_replicas": 2}}
     with pytest.raises(RuntimeError):
         remote.healthy(["http://127.0.0.1:9"])
-
-
-def test_latest_frame_wins():
-    reader = CameraReader({"capture": "tests.capture:three", "cameras": "0,7"})
-    for camera in reader.cameras.values():
-        camera.join()
-    start = reader.initialOffset()
-    rows, end = reader.read(start)
-    assert sorted((r[0], r[1], r[2], r[-1]) for r in rows) == [(0, 3, 3.0, bytes([0, 3] * 3)), (7, 3, 3.0, bytes([7, 3] * 3))]
-    assert sorted(r[0] for r in reader.readBetweenOffsets(start, end)) == [0, 7]
-    reader.commit(end)
-    again, same = reader.read(end)
-    assert list(again) == [] and same == end and not list(reader.readBetweenOffsets(start, end))
-    assert CameraSource.name() == "camera" and Latest(capture.three(1)).join() is None
