@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pagewright.functions import pixels
 from pagewright.functions.geometry import bounds_of, ordered_corners, rectified_size
 from pagewright.operators import pictures
 from pagewright.operators.boxes import consensus, detected, merged, suppressed
+from pagewright.operators.detectors import answers_and_faults
 from pagewright.operators.frames import best_screen, corners_of, obstructions, statuses
 from pagewright.operators.layout import lines
 from pagewright.operators.words import by_size, crops, recognised, reread, weak_crops
@@ -60,9 +62,10 @@ def process(
     With pixels, frames(.., data), the page of each open frame is flattened to `page` pixels and enhanced, boxes are looked for in that, and crops are cut
     from it; boxes and lines are in its coordinates then.
 
-    Models run once a frame: what they return is stored as tables detections, corners, pages, boxes, words and lines under `stages`, or in a new folder under
+    Models run once a frame: what they return is stored as tables detections, corners, pages, boxes, crops, readings, words and lines under `stages`, or in a new folder under
     spark.checkpoint.dir. The caller removes it (tables.removed) when lines and status are no longer read. metrics: gets each table's rows, frames and seconds.
-    draw: writes PNG files of corners, boxes and lines under `stages`/pictures."""
+    draw: writes PNG files of corners, boxes and lines under `stages`/pictures. A provider may return a column error (see guarded): rows with an error go into
+    the table faults(stage, frame_id, error), and all others on."""
     spark, with_pixels = frames.sparkSession, "data" in frames.columns
     folder = stages or shared_folder(spark, "plan")
     watch = metrics or Metrics()
@@ -71,11 +74,22 @@ def process(
         with watch.watched(df, name) as seen:
             return stored(seen, f"{folder}/{name}")
 
+    faults: list[DataFrame] = []
+
+    def asked(rows: DataFrame, name: str) -> DataFrame:
+        """The stored rows of a provider that are answers."""
+        rows = kept(rows, name)
+        if "error" not in rows.columns:
+            return rows
+        good, failed = answers_and_faults(rows)
+        faults.append(failed.select(F.lit(name).alias("stage"), F.col("frame_id").cast("long").alias("frame_id"), "error"))
+        return good
+
     def shown(picture: DataFrame, name: str) -> None:
         if draw and with_pixels:
             write_files(pictures.png_files(picture, name), f"{folder}/pictures")
 
-    found = kept(use.detections(frames), "detections")
+    found = asked(use.detections(frames), "detections")
     screens = best_screen(found)
     coarse = frames.join(screens, "frame_id", "left").withColumn(
         "coarse", F.when(F.col("sx1").isNotNull(), F.struct(*[F.col(f"s{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]))
@@ -87,19 +101,21 @@ def process(
     open_frames = frames.join(papers.select("frame_id"), "frame_id", "left_semi").join(blocked.select("frame_id"), "frame_id", "left_anti")
     shown(pictures.with_corners(frames, cornered) if draw and with_pixels else frames, "corners")
     pages = kept(flat_pages(open_frames, cornered, page), "pages") if with_pixels else open_frames
-    boxes = kept(use.boxes(pages), "boxes")
+    boxes = asked(use.boxes(pages), "boxes")
     single = suppressed(consensus(boxes).withColumn("score", F.lit(None).cast("double")) if ensemble else detected(boxes))
     units = merged(single.drop("word_id").withColumnRenamed("nms_ord", "word_id"))
     cut = crops(units.join(pages.select("frame_id", "width", "height"), "frame_id"), pad)
     if with_pixels:
         cut = kept(pictures.cut(pages, cut), "crops")
         shown(pictures.with_boxes(pages, cut) if draw else frames, "boxes")
-    words = recognised(use.read(by_size(cut))).join(cut.select("frame_id", "word_id", "x1", "y1", "x2", "y2"), ["frame_id", "word_id"])
+    words = recognised(asked(use.read(by_size(cut)), "readings")).join(cut.select("frame_id", "word_id", "x1", "y1", "x2", "y2"), ["frame_id", "word_id"])
     if use.second is not None:
         words = kept(words, "first-words")
-        words = reread(words, recognised(use.second(by_size(weak_crops(cut, words)))))
+        words = reread(words, recognised(asked(use.second(by_size(weak_crops(cut, words))), "second-readings")))
     out = kept(lines(kept(words, "words")), "lines")
     shown(pictures.with_boxes(pages, out, (200, 200, 200), 1, "line_id") if draw and with_pixels else frames, "lines")
+    if faults:
+        kept(reduce(DataFrame.unionByName, faults), "faults")
     return out, statuses(frames, cornered, blocked, out)
 
 

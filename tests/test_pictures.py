@@ -119,13 +119,39 @@ def test_whole_plan_with_pixels(spark, tmp_path):
         return crops.select("frame_id", "word_id", light.alias("text"), F.lit(1.0).alias("conf"))
 
     metrics = Metrics("one")
-    use = Providers(detections=lambda f: found, corners=outlined, boxes=boxes, read=read)
+    use = Providers(detections=lambda f: found, corners=outlined, boxes=lambda f: boxes(f).withColumn("error", F.lit(None).cast("string")), read=read)
     lines, status = process(df, use, stages=str(tmp_path), metrics=metrics, page=200, draw=True)
     assert {r.frame_id: r.status for r in status.collect()} == {1: "ok", 2: "obstructed", 3: "no_corners"}
     assert [(r.frame_id, r.text) for r in lines.collect()] == [(1, "light")]
     (frame, w, h, size), = seen
     assert frame == 1 and max(w, h) == 200 and size == w * h * 3
-    assert {p.name for p in tmp_path.iterdir()} == {"detections", "corners", "pages", "boxes", "crops", "words", "lines", "pictures"}
+    assert {p.name for p in tmp_path.iterdir()} == {"detections", "corners", "pages", "boxes", "crops", "readings", "words", "lines", "pictures", "faults"}
     assert {p.name for p in (tmp_path / "pictures").iterdir()} == {"corners-1.png", "corners-2.png", "corners-3.png", "boxes-1.png", "lines-1.png"}
     table = {r.stage: (r.run, r.rows, r.frames) for r in metrics.table(spark).collect()}
     assert table["corners"] == ("one", 3, 3) and table["pages"] == ("one", 1, 1) and table["detections"] == ("one", 1, 1) and metrics.seconds() > 0
+
+
+def test_failing_models_cost_their_frames_alone(spark, tmp_path):
+    """A detector that fails for one frame, a reader that fails for one crop."""
+    from pagewright.operators.guarded import guarded
+
+    def boxes(rows):
+        if 2 in rows.column("frame_id").to_pylist():
+            raise RuntimeError("out of memory")
+        ids, n = rows.column("frame_id").to_pylist(), rows.num_rows
+        import pyarrow as pa
+
+        values = {"frame_id": [i for i in ids for _ in (0, 1)], "detector_ord": [1] * 2 * n, "word_id": [1, 2] * n, "score": [0.9] * 2 * n, "x1": [10, 150] * n, "y1": [10, 10] * n, "x2": [60, 190] * n, "y2": [40, 40] * n}
+        return pa.RecordBatch.from_pydict(values)
+
+    found = spark.createDataFrame([], "frame_id long, det_ord int, label string, score double, x1 int, y1 int, x2 int, y2 int")
+    fails = (F.col("frame_id") == 3) & (F.col("x1") > 50)
+    use = Providers(
+        detections=lambda f: found, corners=outlined, boxes=guarded(boxes, "frame_id long, detector_ord int, word_id int, score double, x1 int, y1 int, x2 int, y2 int"),
+        read=lambda c: c.select("frame_id", "word_id", F.when(~fails, "w").alias("text"), F.lit(1.0).alias("conf"), F.when(fails, "no answer").alias("error")),
+    )
+    lines, status = process(frames(spark, [(i, page()) for i in (1, 2, 3)]), use, stages=str(tmp_path), page=200)
+    assert sorted((r.frame_id, r.text) for r in lines.collect()) == [(1, "w"), (1, "w"), (3, "w")]
+    assert {r.frame_id: r.status for r in status.collect()} == {1: "ok", 2: "no_text", 3: "ok"}
+    faults = spark.read.parquet(str(tmp_path / "faults"))
+    assert sorted(map(tuple, faults.collect())) == [("boxes", 2, "RuntimeError: out of memory"), ("readings", 3, "no answer")]

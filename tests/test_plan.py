@@ -39,7 +39,7 @@ def test_stage_tables_and_metrics(spark, tmp_path):
     use = Providers(detections=lambda f: found, corners=lambda f: f.select("*", none.alias("model"), none.alias("contour"), F.lit(0.0).alias("contour_area")), boxes=lambda f: boxes, read=read)
     lines, status = process(frames, use, stages=str(tmp_path))
     assert lines.count() == 1 and status.first().status == "ok" and calls == ["read"]
-    assert {p.name for p in tmp_path.iterdir()} == {"detections", "corners", "boxes", "words", "lines"}
+    assert {p.name for p in tmp_path.iterdir()} == {"detections", "corners", "boxes", "readings", "words", "lines"}
     seen, metrics = measured(lines, "lines")
     seen.collect()
     assert metrics.get == {"rows": 1, "frames": 1}
