@@ -68,17 +68,21 @@ def with_corner_cache(frames: DataFrame, threshold: float = 0.97, by: str = "cam
     """frames(by, order, coarse, detected) with reused, used: in order, a frame takes the cached corners if its coarse box overlaps the cached one by
     `threshold`; else its own, which are cached if they are not null. A null coarse box matches nothing.
 
-    coarse is a struct of x1 .. y2. The state is the cached box and corners, as in a stream (see streaming)."""
+    coarse is a struct of x1 .. y2. The state is the cached box and corners, as in a stream (see streaming); a long camera goes through many tasks. With a
+    column dynamic, the box that was found with the corners, that is cached beside them and comes back as used_dynamic."""
     types = dict(frames.dtypes)
-    ready = frames.select(by, order, "coarse", "detected")
-    return state.scan(ready, by, order, state.corners_kept(threshold), f"{by} {types[by]}, {order} {types[order]}, reused boolean, used {types['detected']}")
+    both = "dynamic" in frames.columns
+    found = F.when(F.col("detected").isNotNull(), F.struct("detected", "dynamic")) if both else F.col("detected")
+    ready = frames.select(by, order, "coarse", found.alias("detected"))
+    out = state.corners_in_blocks(ready, threshold, by, order, f"{by} {types[by]}, {order} {types[order]}, reused boolean, used {dict(ready.dtypes)['detected']}")
+    return out.select(by, order, "reused", F.col("used.detected").alias("used"), F.col("used.dynamic").alias("used_dynamic")) if both else out
 
 
 def with_resolution(frames: DataFrame, budget: float = 2.5, start: int = 1280, by: str = "camera_id", order: str = "frame_id") -> DataFrame:
     """frames(by, order, seconds) with dim, the resolution after each frame: times 0.85 over the budget, times 1.1 under half of it, towards zero,
-    320 to 1600."""
+    320 to 1600. A long camera goes through many tasks."""
     types = dict(frames.dtypes)
-    return state.scan(frames.select(by, order, "seconds"), by, order, state.resolutions(budget, start), f"{by} {types[by]}, {order} {types[order]}, dim int")
+    return state.resolutions_in_blocks(frames, budget, start, by, order, f"{by} {types[by]}, {order} {types[order]}, dim int")
 
 
 def with_batch_size(runs: DataFrame, start: int = 8, most: int = 256, by: str = "model_id", order: str = "run_id") -> DataFrame:
