@@ -94,6 +94,6 @@ TABLES |= {"pictures": PICTURES, "papers": PAPERS}
 
 def with_pixels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The tables pictures or papers with data."""
-    rows = spark_table(spark, sf_dir, name)
+    rows = spark_table(spark, sf_dir, name).repartition("frame_id")  # small rows in one file become large ones
     data = _patterns("frame_id", "width", "height") if name == "pictures" else _papers("width", "height", "x1", "y1", "x2", "y2")
     return rows.withColumn("data", data)

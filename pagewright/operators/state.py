@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from pagewright.sources.tables import shared_folder, stored
 
+#: Rows of a key from which it goes through many tasks.
+LONG = 2_000_000
 #: How often blocks are run again from another state before the rest of a key goes through one task.
 ROUNDS = 5
 
@@ -140,6 +142,11 @@ def batch_sizes(start: int, most: int) -> Callable:
 # --- one key in many tasks: rows are range-partitioned by key and order; a block is what one partition has of a key
 
 
+def is_long(df: DataFrame, by: str) -> bool:
+    """Whether a key has so many rows that one task would take long over them."""
+    return not df.groupBy(by).count().where(F.col("count") > LONG).isEmpty()
+
+
 def _kind(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 

@@ -47,6 +47,11 @@ def plain(rows, threshold):
     return out
 
 
+@pytest.fixture(autouse=True, params=[0, 10**9], ids=["blocks", "one task"])
+def long(request, monkeypatch):
+    monkeypatch.setattr(state, "LONG", request.param)
+
+
 @pytest.mark.parametrize("kind,rounds", [("still", 5), ("drift", 5), ("drift", 1), ("jumpy", 5), ("rare", 5), ("rare", 0)])
 def test_corner_cache_of_long_cameras(spark, monkeypatch, kind, rounds):
     monkeypatch.setattr(state, "ROUNDS", rounds)
