@@ -185,9 +185,9 @@ def _texts_batch(order: list[str], templates: dict[str, str], containment: float
     return run
 
 
-def best_run(at: np.ndarray, token: np.ndarray, length: int, low: int, high: int) -> tuple[int, int]:
-    """How many different tokens the best run of `length` words has that starts at low to high - 1, and the first such start: an occurrence counts in
-    the runs that start after the same token's last one, and reach it."""
+def qualifying(at: np.ndarray, token: np.ndarray, length: int, low: int, high: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts from low to high - 1 of runs of `length` words with `least` different tokens or more, and how many each has: an occurrence counts in the runs
+    that start after the same token's last one, and reach it."""
     before = np.full(len(at), -1, np.int64)
     by_token = np.lexsort((at, token))
     same = token[by_token[1:]] == token[by_token[:-1]]
@@ -196,29 +196,75 @@ def best_run(at: np.ndarray, token: np.ndarray, length: int, low: int, high: int
     able = first <= last
     turn = np.bincount(first[able] - low, minlength=high - low + 1) - np.bincount(last[able] + 1 - low, minlength=high - low + 1)
     shared = np.cumsum(turn[: high - low])
-    return int(shared.max()), low + int(shared.argmax())
+    good = np.flatnonzero(shared >= least)
+    return low + good, shared[good]
 
 
 FOUND = "doc_id long, text_key binary, template string, first_word long, words long, shared long, containment double"
+KEYS = ("doc_id", "text_key", "template")
+ABLE = "doc_id long, text_key binary, template string, block long, n_words long, starts array<long>, shared array<long>"
 
 
-def _runs(sides: dict[str, tuple[int, frozenset[int]]], containment: float):
-    """The best run of each candidate block, if it meets the template."""
+def _able(sides: dict[str, tuple[int, frozenset[int]]], containment: float):
+    """The starts in each candidate block of runs that meet the template."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 length, tokens = sides[r["template"]]
-                seen = [(s["at"], s["token"]) for s in r["seen"] if s["token"] in tokens]
-                at, token = np.array(seen, np.int64).T
+                at, token = np.array([(s["at"], s["token"]) for s in r["seen"] if s["token"] in tokens], np.int64).T
                 size = size_class(length)
-                shared, start = best_run(at, token, length, r["block"] * size, (r["block"] + 1) * size)
-                if shared >= need(len(tokens), containment):
-                    rows.append((r["doc_id"], r["text_key"], r["template"], start, min(length, r["n_words"] - start), shared, shared / len(tokens)))
+                starts, shared = qualifying(at, token, length, r["block"] * size, (r["block"] + 1) * size, need(len(tokens), containment))
+                if len(starts):
+                    rows.append((r["doc_id"], r["text_key"], r["template"], r["block"], r["n_words"], starts, shared))
+            longs = pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), longs, longs)
+            names = [c.split(" ")[0] for c in ABLE.split(", ")]
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(names, zip(*rows) if rows else [[]] * len(kinds), kinds)})
+
+    return run
+
+
+def _swept(sides: dict[str, tuple[int, frozenset[int]]]):
+    """Over qualifying starts in order: runs that don't overlap. From the first start on, the best of the starts that its run reaches is taken (ties: the first),
+    and the sweep goes on behind that run. Each start is looked at once."""
+
+    def run(batches):
+        held, open_ = None, None  # open_: the first start of those under way, the best one and what it shares, words of the text
+
+        def row() -> tuple:
+            length, tokens = sides[held[2]]
+            return (*held, open_[1], min(length, open_[3] - open_[1]), open_[2], open_[2] / len(tokens))
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             names = [c.split(" ")[0] for c in FOUND.split(", ")]
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(names, zip(*rows) if rows else [[]] * len(kinds), kinds)})
+            return pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(names, zip(*rows) if rows else [[]] * len(kinds), kinds)})
+
+        free = 0  # the first word behind the last run taken
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                key = tuple(r[k] for k in KEYS)
+                if key != held:
+                    if open_ is not None:
+                        rows.append(row())
+                    held, open_, free = key, None, 0
+                length = sides[key[2]][0]
+                for start, shared in zip(r["starts"], r["shared"]):
+                    if open_ is not None and start >= open_[0] + length:
+                        rows.append(row())
+                        free, open_ = open_[1] + length, None
+                    if start < free:
+                        continue
+                    if open_ is None:
+                        open_ = (start, start, shared, r["n_words"])
+                    elif shared > open_[2]:
+                        open_ = (open_[0], start, shared, r["n_words"])
+            yield batch_of(rows)
+        if open_ is not None:
+            yield batch_of([row()])
 
     return run
 
@@ -232,8 +278,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
 
     1. A block's template words, in order of their count in all of docs (rarest first), and a template's are joined on one of the first
        size - need + 1 words of each (prefix filter) where the block has enough words (length) and enough are left in both from there on (position).
-    2. Pairs that pass are compared on the full sets, and then the best run that starts in the block's first M words is found.
-    3. Of two such runs of neighbouring blocks that overlap, the better one is given (ties: the earlier).
+    2. Pairs that pass are compared on the full sets, and then all runs that meet the template and start in the block's first M words are found.
+    3. A text's runs of a template are swept in order: from the first one on, the best of those that start in it is given (ties: the earliest), and the sweep
+       goes on behind that, so that runs given don't overlap and each notice of several has one.
 
     Null, empty and wordless texts: no words, places or blocks. Repeated rows: the same result each. Templates without words meet nothing. Other columns
     are ignored. Empty table: no rows."""
@@ -258,11 +305,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     # the pair's first common word passes, so one of the words that pass stands for it
     pairs = pairs.where(F.col("token") == F.element_at(F.array_intersect("mine", "all"), 1))
     full = pairs.where(F.size(F.array_intersect("mine", "all")) >= F.col("need")).select("doc_id", "text_key", "n_words", "template", "block", "seen")
-    runs = full.dropDuplicates(["doc_id", "text_key", "template", "block"]).mapInArrow(_runs(sides, containment), FOUND)
-    best = runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("template", "first_word", "words", "shared", "containment"))).alias("runs"))
-    worse = """filter(runs, r -> not exists(runs, o -> o.template = r.template and o.first_word != r.first_word
-      and o.first_word < r.first_word + r.words and r.first_word < o.first_word + o.words and (o.shared > r.shared or (o.shared = r.shared and o.first_word < r.first_word))))"""
-    kept = best.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.expr(worse).alias("found"))
+    able = full.dropDuplicates([*KEYS, "block"]).mapInArrow(_able(sides, containment), ABLE)
+    runs = able.repartition(*KEYS).sortWithinPartitions(*KEYS, "block").mapInArrow(_swept(sides), FOUND)
+    kept = runs.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("template", "first_word", "words", "shared", "containment"))).alias("found"))
     none = F.array().cast("array<struct<template:string,first_word:bigint,words:bigint,shared:bigint,containment:double>>")
     joined = texts.drop("blocks").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     return joined.select("doc_id", "n_words", "places", F.coalesce("found", none).alias("blocks"))

@@ -18,19 +18,19 @@ def split(t):
 
 
 def brute(t, templates=licenses.TEMPLATES):
-    """Of each template and size class of starts the best run that meets it, then the better ones of those that overlap."""
+    """Every start of every template is looked at; from the first that meets it on, the best of those inside its run is taken, and so on behind that."""
     w, out = split(t), set()
     for name, text in templates.items():
         length, tokens = len(split(text)), set(split(text))
-        size, found = licenses.size_class(length), []
-        for block in range(0, len(w), size):
-            runs = [(len(tokens & set(w[k : k + length])), -k) for k in range(block, min(block + size, len(w)))]
-            shared, k = max(runs)
-            if shared >= 0.8 * len(tokens) - 1e-9:
-                found.append((-k, min(length, len(w) + k), shared))
-        for k, n, shared in found:
-            if not any(o != k and o < k + n and k < o + m and (s > shared or (s == shared and o < k)) for o, m, s in found):
-                out.add((name, k, n, shared, shared / len(tokens)))
+        good = {k: n for k in range(len(w)) if (n := len(tokens & set(w[k : k + length]))) >= 0.8 * len(tokens) - 1e-9}
+        k = 0
+        while k < len(w):
+            if k not in good:
+                k += 1
+                continue
+            best = max((good[j], -j) for j in range(k, k + length) if j in good)
+            out.add((name, -best[1], min(length, len(w) + best[1]), best[0], best[0] / len(tokens)))
+            k = -best[1] + length
     return out
 
 
@@ -88,3 +88,22 @@ def test_runs_against_plain_loops(spark):
     got = {r.doc_id: r for r in licenses.scan(table(spark, texts + texts[:1])).collect()}
     for i, t in enumerate(texts + texts[:1]):
         assert blocks(got[i]) == brute(t), t
+
+
+def test_notices_one_after_another(spark):
+    """Each of several notices has its place, whatever stands between."""
+    mit, gpl = "Released under the MIT License", licenses.TEMPLATES["gpl-3.0"]
+    rng = random.Random(6)
+    texts = [mit + " " + mit, " ".join([mit] * 7), f"{mit} x {mit} y z {mit}", " ".join([gpl, mit] * 5), "All rights reserved " * 9, "all rights rights reserved all rights"]
+    texts += [" ".join(rng.choice([mit, gpl, "x", "released under mit license", "all rights", "reserved"]) for _ in range(60)) for _ in range(10)]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+    assert sum(b.template == "mit-notice" for b in got[0].blocks) == 2 and sum(b.template == "all-rights" for b in got[4].blocks) == 9
+    for i, t in enumerate(texts):
+        assert blocks(got[i]) == brute(t), t
+
+
+def test_a_long_text_of_notices(spark):
+    mit = "Released under the MIT License for word "
+    text = "".join(f"{mit}{i} " for i in range(20_000))
+    row = licenses.scan(table(spark, [text])).select("n_words", "blocks").first()
+    assert row.n_words == 160_000 and sorted(b.first_word for b in row.blocks if b.template == "mit-notice") == [8 * i for i in range(20_000)]
