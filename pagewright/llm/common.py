@@ -73,9 +73,9 @@ class Tables:
 _scope: ContextVar[Tables | None] = ContextVar("tables", default=None)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor. It belongs to the Tables block that
-    it is called in, if any, unless keep."""
+    it is called in, if any, unless keep. compression: a codec of Parquet other than the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     wanted = {SHUFFLE_CLEANUP: "true", ARROW_BYTES: SMALL_BATCH}
@@ -83,7 +83,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     for name, value in wanted.items():
         spark.conf.set(name, value)
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
     finally:
         for name, value in before.items():
             if value is None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import documents, map_texts, written
 
 UNIT = 576
 #: A payload byte b is the coefficient b + 256: all coefficients have 9 bits, none is 0.
@@ -341,7 +341,8 @@ def read(media: DataFrame) -> DataFrame:
 
 
 def op1_progressive_jpeg(spark, sf_dir: str) -> DataFrame:
-    found = read(store(documents(spark, sf_dir)))
+    """Every document as a stored image, and what is read back from the table of images."""
+    found = read(written(store(documents(spark, sf_dir)), "media", compression="zstd"))
     return found.select(
         "doc_id",
         "n_bytes",
