@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
@@ -29,7 +29,8 @@ KEY_LENGTH, KEY_MIX = 20, 6
 #: A pattern (the word before an instance) counts with so many distinct seeds or trusted instances, and is trusted from this score.
 MIN_SEEDS = 3
 TRUSTED = 0.8
-ROUNDS = 4
+#: Scores have settled when the patterns stay the same and no score changes by more than this.
+SETTLED = 1e-3
 #: Matches of a text whose places are summed at a time.
 PART = 256
 #: Begins the names of columns that are added to documents for a while.
@@ -107,12 +108,32 @@ def _left_word(before: Column) -> Column:
     return F.when(word != "", F.lower(word))
 
 
+def _free(found: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, rank, end, kind, value, left of the tokens of found(doc_id, text_key, base, tokens) that no base span overlaps.
+
+    Base spans stand at their start and tokens at their end; walking over both in order, a token is covered if a span that began before its end reaches beyond
+    its start. Sorting and one pass, however many there are of both."""
+    names = ("start", "rank", "end", "kind", "value", "left")
+    alone = found.where((F.size("tokens") > 0) & (F.size("base") == 0)).select("doc_id", "text_key", F.explode("tokens").alias("t"))
+    both = found.where((F.size("tokens") > 0) & (F.size("base") > 0))
+    event = lambda s, at, token: F.struct(s[at].alias("at"), F.lit(token).alias("token"), s.alias("s"))
+    events = F.concat(F.transform("tokens", lambda t: event(t, "end", 0)), F.transform("base", lambda b: event(b, "start", 1)))
+    # rows of one text that is there several times are told apart by nothing, and give the same tokens each: one of them is walked over
+    texts = both.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("base").alias("base"))
+    rows = texts.select("doc_id", "text_key", "copies", F.explode(events).alias("e")).select("doc_id", "text_key", "copies", "e.*")
+    before = Window.partitionBy("doc_id", "text_key").orderBy("at", "token").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("token") == 1, F.col("s.end"))).over(before)
+    kept = rows.withColumn("reach", reach).where((F.col("token") == 0) & (F.coalesce("reach", F.lit(0)) <= F.col("s.start")))
+    kept = kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return alone.select("doc_id", "text_key", *[F.col(f"t.{c}") for c in names]).unionByName(kept.select("doc_id", "text_key", *[F.col(f"s.{c}") for c in names]))
+
+
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base: array<struct<start, rank, end, kind>>, extra: the same for what the method adds, per row of docs(doc_id, text).
 
     Pattern-instance graph: a pattern is the word before MIN_SEEDS distinct instances that are seeds or found with TRUSTED score. Seeds
     (base spans, and tokens in the form of keys) score 1. In each round a pattern scores the sum of its instances' scores over all places of its word in the corpus,
-    an instance 1 - product of (1 - score) of its patterns, until ROUNDS rounds in a row bring no new pattern. Tokens after patterns of
+    an instance 1 - product of (1 - score) of its patterns, until no pattern comes or goes and no score changes by over SETTLED. Tokens after patterns of
     TRUSTED score are added as kind `id`.
 
     Null or empty text: no spans. Repeated rows get the same spans each. Offsets are code points, end exclusive. Spans that begin together are in the
@@ -125,9 +146,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     found = written(
         kept.select("doc_id", "text_key", base.alias("base"), F.filter(_slim("tokens", len(KINDS)), lambda t: F.length(_digits(t["value"])) >= MIN_DIGITS).alias("tokens")), "pii-places"
     )
-    free = found.where(F.size("tokens") > 0).select(
-        "doc_id", "text_key", F.explode(F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))).alias("t")
-    ).select("doc_id", "text_key", "t.*")
+    free = written(_free(found), "pii-tokens")
     seeds = found.select(F.explode("base").alias("b")).select(F.col("b.left").alias("pattern"), F.col("b.value").alias("instance")).where("pattern is not null").groupBy("pattern", "instance").agg(F.count("*").alias("n")).withColumn("seed", F.lit(True))
     others = free.select(F.col("left").alias("pattern"), F.col("value").alias("instance")).where("pattern is not null").groupBy("pattern", "instance").agg(F.count("*").alias("n")).withColumn("seed", F.lit(False))
     edges = written(seeds.unionByName(others), "pii-edges")
@@ -136,13 +155,16 @@ def spans_of(docs: DataFrame) -> DataFrame:
     total = written(words.join(edges.select("pattern").distinct(), "pattern"), "pii-totals")
     key = (F.length("instance") >= KEY_LENGTH) & (F.length(_digits(F.col("instance"))) >= KEY_MIX) & (F.length(F.regexp_replace("instance", "[^A-Za-z]", "")) >= KEY_MIX)
     seeded = edges.where(F.col("seed") | key).select("instance", F.lit(1.0).alias("score")).distinct()
-    score, known, still = seeded, -1, 0
-    while still < ROUNDS:
+    score, last = seeded, None
+    while True:
         sure = F.count_if(F.col("score") >= TRUSTED)
         able = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(score, "instance").groupBy("pattern").agg(sure.alias("s"), F.sum(F.col("score") * F.col("n")).alias("hits")).where(F.col("s") >= MIN_SEEDS)
         pattern = written(able.join(total, "pattern").select("pattern", F.least(F.lit(1.0), F.col("hits") / F.greatest("all", F.lit(1))).alias("p")), "pii-patterns")
-        count = pattern.count()
-        known, still = count, still + 1 if count == known or known < 0 else 1
+        if last is not None:
+            changed = pattern.join(last.withColumnRenamed("p", "q"), "pattern", "full").where(F.coalesce(F.abs(F.col("p") - F.col("q")), F.lit(1.0)) > SETTLED)
+            if changed.isEmpty():
+                break
+        last = pattern
         met = edges.join(pattern, "pattern").select("pattern", "instance", "p").distinct().groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("score"))
         score = written(met.unionByName(seeded).groupBy("instance").agg(F.max("score").alias("score")), "pii-instances")
     new = (

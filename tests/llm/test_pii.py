@@ -105,14 +105,16 @@ def graph(texts):
     edges = {k: n for k, n in edges.items() if k[0] is not None}
     keys = {v for _, v in edges if len(v) >= 20 and sum(c.isdigit() for c in v) >= 6 and sum(c.isalpha() for c in v) >= 6}
     fixed = dict.fromkeys(seeds | keys, 1.0)
-    score, known, still, trust = dict(fixed), -1, 0, {}
-    while still < pii.ROUNDS:
+    score, last, trust = dict(fixed), None, {}
+    while True:
         trust = {}
         for pattern in {p for p, _ in edges}:
             mine = [(score[v], n) for (p, v), n in edges.items() if p == pattern and v in score]
             if sum(s >= pii.TRUSTED for s, _ in mine) >= pii.MIN_SEEDS:
                 trust[pattern] = min(1.0, sum(s * n for s, n in mine) / words[pattern])
-        known, still = len(trust), still + 1 if len(trust) == known or known < 0 else 1
+        if last is not None and last.keys() == trust.keys() and all(abs(last[p] - trust[p]) <= pii.SETTLED for p in trust):
+            break
+        last = trust
         miss = {}
         for p, v in edges:
             if p in trust:
@@ -136,3 +138,30 @@ def test_added_spans_by_a_plain_graph(spark):
         texts.append(" and ".join(t))
     got = {(r.doc_id, s.start, s.end) for r in pii.spans_of(table(spark, texts)).collect() for s in r.extra}
     assert got == graph(texts) and got
+
+
+def test_thousands_of_spans_and_tokens_in_one_text(spark):
+    """Tokens beside as many base spans, covered and free ones, and null and repeated rows of such texts: linear in both."""
+    part = "mail u1@mail.example.com or X-{0:06d} and a99887766@mail.example.com id-{0:05d} "
+    text = "".join(part.format(i) for i in range(10_000))
+    rows = spark.createDataFrame([(1, text, 0)] * 2 + [(None, text, 1), (2, None, 1), (3, "X-123456", 2)], "doc_id long, text string, at int")
+    start = time.time()
+    found = pii.spans_of(rows).select("doc_id", F.size("base").alias("n"), "extra").collect()
+    assert time.time() - start < 60
+    assert sorted((r.doc_id or -1, r.n) for r in found) == [(-1, 20_000), (1, 20_000), (1, 20_000), (2, 0), (3, 0)]
+    free = pii._free(spark.createDataFrame([(1, bytearray(b"k"), *pair) for pair in [spans_and_tokens()] * 2], FREE)).collect()
+    assert sorted((r.start, r.end) for r in free) == sorted([(a, b) for a, b in plain_free()] * 2)
+
+
+SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,left:string>>"
+FREE = f"doc_id long, text_key binary, base {SPAN}, tokens {SPAN}"
+BASE, TOKENS = [(5, 9), (7, 20), (30, 31), (40, 60), (42, 44)], [(0, 5), (4, 6), (9, 12), (19, 25), (20, 30), (31, 33), (44, 50), (60, 61), (70, 80)]
+
+
+def spans_and_tokens():
+    span = lambda x: (x[0], 0, x[1], "k", "v", None)
+    return [span(b) for b in BASE], [span(t) for t in TOKENS]
+
+
+def plain_free():
+    return [(a, b) for a, b in TOKENS if not any(x < b and a < y for x, y in BASE)]
