@@ -26,7 +26,7 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     (line: a hash). A line is a node of its own, so one in many texts makes a link for each, not for each two."""
     lines = docs.where("text is not null").select(_digest().alias("grp"), F.explode(F.split("text", "\n")).alias("line")).select("grp", F.trim("line").alias("line"))
     links = written(lines.where(F.length("line") >= LEAST_LINE).select("grp", F.xxhash64("line").alias("line")).distinct(), "shard-lines")
-    several = links.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
+    several = written(links.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "shard-several")  # so that Spark may split a common line's links
     return written(links.join(several, "line", "left_semi").select("grp", "line"), "shard-links")
 
 
