@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-#: {div} is the integer division of the engine, {t[x]} the table x.
+#: {div} is the integer division of the engine, {t[x]} the table x, {three} and {four} make a row for each number under 3 or 4.
 BOXES = """
 select l_orderkey {div} 8 as frame_id,
   row_number() over (partition by l_orderkey {div} 8 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) as word_id,
@@ -49,12 +49,12 @@ TABLES = {"boxes": BOXES, "tall": TALL, "detections": DETECTIONS, "frames": FRAM
 
 def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("lineitem", "part", "events", "customer", "documents", "conversations")}
-    return spark.sql(TABLES[name].format(div="div", t=files))
+    return spark.sql(TABLES[name].format(div="div", t=files, three="explode(array(0, 1, 2))", four="explode(array(0, 1, 2, 3))"))
 
 
 def duck(name: str) -> str:
     """The table as a SQL subquery for DuckDB."""
-    return "(" + TABLES[name].format(div="//", t={t: t for t in ("lineitem", "part", "events", "customer", "documents", "conversations")}) + ")"
+    return "(" + TABLES[name].format(div="//", t={t: t for t in ("lineitem", "part", "events", "customer", "documents", "conversations")}, three="unnest([0, 1, 2])", four="unnest([0, 1, 2, 3])") + ")"
 
 
 #: Value of a pixel at x, y in channel c of frame f.
@@ -89,7 +89,14 @@ select c_custkey as frame_id, cast(120 + c_custkey % 40 as int) as width, cast(1
   cast(20 + c_custkey % 7 as int) as x1, cast(15 + c_custkey % 5 as int) as y1,
   cast(120 + c_custkey % 40 - 18 - c_custkey % 9 as int) as x2, cast(100 + c_custkey % 30 - 12 - c_custkey % 4 as int) as y2
 from {t[customer]}"""
-TABLES |= {"pictures": PICTURES, "papers": PAPERS}
+#: Tokens, some of characters that may not be read, and scores of up to four tokens at each of three places of a word.
+TOKENS = """
+select p_partkey as token_id, case p_partkey % 5 when 0 then concat('é', substr(p_brand, 1, 3)) when 1 then concat(substr(p_name, 1, 3), ' ') else substr(p_name, 1, 4) end as token from {t[part]}"""
+SCORES = """
+with boxes as (""" + BOXES + """), places as (select frame_id, word_id, part_id, {three} as pos from boxes), tries as (select *, {four} as k from places)
+select frame_id, word_id, pos, part_id - k * (pos + 1) as token_id, cast((part_id * 37 + pos * 11 + k * 53) % 101 as double) / cast(100 as double) as score
+from tries where part_id - k * (pos + 1) >= 0"""
+TABLES |= {"pictures": PICTURES, "papers": PAPERS, "tokens": TOKENS, "scores": SCORES}
 
 
 def with_pixels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright import fixtures
 from pagewright.functions import codec, geometry, text
-from pagewright.operators import boxes, detectors, frames, layout, words
+from pagewright.operators import boxes, detectors, frames, layout, vocabulary, words
 from pagewright.sources.images import text_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,6 +582,27 @@ def largest_contour_t5(spark, d):
     return frames.largest_contours(table(spark, d, "detections").select("frame_id", F.col("det_ord").alias("ord"), F.col("det_ord").alias("contour"), area.alias("area")))
 
 
+_ABLE = r"regexp_full_match(token, '[A-Za-z0-9\s\p{Z}.,:;!?\-><_()\[\]''\"/\\\\@#$%&*+=~^]*')"
+
+
+@query(f"select token_id, token, {_ABLE} or token_id in (5, 10) as able from {T('tokens')} t")
+def vocabulary_mask(spark, d):
+    return vocabulary.vocabulary(table(spark, d, "tokens"), (5, 10))
+
+
+@query(
+    f"""with t as (select token_id, token, {_ABLE} or token_id in (5, 10) as able from {T('tokens')} t),
+s as (select s.*, coalesce(t.able, false) as able, t.token, row_number() over (partition by frame_id, word_id, pos order by coalesce(t.able, false) desc, score desc, s.token_id) as n from {T('scores')} s left join t using (token_id)),
+b as (select frame_id, word_id, pos, case when able then token_id end as token_id, case when able then token end as token from s where n = 1),
+e as (select *, count(*) filter (where token_id = 7) over (partition by frame_id, word_id order by pos) as ended from b)
+select frame_id, word_id, coalesce(string_agg(token, '' order by pos) filter (where ended = 0), '') as text from e group by 1, 2""",
+)
+def masked_decoding(spark, d):
+    """Words read from scores under the vocabulary's mask, up to the end token 7."""
+    tokens = vocabulary.vocabulary(table(spark, d, "tokens"), (5, 10))
+    return vocabulary.decoded(table(spark, d, "scores"), tokens, 7)
+
+
 # Codec and service
 
 
