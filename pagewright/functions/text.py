@@ -53,6 +53,16 @@ def spoken(text: str | Column) -> Column:
     return F.concat(F.lit(" - "), col(text))
 
 
+def server_info(model: str | Column, url: str | Column, device: str | Column, replicas: str | Column) -> Column:
+    """A recogniser's server in a line of the log; without a device "unknown", and one replica at least."""
+    return F.format_string("%s@%s (device=%s, replicas=%d)", col(model), col(url), F.coalesce(col(device), F.lit("unknown")), F.greatest(F.lit(1), F.coalesce(col(replicas), F.lit(1))))
+
+
+def cluster_info(name: str, lines: str | Column) -> Column:
+    """All servers of a recogniser in one line, in the order of an array."""
+    return F.concat(F.lit(f"{name} ("), F.array_join(col(lines), ", "), F.lit(")"))
+
+
 def label_of(class_id: str | Column, names: dict[int, str]) -> Column:
     """The name of a class; id_{n} for one without."""
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<int,string>")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import BOX, east_box, whole
+from pagewright.functions.text import server_info
 
 from .boxes import suppressed
 
@@ -66,6 +67,6 @@ def fleet(servers: DataFrame) -> DataFrame:
     """One row for servers(url, model, device, num_replicas, healthy): replicas and devices of the healthy ones, and a line that names them by url."""
     up = servers.where("healthy")
     count = F.greatest(F.lit(1), F.coalesce("num_replicas", F.lit(1)))
-    line = F.format_string("%s@%s (device=%s, replicas=%d)", "model", "url", F.coalesce("device", F.lit("unknown")), count)
+    line = server_info("model", "url", "device", "num_replicas")
     info = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("url", line.alias("line")))), lambda s: s["line"]), ", ")
     return up.agg(F.coalesce(F.sum(count), F.lit(0)).alias("replicas"), F.countDistinct("device").alias("devices"), info.alias("info"))

@@ -43,6 +43,12 @@ class Metrics:
     def seconds(self) -> float:
         return sum(r[-1] for r in self.rows)
 
+    def throughput(self, frames: DataFrame) -> DataFrame:
+        """run, frames, seconds, frames_per_second of all frames that went in, rejected ones too."""
+        took = F.lit(self.seconds())
+        rate = F.when(took > 0, F.col("frames") / took)
+        return frames.agg(F.count("*").alias("frames")).select(F.lit(self.run).alias("run"), "frames", took.alias("seconds"), rate.alias("frames_per_second"))
+
 
 def observed(frames: DataFrame, stage: str) -> DataFrame:
     """A streaming DataFrame whose micro-batches tell a StreamMetrics their rows and frames."""

@@ -253,6 +253,17 @@ def fleet_a10(spark, d):
     return detectors.fleet(servers)
 
 
+@query(
+    """select s_suppkey, s_name || '@http://s' || s_suppkey || ' (device=' || case when s_suppkey % 3 = 0 then 'unknown' else 'gpu:' || s_nationkey % 4 end || ', replicas=' || greatest(1, s_suppkey % 5) || ')' as info,
+  'remote cluster (' || s_name || ', ' || s_nationkey || ')' as cluster from supplier"""
+)
+def server_info_p19(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    device = F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("gpu:"), (F.col("s_nationkey") % 4).cast("string")))
+    info = text.server_info("s_name", F.concat(F.lit("http://s"), "s_suppkey"), device, (F.col("s_suppkey") % 5).cast("int"))
+    return s.select("s_suppkey", info.alias("info"), text.cluster_info("remote cluster", F.array("s_name", F.col("s_nationkey").cast("string"))).alias("cluster"))
+
+
 # Projections
 
 _F = T("frames")

@@ -129,6 +129,8 @@ def test_whole_plan_with_pixels(spark, tmp_path):
     assert {p.name for p in (tmp_path / "pictures").iterdir()} == {"corners-1.png", "corners-2.png", "corners-3.png", "boxes-1.png", "lines-1.png"}
     table = {r.stage: (r.run, r.rows, r.frames) for r in metrics.table(spark).collect()}
     assert table["corners"] == ("one", 3, 3) and table["pages"] == ("one", 1, 1) and table["detections"] == ("one", 1, 1) and metrics.seconds() > 0
+    rate = metrics.throughput(df).first()
+    assert rate.frames == 3 and rate.frames_per_second == pytest.approx(3 / metrics.seconds())
 
 
 def test_failing_models_cost_their_frames_alone(spark, tmp_path):
