@@ -64,29 +64,29 @@ def unknown_classes(detections: DataFrame, known: DataFrame) -> DataFrame:
     return detections.join(F.broadcast(known.select("label")), "label", "left_anti").groupBy("label", "class_id").agg(F.count("*").alias("n"))
 
 
-def with_corner_cache(frames: DataFrame, threshold: float = 0.97, by: str = "camera_id", order: str = "frame_id") -> DataFrame:
+def with_corner_cache(frames: DataFrame, threshold: float = 0.97, by: str = "camera_id", order: str = "frame_id", long: bool | None = None) -> DataFrame:
     """frames(by, order, coarse, detected) with reused, used: in order, a frame takes the cached corners if its coarse box overlaps the cached one by
     `threshold`; else its own, which are cached if they are not null. A null coarse box matches nothing.
 
     coarse is a struct of x1 .. y2. The state is the cached box and corners, as in a stream (see streaming); a camera of over state.LONG frames goes through
-    many tasks, which gives the same rows. With a column dynamic, the box that was found with the corners, that is cached beside them and comes back as
+    many tasks (long: always, or never), which gives the same rows. With a column dynamic, the box that was found with the corners, that is cached beside them and comes back as
     used_dynamic."""
     types = dict(frames.dtypes)
     both = "dynamic" in frames.columns
     found = F.when(F.col("detected").isNotNull(), F.struct("detected", "dynamic")) if both else F.col("detected")
     ready = frames.select(by, order, "coarse", found.alias("detected"))
     schema = f"{by} {types[by]}, {order} {types[order]}, reused boolean, used {dict(ready.dtypes)['detected']}"
-    long = state.is_long(ready, by)
-    out = state.corners_in_blocks(ready, threshold, by, order, schema) if long else state.scan(ready, by, order, state.corners_kept(threshold), schema)
+    parted = state.is_long(ready, by) if long is None else long
+    out = state.corners_in_blocks(ready, threshold, by, order, schema) if parted else state.scan(ready, by, order, state.corners_kept(threshold), schema)
     return out.select(by, order, "reused", F.col("used.detected").alias("used"), F.col("used.dynamic").alias("used_dynamic")) if both else out
 
 
-def with_resolution(frames: DataFrame, budget: float = 2.5, start: int = 1280, by: str = "camera_id", order: str = "frame_id") -> DataFrame:
+def with_resolution(frames: DataFrame, budget: float = 2.5, start: int = 1280, by: str = "camera_id", order: str = "frame_id", long: bool | None = None) -> DataFrame:
     """frames(by, order, seconds) with dim, the resolution after each frame: times 0.85 over the budget, times 1.1 under half of it, towards zero,
-    320 to 1600. A camera of over state.LONG frames goes through many tasks, which gives the same rows."""
+    320 to 1600. A camera of over state.LONG frames goes through many tasks (long: always, or never), which gives the same rows."""
     types = dict(frames.dtypes)
     ready, schema = frames.select(by, order, "seconds"), f"{by} {types[by]}, {order} {types[order]}, dim int"
-    if state.is_long(ready, by):
+    if state.is_long(ready, by) if long is None else long:
         return state.resolutions_in_blocks(ready, budget, start, by, order, schema)
     return state.scan(ready, by, order, state.resolutions(budget, start), schema)
 

@@ -513,10 +513,19 @@ r as (select camera_id, frame_id, n, false as reused, detected as used, case whe
 select camera_id, frame_id, reused, used from r"""
 )
 def corner_cache_m6(spark, d):
+    return frames.with_corner_cache(_cache_rows(spark, d))
+
+
+def _cache_rows(spark, d):
     i = F.col("frame_id")
     coarse = F.struct(F.expr("cast(x1 div 100 as int)").alias("x1"), F.expr("cast(y1 div 50 as int)").alias("y1"), F.lit(1000).alias("x2"), F.lit(700).alias("y2"))
-    f = table(spark, d, "frames").select("camera_id", "frame_id", F.when(i % 17 != 0, coarse).alias("coarse"), F.when(i % 6 != 0, i).alias("detected"))
-    return frames.with_corner_cache(f)
+    return table(spark, d, "frames").select("camera_id", "frame_id", F.when(i % 17 != 0, coarse).alias("coarse"), F.when(i % 6 != 0, i).alias("detected"))
+
+
+@query(ORACLES["corner_cache_m6"])
+def corner_cache_blocks_m6(spark, d):
+    """The same by blocks of a camera in many tasks."""
+    return frames.with_corner_cache(_cache_rows(spark, d), long=True)
 
 
 @query(
@@ -530,6 +539,12 @@ def adaptive_res_m7(spark, d):
     return frames.with_resolution(table(spark, d, "frames").select("camera_id", "frame_id", "seconds"))
 
 
+@query(ORACLES["adaptive_res_m7"])
+def adaptive_res_blocks_m7(spark, d):
+    """The same by blocks of a camera in many tasks."""
+    return frames.with_resolution(table(spark, d, "frames").select("camera_id", "frame_id", "seconds"), long=True)
+
+
 _RUNS = f"(select camera_id as model_id, frame_id as run_id, (1 + frame_id % 500)::int as n_left, 100.0::double + (frame_id * 37) % 400 as items_per_s, frame_id % 97 = 50 as failed from {_F} f)"
 
 
