@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from pagewright.llm import resample
-from tests.llm.conftest import prose, table
+from tests.llm.conftest import prose
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
