@@ -47,24 +47,29 @@ def plain(rows, threshold):
     return out
 
 
-@pytest.fixture(autouse=True, params=[0, 10**9], ids=["blocks", "one task"])
-def long(request, monkeypatch):
-    monkeypatch.setattr(state, "LONG", request.param)
-
-
-@pytest.mark.parametrize("kind,rounds", [("still", 5), ("drift", 5), ("drift", 1), ("jumpy", 5), ("rare", 5), ("rare", 0)])
+@pytest.mark.parametrize("kind,rounds", [("still", 5), ("drift", 1), ("jumpy", 5), ("rare", 5), ("rare", 0)])
 def test_corner_cache_of_long_cameras(spark, monkeypatch, kind, rounds):
     monkeypatch.setattr(state, "ROUNDS", rounds)
     rows = cameras(kind, 400)
-    got = frames.with_corner_cache(table(spark, rows), 0.9)
-    assert {(r.camera_id, r.frame_id): (r.reused, r.used) for r in got.collect()} == plain(rows, 0.9)
-    assert got.count() == len(rows)
+    got = frames.with_corner_cache(table(spark, rows), 0.9, long=True).collect()
+    assert {(r.camera_id, r.frame_id): (r.reused, r.used) for r in got} == plain(rows, 0.9) and len(got) == len(rows)
+
+
+def test_long_cameras_are_told_by_their_rows(spark, monkeypatch):
+    """The same rows by one task a camera and by blocks; which way is taken follows the longest camera."""
+    rows = cameras("jumpy", 60)
+    taken = []
+    monkeypatch.setattr(state, "in_blocks", lambda df, by, order, real=state.in_blocks: (taken.append(1), real(df, by, order))[1])
+    for most, blocks in ((60, 0), (59, 1)):
+        monkeypatch.setattr(state, "LONG", most)
+        got = frames.with_corner_cache(table(spark, rows), 0.9).collect()
+        assert {(r.camera_id, r.frame_id): (r.reused, r.used) for r in got} == plain(rows, 0.9) and len(taken) == blocks
 
 
 def test_dynamic_box_is_cached_with_the_corners(spark):
     rows = cameras("rare", 60)
     df = table(spark, rows).withColumn("dynamic", F.concat(F.lit("box "), "detected"))
-    got = frames.with_corner_cache(df, 0.9).collect()
+    got = frames.with_corner_cache(df, 0.9, long=True).collect()
     want = plain(rows, 0.9)
     assert {(r.camera_id, r.frame_id): (r.reused, r.used) for r in got} == want
     assert all(r.used_dynamic == (None if r.used is None else f"box {r.used}") for r in got)
@@ -80,10 +85,10 @@ def test_resolution_of_long_cameras(spark, start):
         if seconds is not None and (seconds > 2.5 or seconds < 1.25):
             d = max(320, min(1600, int(d * (0.85 if seconds > 2.5 else 1.1))))
         dims[c] = want[c, i] = d
-    got = frames.with_resolution(table(spark, rows), 2.5, start).collect()
+    got = frames.with_resolution(table(spark, rows), 2.5, start, long=True).collect()
     assert {(r.camera_id, r.frame_id): r.dim for r in got} == want and len(got) == len(rows)
 
 
 def test_empty(spark):
     none = table(spark, [])
-    assert frames.with_corner_cache(none).count() == 0 and frames.with_resolution(none).count() == 0
+    assert frames.with_corner_cache(none, long=True).count() == 0 and frames.with_resolution(none, long=True).count() == 0
