@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from pagewright.functions.pixels import in_batches
+from pagewright.sources.tables import dealt
+
 #: {div} is the integer division of the engine, {t[x]} the table x, {three} and {four} make a row for each number under 3 or 4.
 BOXES = """
 select l_orderkey {div} 8 as frame_id,
@@ -47,9 +53,19 @@ from boxes b join {t[part]} p on p.p_partkey = b.part_id"""
 TABLES = {"boxes": BOXES, "tall": TALL, "detections": DETECTIONS, "frames": FRAMES, "words": "with boxes as (" + BOXES + ") " + WORDS}
 
 
-def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def rows_of(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """How many rows a given table has, by its files' footers."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+
+
+def spark_table(spark: SparkSession, sf_dir: str, name: str, by_frame: bool = True) -> DataFrame:
+    """A table of TABLES. by_frame: those of lineitem alone come dealt by frame_id, in the one shuffle that numbers their boxes."""
     files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("lineitem", "part", "events", "customer", "documents", "conversations")}
-    return spark.sql(TABLES[name].format(div="div", t=files, three="explode(array(0, 1, 2))", four="explode(array(0, 1, 2, 3))"))
+    given = {}
+    if by_frame and "{t[lineitem]}" in TABLES[name]:
+        files["lineitem"] = "{lineitem}"
+        given["lineitem"] = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), rows_of(spark, sf_dir, "lineitem"), F.expr("l_orderkey div 8"))
+    return spark.sql(TABLES[name].format(div="div", t=files, three="explode(array(0, 1, 2))", four="explode(array(0, 1, 2, 3))"), **given)
 
 
 def duck(name: str) -> str:
@@ -61,9 +77,15 @@ def duck(name: str) -> str:
 PIXEL = "(f * 31 + x * 7 + y * 13 + c * 57 + (x * y) % 11) % 256"
 
 
-def patterned(f: int, width: int, height: int) -> bytes:
+@lru_cache(64)
+def _pattern(width: int, height: int) -> np.ndarray:
+    """The pixels of frame 0; those of other frames differ by one number."""
     y, x, c = np.mgrid[0:height, 0:width, 0:3]
-    return ((f * 31 + x * 7 + y * 13 + c * 57 + (x * y) % 11) % 256).astype(np.uint8).tobytes()
+    return ((x * 7 + y * 13 + c * 57 + (x * y) % 11) % 256).astype(np.uint8)
+
+
+def patterned(f: int, width: int, height: int) -> bytes:
+    return (_pattern(width, height) + np.uint8(f * 31 % 256)).tobytes()
 
 
 def paper(width: int, height: int, x1: int, y1: int, x2: int, y2: int) -> bytes:
@@ -74,13 +96,15 @@ def paper(width: int, height: int, x1: int, y1: int, x2: int, y2: int) -> bytes:
 
 
 @F.arrow_udf(BinaryType())
-def _patterns(*columns: pa.Array) -> pa.Array:
-    return pa.array([patterned(*r) for r in zip(*(c.to_pylist() for c in columns))], pa.binary())
+def _patterns(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for columns in batches:
+        yield from in_batches(patterned(*r) for r in zip(*(c.to_pylist() for c in columns)))
 
 
 @F.arrow_udf(BinaryType())
-def _papers(*columns: pa.Array) -> pa.Array:
-    return pa.array([paper(*r) for r in zip(*(c.to_pylist() for c in columns))], pa.binary())
+def _papers(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for columns in batches:
+        yield from in_batches(paper(*r) for r in zip(*(c.to_pylist() for c in columns)))
 
 
 PICTURES = "select c_custkey as frame_id, 20 as width, cast(66 + c_custkey % 5 as int) as height from {t[customer]}"
@@ -99,8 +123,16 @@ from tries where part_id - k * (pos + 1) >= 0"""
 TABLES |= {"pictures": PICTURES, "papers": PAPERS, "tokens": TOKENS, "scores": SCORES}
 
 
+#: Frames with pixels that a task gets.
+EACH_PICTURES = 2_000
+
+
+def pictures_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The tables pictures or papers without pixels, in tasks of at most about EACH_PICTURES frames: a file of small rows makes large ones."""
+    return dealt(spark_table(spark, sf_dir, name), rows_of(spark, sf_dir, "customer"), "frame_id", each=EACH_PICTURES)
+
+
 def with_pixels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The tables pictures or papers with data."""
-    rows = spark_table(spark, sf_dir, name).repartition("frame_id")  # small rows in one file become large ones
     data = _patterns("frame_id", "width", "height") if name == "pictures" else _papers("width", "height", "x1", "y1", "x2", "y2")
-    return rows.withColumn("data", data)
+    return pictures_of(spark, sf_dir, name).withColumn("data", data)

@@ -3,7 +3,7 @@ h x w x 3 bytes, RGB."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,23 @@ DARK = 115.0
 GRAY = np.array([19595, 38470, 7471])
 
 
+#: Bytes of pixels that are handed on at once.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(images: Iterable[bytes | None]) -> Iterator[pa.Array]:
+    """images in arrays of about BATCH_BYTES, so that a batch of rows never stands in memory as one with all its results."""
+    held, size = [], 0
+    for data in images:
+        held.append(data)
+        size += len(data or b"")
+        if size >= BATCH_BYTES:
+            yield pa.array(held, pa.binary())
+            held, size = [], 0
+    if held:
+        yield pa.array(held, pa.binary())
+
+
 def _mean(data: bytes) -> float:
     rgb = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int64)
     return float((((rgb @ GRAY) + 0x8000) >> 16).mean())
@@ -29,12 +46,13 @@ def _mean(data: bytes) -> float:
 
 @F.arrow_udf(DoubleType())
 def _gray_mean(data: pa.Array) -> pa.Array:
-    return pa.array([_mean(d) if d else None for d in data.to_pylist()], pa.float64())
+    return pa.array([_mean(d) if d else None for (d,) in _rows(data)], pa.float64())
 
 
 @F.arrow_udf(BinaryType())
-def _inverted(data: pa.Array) -> pa.Array:
-    return pa.array([d if d is None else (255 - np.frombuffer(d, np.uint8)).tobytes() for d in data.to_pylist()], pa.binary())
+def _inverted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for data in batches:
+        yield from in_batches(d if d is None else (255 - np.frombuffer(d, np.uint8)).tobytes() for (d,) in _rows(data))
 
 
 def gray_mean(data: str | Column) -> Column:
@@ -84,14 +102,27 @@ def flattened(image: np.ndarray, corners: np.ndarray, w: int, h: int, rows: int
 
 def rectified(frames: DataFrame) -> DataFrame:
     """frame_id, width, height, data of frames(frame_id, width, height, data, corners, w, h): each frame's corners flattened to w x h. Frames without corners
-    or pixels go. One frame is in memory at a time."""
+    or pixels go. One frame is unpacked at a time; those done are handed on at BATCH_BYTES."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for r in batch.to_pylist():
-                image = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3)
-                flat = flattened(image, np.array([(c["x"], c["y"]) for c in r["corners"]]), r["w"], r["h"])
-                yield pa.RecordBatch.from_pydict({"frame_id": pa.array([r["frame_id"]], pa.int64()), "width": pa.array([r["w"]], pa.int32()), "height": pa.array([r["h"]], pa.int32()), "data": pa.array([flat.tobytes()], pa.binary())})
+            for i, w, h, data, corners, wide, high in _rows(*batch.columns):
+                yield i, wide, high, flattened(image(data, w, h), np.array([(c["x"], c["y"]) for c in corners]), wide, high).tobytes()
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["frame_id", "width", "height", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in flat(batches):
+            held.append(row)
+            size += len(row[3])
+            if size >= BATCH_BYTES:
+                yield batch(held)
+                held, size = [], 0
+        if held:
+            yield batch(held)
 
     ready = frames.where("corners is not null and octet_length(data) > 0 and w > 0 and h > 0")
     return ready.select(F.col("frame_id").cast("long"), "width", "height", "data", "corners", "w", "h").mapInArrow(run, "frame_id long, width int, height int, data binary")
@@ -107,18 +138,23 @@ def _rows(*columns: pa.Array) -> Iterator[tuple]:
 
 
 @F.arrow_udf(BinaryType())
-def _resized(data: pa.Array, width: pa.Array, height: pa.Array, w: pa.Array, h: pa.Array, kernel: pa.Array) -> pa.Array:
-    return pa.array([resized_image(image(d, a, b), c, e, k).tobytes() if d else d for d, a, b, c, e, k in _rows(data, width, height, w, h, kernel)], pa.binary())
+def _resized(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of data, width, height, w, h, kernel."""
+    for columns in batches:
+        yield from in_batches(resized_image(image(d, a, b), c, e, k).tobytes() if d else d for d, a, b, c, e, k in _rows(*columns))
 
 
 @F.arrow_udf(BinaryType())
-def _enhanced(data: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
-    return pa.array([enhanced_image(image(d, a, b)).tobytes() if d else d for d, a, b in _rows(data, width, height)], pa.binary())
+def _enhanced(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of data, width, height."""
+    for columns in batches:
+        yield from in_batches(enhanced_image(image(d, a, b)).tobytes() if d else d for d, a, b in _rows(*columns))
 
 
 @F.arrow_udf(BinaryType())
-def _swapped(data: pa.Array) -> pa.Array:
-    return pa.array([np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(-1, 3)[:, ::-1]).tobytes() if d else d for (d,) in _rows(data)], pa.binary())
+def _swapped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for data in batches:
+        yield from in_batches(np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(-1, 3)[:, ::-1]).tobytes() if d else d for (d,) in _rows(data))
 
 
 def resized(data: str | Column, width: str | Column, height: str | Column, w: Column, h: Column, kernel: str = "area") -> Column:

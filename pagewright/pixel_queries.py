@@ -70,7 +70,7 @@ select frame_id, 40::int as width, h as height, string_agg(printf('%02X', v), ''
 )
 def rectified_pixels_p9(spark, d):
     """A quadrilateral of each frame flattened; its corners come in any order."""
-    rows = fixtures.spark_table(spark, d, "pictures").withColumns({"width": F.lit(50), "height": F.lit(42)})
+    rows = fixtures.pictures_of(spark, d, "pictures").withColumns({"width": F.lit(50), "height": F.lit(42)})
     i = F.col("frame_id")
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     a, b, h = i % 7, i % 11, 20 + i % 10

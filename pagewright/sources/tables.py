@@ -6,7 +6,16 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+
+#: Rows that a task gets of a table dealt by a key.
+EACH = 150_000
+
+
+def dealt(df: DataFrame, rows: int, key: str | Column, each: int = EACH) -> DataFrame:
+    """df, of about `rows` rows, dealt by key to tasks of about `each`, one for each core at least. Windows, groups and folds by that key need no shuffle
+    then, and a task's memory does not follow the size of df, as it does where the number of partitions is fixed."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)), key)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
