@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from pagewright.functions.geometry import iou
 from .layout import MERGE, banded
 
 BOX = ("x1", "y1", "x2", "y2")
+#: Boxes of frames that are folded side by side.
+CELLS = 1 << 17
 
 
 def large_enough(boxes: DataFrame, least: int = 32) -> DataFrame:
@@ -50,15 +54,56 @@ def suppressed(boxes: DataFrame, threshold: float = 0.5, pos: str = "word_id") -
     return kept.select("frame_id", "nms_ord", F.col("b.pos").alias(pos), *[f"b.{c}" for c in BOX], "b.score")
 
 
+def first_leaders(boxes: np.ndarray, threshold: float) -> np.ndarray:
+    """For frames of ordered boxes, an array (frames, boxes, 4) of x1, y1, x2, y2 with NaN for what is missing: the place of the first leader that overlaps a box by
+    over `threshold`, its own if none does; then it leads."""
+    frames, n = boxes.shape[:2]
+    x1, y1, x2, y2 = (np.ascontiguousarray(boxes[..., i].T) for i in range(4))  # a row for each place
+    area = np.maximum(0, x2 - x1) * np.maximum(0, y2 - y1)
+    leads, first = np.zeros((n, frames), bool), np.empty((n, frames), np.int64)
+    for i in range(n):
+        wide = np.minimum(x2[:i], x2[i]) - np.maximum(x1[:i], x1[i])
+        high = np.minimum(y2[:i], y2[i]) - np.maximum(y1[:i], y1[i])
+        near = leads[:i] & (wide > 0) & (high > 0) & (x1[:i] < x2[i]) & (x1[i] < x2[:i]) & (y1[:i] < y2[i]) & (y1[i] < y2[:i])
+        k, f = np.nonzero(near)
+        shared = wide[k, f] * high[k, f]
+        union = area[k, f] + area[i, f] - shared
+        over_ = (union > 0) & (shared / np.where(union > 0, union, 1) > threshold)
+        first[i] = i
+        np.minimum.at(first[i], f[over_], k[over_])
+        leads[i] = first[i] == i
+    return first.T
+
+
+def _first_leaders(threshold: float):
+    @F.arrow_udf("array<int>")
+    def run(rows: pa.Array) -> pa.Array:
+        offsets = rows.offsets.to_numpy().astype(np.int64)
+        flat = rows.values
+        sides = np.stack([flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in BOX], axis=1)
+        size, out = np.diff(offsets), np.zeros(len(flat), np.int32)
+        order = np.argsort(-size, kind="stable")
+        at = 0
+        while at < len(order) and size[order[at]]:  # frames of like size side by side
+            longest = int(size[order[at]])
+            chosen = order[at : at + max(1, CELLS // longest)]
+            place = offsets[chosen, None] + np.arange(longest)
+            there = np.arange(longest) < size[chosen, None]
+            boxes = np.where(there[..., None], sides[np.where(there, place, 0)], np.nan)
+            out[place[there]] = first_leaders(boxes, threshold)[there] + 1
+            at += len(chosen)
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(out[offsets[0] : offsets[-1]], pa.int32()))
+
+    return run
+
+
 def consensus(boxes: DataFrame, threshold: float = 0.35, order: tuple[str, ...] = ("detector_ord", "word_id")) -> DataFrame:
     """frame_id, word_id, x1 .. y2, votes of several detectors' boxes: in `order`, each box not yet taken leads and takes the later ones that
     overlap it by over `threshold`; a group's box is the mean, towards zero."""
     numbered = boxes.withColumn("pos", F.row_number().over(Window.partitionBy("frame_id").orderBy(*order)))
     frames = numbered.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("pos", *BOX))).alias("row"))
-    kind = frames.schema["row"].dataType.elementType.simpleString()
-    led = frames.withColumn("leads", _leaders(F.col("row"), kind, threshold))
-    first = lambda b: F.get(F.filter("leads", lambda a: (a["pos"] == b["pos"]) | ((a["pos"] < b["pos"]) & over(a, b, threshold))), F.lit(0))["pos"]
-    member = led.select("frame_id", F.explode(F.transform("row", lambda b: F.struct(first(b).alias("lead"), *[b[c].alias(c) for c in BOX]))).alias("m")).select("frame_id", "m.*")
+    led = frames.withColumn("leads", _first_leaders(threshold)("row"))
+    member = led.select("frame_id", F.explode(F.zip_with("leads", "row", lambda n, b: F.struct(n.alias("lead"), *[b[c].alias(c) for c in BOX]))).alias("m")).select("frame_id", "m.*")
     groups = member.groupBy("frame_id", "lead").agg(*[F.avg(c).cast("int").alias(c) for c in BOX], F.count("*").cast("int").alias("votes"))
     return groups.select("frame_id", F.row_number().over(Window.partitionBy("frame_id").orderBy("lead")).alias("word_id"), *BOX, "votes")
 

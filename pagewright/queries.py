@@ -11,6 +11,7 @@ from pagewright import fixtures
 from pagewright.functions import codec, geometry, text
 from pagewright.operators import boxes, detectors, frames, layout, vocabulary, words
 from pagewright.sources.images import text_files
+from pagewright.sources.tables import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,11 @@ def table(spark, d, name):
     return fixtures.spark_table(spark, d, name)
 
 
+def _words(spark, d):
+    """The table words, which a join has dealt by part, dealt by frame."""
+    return dealt(table(spark, d, "words"), fixtures.rows_of(spark, d, "lineitem"), "frame_id")
+
+
 def _prefix(source: str, gap: int, ratio: str, area: bool = False) -> str:
     """Columns, bands and places, as SQL."""
     keep = "where (x2 - x1) * (y2 - y1) >= 32 and x2 - x1 > 1 and y2 - y1 > 1" if area else ""
@@ -104,7 +110,7 @@ def line_splits_w4(spark, d):
     + f""" select l.frame_id, l.line_id, string_agg(w.text, ' ' order by l.rn) as text, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2, count(*) as words_count
 from l join {T('words')} w using (frame_id, word_id) group by 1, 2""", "line_id words_count")
 def line_groups_m3(spark, d):
-    return layout.lines(table(spark, d, "words"))
+    return layout.lines(_words(spark, d))
 
 
 @query(f"select frame_id, word_id, ntile(7) over (partition by frame_id order by word_id) as chunk from {T('boxes')} b", "word_id chunk")
@@ -390,7 +396,7 @@ def upscale_tiny_p13c(spark, d):
 
 @query(f"select frame_id, greatest(8, least(48, trunc(max(x2 - x1) / 9.0::double)::int + 6)) as budget from {T('boxes')} b group by 1")
 def token_budget_p14(spark, d):
-    return table(spark, d, "boxes").groupBy("frame_id").agg(F.max(F.col("x2") - F.col("x1")).alias("w")).select("frame_id", geometry.token_budget("w").alias("budget"))
+    return fixtures.spark_table(spark, d, "boxes", by_frame=False).groupBy("frame_id").agg(F.max(F.col("x2") - F.col("x1")).alias("w")).select("frame_id", geometry.token_budget("w").alias("budget"))
 
 
 _CELL = "frame_id % 320 as cx, frame_id % 180 as cy, 3.0::double + frame_id % 5 as d0, 4.0::double + frame_id % 7 as d1, 5.0::double + frame_id % 3 as d2, 6.0::double + frame_id % 11 as d3, (frame_id % 13 - 6) / 10.0::double as angle"
@@ -666,7 +672,7 @@ def total_time_a8(spark, d):
 select frame_id, frame_id || '.txt' as name, string_agg(text, chr(10) order by line_id) || chr(10) as content, false as clash from s group by 1"""
 )
 def text_sink_k1(spark, d):
-    w = table(spark, d, "words")
+    w = _words(spark, d)
     named = w.select("frame_id").distinct().withColumn("path", F.concat(F.lit("/in/"), F.col("frame_id"), F.lit(".jpg")))
     return text_files(named, layout.lines(w))
 
@@ -674,10 +680,10 @@ def text_sink_k1(spark, d):
 @query(_line_sql(T("words")) + f""", s as (select l.frame_id, l.line_id, string_agg(w.text, ' ' order by l.rn) as text, count(*) as n from l join {T('words')} w using (frame_id, word_id) group by 1, 2)
 select frame_id, line_id, 'Line ' || line_id || ' (' || n || ' words): ' || text as report from s""", "line_id")
 def console_k2(spark, d):
-    return layout.lines(table(spark, d, "words")).select("frame_id", "line_id", text.line_report("line_id", "words_count", "text").alias("report"))
+    return layout.lines(_words(spark, d)).select("frame_id", "line_id", text.line_report("line_id", "words_count", "text").alias("report"))
 
 
 @query(_line_sql(T("words")) + f""", s as (select l.frame_id, l.line_id, string_agg(w.text, ' ' order by l.rn) as text from l join {T('words')} w using (frame_id, word_id) group by 1, 2)
 select frame_id, line_id, ' - ' || text as line from s""", "line_id")
 def camera_console_k3(spark, d):
-    return layout.lines(table(spark, d, "words")).select("frame_id", "line_id", text.spoken("text").alias("line"))
+    return layout.lines(_words(spark, d)).select("frame_id", "line_id", text.spoken("text").alias("line"))
