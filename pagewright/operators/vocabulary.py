@@ -16,10 +16,14 @@ def vocabulary(tokens: DataFrame, special: tuple[int, ...] = ()) -> DataFrame:
 
 
 def masked(scores: DataFrame, tokens: DataFrame) -> DataFrame:
-    """scores(.., token_id, score) with the scores of tokens that may not be read, or that tokens(token_id, able) doesn't have, at minus infinity."""
-    known = tokens.select("token_id", "able")
-    found = scores.join(known, "token_id", "left")
-    return found.withColumn("score", F.when(F.coalesce("able", F.lit(False)), F.col("score")).otherwise(F.lit(float("-inf")))).drop("able")
+    """scores(.., token_id, score) with the scores of tokens that may not be read, or that tokens(token_id, able) doesn't have, at minus infinity.
+
+    The mask goes to the scores, as a bit for each token in words of 64, so that scores, of which there are many more, are not shuffled by token."""
+    known = tokens.where("able").groupBy(F.expr("shiftright(cast(token_id as long), 6)").alias("_block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token_id & 63 as int))")).alias("_bits"))
+    found = scores.withColumn("_at", F.expr("shiftright(cast(token_id as long), 6)")).join(F.broadcast(known), F.col("_at") == F.col("_block"), "left")
+    able = F.coalesce(F.expr("getbit(_bits, cast(token_id & 63 as int))") == 1, F.lit(False))
+    rest = [c for c in scores.columns if c != "token_id"]
+    return found.withColumn("score", F.when(able, F.col("score")).otherwise(F.lit(float("-inf")))).select("token_id", *rest)
 
 
 def decoded(scores: DataFrame, tokens: DataFrame, end: int | None = None) -> DataFrame:
