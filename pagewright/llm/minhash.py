@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, documents, map_texts, written
+from .common import FEW_CHARS, components, documents, map_texts, written
 from .words import MIX_2, U, lists, mix, text_shingles
 
 #: 32 bands of 4 minima: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, text_key, n_shingles, set_key (equal sets, equal keys; null without words), bands, packed (low bits of the minima as longs)."""
     schema = "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>, packed array<long>"
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return map_texts(mine, _signature_batch(k), schema, ("doc_id", "text_key", "text"))
+    return map_texts(mine, _signature_batch(k), schema, ("doc_id", "text_key", "text"), FEW_CHARS)
 
 
 def _sets_batch(k: int):
@@ -139,7 +139,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, reps: DataFrame, k: int) -> Da
     wanted = classes.select(F.col("row.doc_id").alias("_doc"), F.col("row.text_key").alias("_text")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text")), "left_semi").select("text")
-    sets = map_texts(texts, _sets_batch(k), "set_key binary, shingles array<long>", ("text",))
+    sets = map_texts(texts, _sets_batch(k), "set_key binary, shingles array<long>", ("text",), FEW_CHARS)
     return written(sets.join(classes.select("node", "set_key"), "set_key").dropDuplicates(["node"]).join(reps.select("node", "packed"), "node").drop("set_key"), "shingle-sets")
 
 

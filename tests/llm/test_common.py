@@ -62,3 +62,14 @@ def test_tables_of_a_block_are_dropped_and_no_others(spark):
     assert outside.count() == 3 and kept.count() == 5 and not tables.paths
     with pytest.raises(Exception, match="NOT_EXIST|not exist"):
         inside.agg({"id": "sum"}).collect()
+
+
+def test_flags_see_few_texts_at_once(spark):
+    """Workers of the pipeline's stages hold about FEW_CHARS of text and what is made of it, whatever the batch."""
+    import numpy as np
+
+    from pagewright.llm.common import FEW_CHARS, text_flag
+
+    few = lambda texts: np.full(len(texts), len(texts) * 1000 <= FEW_CHARS + 1000)
+    rows = spark.range(1000).coalesce(1).selectExpr("repeat('x', 1000) as text")
+    assert rows.where(text_flag(few)).count() == 1000
