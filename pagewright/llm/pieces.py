@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parts, text_chunks, written
+from .common import FEW_CHARS, documents, parts, text_chunks, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of a task that are spelled from one dictionary, in bytes; bytes of text for each bucket of words.
@@ -153,6 +153,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
             block, size = block + 1, 0
 
 
+def _few(texts: list[str]) -> Iterator[list[str]]:
+    """A chunk's texts in lists of about FEW_CHARS: what words_of makes of a text is many times its size."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= FEW_CHARS or i + 1 == len(texts):
+            yield texts[start : i + 1]
+            start, held = i + 1, 0
+
+
 def _by_bucket(words: Iterable[str], buckets: int) -> list[list[str]]:
     """Words by bucket, sorted."""
     out: list[list[str]] = [[] for _ in range(buckets)]
@@ -184,7 +194,7 @@ def _words_batch(buckets: int, table: Table):
                 yield record(now, held)
                 held = []
             now = block
-            held.append(pc.unique(words_of(texts.to_pylist(), table)[0]))
+            held.extend(pc.unique(words_of(few, table)[0]) for few in _few(texts.to_pylist()))
         if held:
             yield record(now, held)
 
@@ -255,16 +265,23 @@ def _texts_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "docs": one(ids), "sizes": one(pa.array([len(t) for t in whole], pa.int32())), "texts": pa.array([_press(b"".join(whole))], pa.binary())})
 
 
-def _known(words: list[str], answers: pa.Table, buckets: int, speller: Speller) -> list[bytes]:
-    """The ids of each of a block's different words."""
-    known: dict[str, bytes] = {}
-    mine = _by_bucket([w for w in words if speller.asks(w)], buckets)
-    for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()):
-        data, n = _unpress(packed), len(mine[b])
-        ends = (np.cumsum(np.frombuffer(data[: 2 * n], np.uint16).astype(np.int64)) * 4 + 2 * n).tolist()
-        known.update(zip(mine[b], [data[x:y] for x, y in zip([2 * n, *ends], ends)]))
+def _known(words: list[str], answers: pa.Table, buckets: int, speller: Speller) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the ids of each of a block's different words begin, how many they are, and the ids."""
+    number = {w: i for i, w in enumerate(words)}
+    mine = [[number.pop(w) for w in part] for part in _by_bucket([w for w in words if speller.asks(w)], buckets)]
+    begin, size, flat, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+    for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("ids")):
+        data, n = _unpress(packed.as_py()), len(mine[b])
+        sizes = np.frombuffer(data[: 2 * n], np.uint16).astype(np.int64)
+        flat.append(np.frombuffer(data[2 * n :], np.int32))
+        begin[mine[b]], size[mine[b]] = total + np.cumsum(sizes) - sizes, sizes
+        total += len(flat[-1])
         mine[b] = []
-    return [known[w] if w in known else speller.spell(w) for w in words]
+    for w, i in [*number.items(), *((words[i], i) for part in mine for i in part)]:
+        flat.append(np.frombuffer(speller.spell(w), np.int32))
+        begin[i], size[i] = total, len(flat[-1])
+        total += len(flat[-1])
+    return begin, size, np.concatenate(flat or [np.zeros(0, np.int32)])
 
 
 def _gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -274,26 +291,47 @@ def _gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.nda
 
 
 def _spell(buckets: int, table: Table, also: bool):
-    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+    """Of a block's chunks and answers. Of a text only its words' numbers stay while the block's different words are gathered; texts are unpacked again, and
+    handed on with their ids, about FEW_CHARS at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        chunks, answers = rows.filter(pc.is_valid(rows.column("texts"))), rows.filter(pc.is_valid(rows.column("bucket")))
+        del rows
         speller = Speller(table)
+
+        def packed() -> Iterator[tuple[list[int], list[list[str]]]]:
+            for docs, sizes, whole in zip(*(chunks.column(c) for c in ("docs", "sizes", "texts"))):
+                yield docs.as_py(), _few(_texts(sizes.as_py(), whole.as_py()))
+
         held = []
-        for docs, sizes, whole in zip(*(chunks.column(c).to_pylist() for c in ("docs", "sizes", "texts"))):
-            texts = _texts(sizes, whole)
-            held.append((docs, texts, *words_of(texts, table)))
-        every = pa.chunked_array([h[2] for h in held]).dictionary_encode()
-        spelled = _known(every.chunk(0).dictionary.to_pylist(), answers, buckets, speller) + [speller.raw(SPACE)]
-        size = np.array([len(w) // 4 for w in spelled])
-        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(spelled), np.int32)
-        del spelled
-        out = []
-        for docs, texts, _, literal, counts in held:
-            which = np.where(literal, len(size) - 1, every.chunk(len(out)).indices.to_numpy())
-            ids = _gathered(flat, begin[which], size[which])
-            ends = np.concatenate([[0], np.cumsum(size[which])])[np.concatenate([[0], np.cumsum(counts)])]
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            row = {"doc_id": pa.array(docs, pa.int64()), "text": pa.array(texts, pa.string()), "ids": ids}
-            out.append(pa.RecordBatch.from_pydict(row | ({"decoded": _texts_of(ids, table.spelled)} if also else {})))
-        return pa.Table.from_batches(out)
+        for _, lists in packed():
+            for few in lists:
+                words, literal, counts = words_of(few, table)
+                words = words.dictionary_encode()
+                held.append((words.dictionary, words.indices.to_numpy(), np.flatnonzero(literal), counts))
+        different = pa.chunked_array([h[0] for h in held], pa.string())
+        every = pc.unique(different)
+        numbers = np.split(pc.index_in(different, every).to_numpy(), np.cumsum([len(h[0]) for h in held])[:-1])
+        begin, size, flat = _known(every.to_pylist(), answers, buckets, speller)
+        mark = np.frombuffer(speller.raw(SPACE), np.int32)
+        begin, size, flat = np.append(begin, len(flat)), np.append(size, len(mark)), np.concatenate([flat, mark])
+        del answers
+        del different, every
+        mine, spelled = zip(numbers, held), _flat(table.spelled)
+        for docs, lists in packed():
+            for texts in lists:
+                number, (_, which, literal, counts) = next(mine)
+                which = number[which]
+                which[literal] = len(size) - 1
+                ids = _gathered(flat, begin[which], size[which])
+                ends = np.concatenate([[0], np.cumsum(size[which])])[np.concatenate([[0], np.cumsum(counts)])]
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                row = {"doc_id": pa.array(docs[: len(texts)], pa.int64()), "text": pa.array(texts, pa.string()), "ids": ids}
+                docs = docs[len(texts) :]
+                yield pa.RecordBatch.from_pydict(row | ({"decoded": _texts_of(ids, *spelled)} if also else {}))
+        del held, mine, numbers, begin, size, flat
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -306,10 +344,14 @@ def _texts(sizes: list[int], whole: bytes) -> list[str]:
     return out
 
 
-def _texts_of(ids: pa.ListArray, spelled: list[bytes]) -> pa.Array:
-    """The text of each row of ids; null for null."""
+def _flat(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where what each id spells begins, its length, and the bytes."""
     size = np.array([len(p) for p in spelled])
-    begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(spelled), np.uint8)
+    return np.cumsum(size) - size, size, np.frombuffer(b"".join(spelled), np.uint8)
+
+
+def _texts_of(ids: pa.ListArray, begin: np.ndarray, size: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """The text of each row of ids, by _flat; null for null."""
     offsets, values, out = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), []
     for a, b, there in zip(offsets[:-1], offsets[1:], ids.is_valid().to_pylist()):
         row = values[a:b]
@@ -339,16 +381,16 @@ def encode(docs: DataFrame, table: Table, decoded: bool = False) -> DataFrame:
     answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(_answers(table), "block long, bucket int, ids binary")
     chunks = mine.mapInArrow(_texts_batch, "block long, docs array<long>, sizes array<int>, texts binary")
     spell = _spell(buckets, table, decoded)
-    return chunks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spell, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
+    return chunks.unionByName(answers, allowMissingColumns=True).groupBy("block").applyInArrow(spell, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, table: Table, name: str = "decoded") -> DataFrame:
     """encoded(ids, ...) with `name`: the text of ids. Null ids: null. Bytes that are no UTF-8 become U+FFFD."""
-    spelled = table.spelled
+    spelled = _flat(table.spelled)
 
     @F.arrow_udf("string")
     def spell(ids: pa.Array) -> pa.Array:
-        return _texts_of(ids, spelled)
+        return _texts_of(ids, *spelled)
 
     return encoded.withColumn(name, spell("ids"))
 

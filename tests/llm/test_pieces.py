@@ -1,6 +1,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from pagewright.llm import pieces
@@ -69,3 +70,18 @@ def test_blocks_and_buckets(spark, model, edge, edge_texts, monkeypatch):
 
 def test_empty_table(nothing, model):
     assert pieces.encode(nothing, model).count() == 0
+
+
+def test_a_block_is_handed_on_few_texts_at_a_time(model, monkeypatch):
+    """The pipeline's pieces: a block's texts, ids and decoded texts stood in a worker all at once."""
+    monkeypatch.setattr(pieces, "FEW_CHARS", 300)
+    rng = random.Random(6)
+    texts = [prose(rng, "aa", rng.randrange(30)) + rng.choice(["", pieces.SPACE, " é"]) for _ in range(40)] + [""]
+    row = {"block": [0], "docs": [list(range(41))], "sizes": [[len(t.encode()) for t in texts]], "texts": [pieces._press("".join(texts).encode())], "bucket": [None], "ids": [None]}
+    kinds = {"block": pa.int64(), "docs": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "texts": pa.binary(), "bucket": pa.int32(), "ids": pa.binary()}
+    rows = pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in row.items()})
+    got = list(pieces._spell(1, model, True)(iter([rows])))
+    assert len(got) > 5 and max(sum(map(len, b.column("text").to_pylist())) for b in got) < 300 + max(map(len, texts))
+    out = [r for b in got for r in b.to_pylist()]
+    assert [(r["doc_id"], r["text"], r["decoded"]) for r in out] == [(i, t, t) for i, t in enumerate(texts)]
+    assert [r["ids"] for r in out] == [best_path(t, model) if t else [] for t in texts]
