@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +22,23 @@ from pagewright.functions.raster import resized
 DIGITS = ("### # # # # ###", " #  #  #  #  # ", "###  #####  ###", "###  ####  ####", "# ## ####  #  #", "####  ###  ####", "####  #### ####", "###  #  #  #  #", "#### ##### ####", "#### ####  ####")
 
 
-def _with_frame(frames: DataFrame, rows: DataFrame, fn: Callable[[np.ndarray | None, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """fn(a frame's image or None, its rows) for the frames that rows has; frames and rows meet by frame_id, one frame at a time, and its pixels are unpacked
-    once. Frames stored in buckets of frame_id are not shuffled again. Of repeated frames one counts."""
+def _with_frame(frames: DataFrame, rows: DataFrame) -> DataFrame:
+    """_rows, an array of a frame's rows, with _width, _height, _data of their frame, null if it has no pixels; a row for each frame that rows has. frames and
+    rows meet by frame_id; frames stored in buckets of it are not shuffled again. Of repeated frames with pixels one counts; null meets null."""
+    image = F.when(F.octet_length("data") > 0, F.struct(*[F.col(c).alias(f"_{c}") for c in ("width", "height", "data")]))  # no filter: it would go below the dealing
+    one = frames.select(F.col("frame_id").cast("long").alias("_id"), image.alias("_image")).groupBy("_id").agg(F.first("_image", ignorenulls=True).alias("_image"))
+    each = rows.select(F.col("frame_id").cast("long").alias("_frame"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")).groupBy("_frame").agg(F.collect_list("_row").alias("_rows"))
+    met = each.where("_frame is not null").join(one, F.col("_frame") == F.col("_id"), "left")
+    lost = each.where("_frame is null").join(one.where("_id is null"), F.lit(True), "left")
+    return met.unionByName(lost).select("_rows", "_image._width", "_image._height", "_image._data")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        there = [i for i in range(left.num_rows) if left["_data"][i].is_valid and len(left["_data"][i].as_buffer())] if right.num_rows else []
-        image = pixels.image(*(left[c][there[0]].as_py() for c in ("_data", "_width", "_height"))) if there else None
-        return fn(image, right)
 
-    slim = frames.select(F.col("frame_id").cast("long").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("width", "height", "data")])
-    keyed = rows.withColumn("_frame", F.col("frame_id").cast("long"))
-    return slim.groupBy("_id").cogroup(keyed.groupBy("_frame")).applyInArrow(run, schema)
+def _met(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, Iterator[tuple[np.ndarray | None, int]]]:
+    """All rows of a batch of _with_frame; and each frame's image, unpacked when its turn comes, with the number of its rows."""
+    lists = batch.column("_rows")
+    sizes = lists.value_lengths().to_pylist()
+    pictures = (None if data is None else pixels.image(data, w, h) for w, h, data in ([batch.column(c)[i].as_py() for c in ("_width", "_height", "_data")] for i in range(len(sizes))))
+    return pa.RecordBatch.from_struct_array(lists.flatten()), zip(pictures, sizes)
 
 
 def cut(frames: DataFrame, crops: DataFrame, kernel: str = "bins") -> DataFrame:
@@ -41,15 +47,24 @@ def cut(frames: DataFrame, crops: DataFrame, kernel: str = "bins") -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in crops.schema.fields if f.name != "data"]
     names = [f.name for f in crops.schema.fields if f.name != "data"]
 
-    def run(image: np.ndarray | None, rows: pa.Table) -> pa.Table:
-        data: list[bytes | None] = [None] * rows.num_rows
-        if image is not None:
-            for i, (x1, y1, x2, y2, w, h) in enumerate(zip(*(rows[c].to_pylist() for c in ("cx1", "cy1", "cx2", "cy2", "out_w", "out_h")))):
+    def parts(image: np.ndarray | None, boxes: list[tuple]) -> Iterator[bytes | None]:
+        for x1, y1, x2, y2, w, h in boxes:
+            if image is None:
+                yield None
+            else:
                 part = image[max(0, y1) : max(0, y2), max(0, x1) : max(0, x2)]
-                data[i] = resized(part, w, h, kernel).tobytes() if part.size else b""
-        return rows.select(names).append_column("data", pa.array(data, pa.binary()))
+                yield resized(part, w, h, kernel).tobytes() if part.size else b""
 
-    return _with_frame(frames, crops.drop("data"), run, ", ".join([*fields, "data binary"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, each = _met(batch)
+            boxes = zip(*(rows.column(c).to_pylist() for c in ("cx1", "cy1", "cx2", "cy2", "out_w", "out_h")))
+            start = 0
+            for data in pixels.in_batches(d for image, n in each for d in parts(image, list(islice(boxes, n)))):
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).slice(start, len(data)) for c in names), data], [*names, "data"])
+                start += len(data)
+
+    return _with_frame(frames, crops.drop("data")).mapInArrow(run, ", ".join([*fields, "data binary"]))
 
 
 def upscaled(crops: DataFrame, least: int, target: int, kernel: str = "lanczos") -> DataFrame:
@@ -86,27 +101,27 @@ def _line(image: np.ndarray, a: tuple, b: tuple, colour: tuple, thick: int) -> N
 PICTURE = "frame_id long, width int, height int, data binary"
 
 
-def _picture(frame: int, image: np.ndarray) -> pa.Table:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    values = (frame, image.shape[1], image.shape[0], image.tobytes())
-    return pa.table({n: pa.array([v], k) for n, v, k in zip(("frame_id", "width", "height", "data"), values, kinds)})
-
-
-def _drawn(frames: DataFrame, rows: DataFrame, draw: Callable[[np.ndarray, pa.Table], None]) -> DataFrame:
-    def run(image: np.ndarray | None, found: pa.Table) -> pa.Table:
-        if image is None:
-            return pa.table({n: pa.array([], k) for n, k in zip(("frame_id", "width", "height", "data"), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))})
-        out = image.copy()
-        draw(out, found)
-        return _picture(found["_frame"][0].as_py(), out)
+def _drawn(frames: DataFrame, rows: DataFrame, draw: Callable[[np.ndarray, pa.RecordBatch], None]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, each = _met(batch)
+            start = 0
+            for image, n in each:
+                if image is not None:
+                    out, mine = image.copy(), found.slice(start, n)
+                    draw(out, mine)
+                    values = (mine.column("_frame")[0].as_py(), out.shape[1], out.shape[0], out.tobytes())
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["frame_id", "width", "height", "data"])
+                start += n
 
-    return _with_frame(frames, rows, run, PICTURE)
+    return _with_frame(frames, rows.withColumn("_frame", F.col("frame_id").cast("long"))).mapInArrow(run, PICTURE)
 
 
 def with_boxes(frames: DataFrame, boxes: DataFrame, colour: tuple = (0, 255, 0), thick: int = 2, number: str | None = "word_id") -> DataFrame:
     """frame_id, width, height, data of the frames that have boxes(frame_id, x1 .. y2), these drawn as outlines, with their number over the top left corner."""
 
-    def draw(image: np.ndarray, rows: pa.Table) -> None:
+    def draw(image: np.ndarray, rows: pa.RecordBatch) -> None:
         for i, (x1, y1, x2, y2) in enumerate(zip(*(rows[c].to_pylist() for c in ("x1", "y1", "x2", "y2")))):
             for a, b in (((x1, y1), (x2, y1)), ((x2, y1), (x2, y2)), ((x2, y2), (x1, y2)), ((x1, y2), (x1, y1))):
                 _line(image, a, b, colour, thick)
@@ -119,7 +134,7 @@ def with_boxes(frames: DataFrame, boxes: DataFrame, colour: tuple = (0, 255, 0),
 def with_corners(frames: DataFrame, corners: DataFrame, colour: tuple = (0, 255, 0), thick: int = 3) -> DataFrame:
     """The same for corners(frame_id, corners), an array of x, y: a closed outline; frames whose corners are null are as they are."""
 
-    def draw(image: np.ndarray, rows: pa.Table) -> None:
+    def draw(image: np.ndarray, rows: pa.RecordBatch) -> None:
         for points in rows["corners"].to_pylist():
             at = [(p["x"], p["y"]) for p in points or []]
             for a, b in zip(at, at[1:] + at[:1]):
