@@ -85,3 +85,34 @@ def test_a_block_is_handed_on_few_texts_at_a_time(model, monkeypatch):
     out = [r for b in got for r in b.to_pylist()]
     assert [(r["doc_id"], r["text"], r["decoded"]) for r in out] == [(i, t, t) for i, t in enumerate(texts)]
     assert [r["ids"] for r in out] == [best_path(t, model) if t else [] for t in texts]
+
+
+WORDS = ["▁the", "ing", "▁thsthaea", "é日本", "😀", "x" * 256, "▁" * 40, "\u0000\u0001", "a日b😀c", "the" * 80, "▁underschäung", "ab"]
+
+
+def test_lattice_neither_sorts_nor_collects_edges_by_word(spark, model):
+    """op3's CPU seconds: three quarters of the lattice's time went into each word's array of edges and a fold over it."""
+    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    paths = pieces.lattice_paths(words, model, 3)
+    plan = paths._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Aggregate" not in plan and "lambdafunction" not in plan and plan.count("Exchange hashpartitioning") == 1
+    speller = pieces.Speller(model)
+    assert {r.word: bytes(r.ids) for r in paths.collect()} == {w: speller.spell(w) for w in WORDS}
+
+
+@pytest.mark.parametrize("held", [1, 70, 10**6])
+def test_a_word_in_several_batches_of_edges(model, monkeypatch, held):
+    monkeypatch.setattr(pieces, "HELD_EDGES", held)
+    speller, rows = pieces.Speller(model), []
+    for k, w in enumerate(WORDS):
+        for start, size in ((i, n) for i in range(len(w)) for n in range(1, min(model.longest, len(w) - i) + 1)):
+            piece = w[start : start + size]
+            if piece in speller.ids or size == 1:
+                rows.append((w if start + size == 1 else None, k * pieces.PLACES + start + size, speller.ids.get(piece, -1 - ord(piece[0]))))
+    columns = zip(("word", "place", "code"), (pa.string(), pa.int64(), pa.int32()), zip(*rows))
+    edges = pa.RecordBatch.from_pydict({n: pa.array(v, t) for n, t, v in columns})
+    batches = [edges.slice(i, 7) for i in range(0, len(rows), 7)]
+    got = [r for b in pieces._paths_batch(model)(iter(batches)) for r in b.to_pylist()]
+    assert [(r["word"], r["ids"]) for r in got] == [(w, speller.spell(w)) for w in WORDS]
+    with pytest.raises(RuntimeError):
+        list(pieces._paths_batch(model)(iter([*batches[3:], *batches[:3]])))
