@@ -24,11 +24,12 @@ DIGITS = ("### # # # # ###", " #  #  #  #  # ", "###  #####  ###", "###  ####  #
 
 def _with_frame(frames: DataFrame, rows: DataFrame) -> DataFrame:
     """_rows, an array of a frame's rows, with _width, _height, _data of their frame, null if it has no pixels; a row for each frame that rows has. frames and
-    rows meet by frame_id; frames stored in buckets of it are not shuffled again. Of repeated frames with pixels one counts; null meets null."""
+    rows meet by frame_id in a merge join: pixels made by Python count as a few bytes in Spark's estimates, by which it would broadcast them all. Rows go to as
+    many tasks as frames do, so that only they are shuffled anew where they came dealt. Of repeated frames with pixels one counts; null meets null."""
     image = F.when(F.octet_length("data") > 0, F.struct(*[F.col(c).alias(f"_{c}") for c in ("width", "height", "data")]))  # no filter: it would go below the dealing
     one = frames.select(F.col("frame_id").cast("long").alias("_id"), image.alias("_image")).groupBy("_id").agg(F.first("_image", ignorenulls=True).alias("_image"))
-    each = rows.select(F.col("frame_id").cast("long").alias("_frame"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")).groupBy("_frame").agg(F.collect_list("_row").alias("_rows"))
-    met = each.where("_frame is not null").join(one, F.col("_frame") == F.col("_id"), "left")
+    each = rows.select(F.col("frame_id").cast("long").alias("_frame"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")).repartition("_frame").groupBy("_frame").agg(F.collect_list("_row").alias("_rows"))
+    met = each.where("_frame is not null").join(one.hint("merge"), F.col("_frame") == F.col("_id"), "left")
     lost = each.where("_frame is null").join(one.where("_id is null"), F.lit(True), "left")
     return met.unionByName(lost).select("_rows", "_image._width", "_image._height", "_image._data")
 
